@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import audio, language_id, license_scan, mixing, packing, quality_rules, url_filter
+from strideframe.llm import audio, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, substring_dedup, url_filter
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -33,6 +33,10 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -44,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", F.size("languages").cast("long").alias("n_langs"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -59,14 +67,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_audio": op3_audio,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op4_jaccard_join": r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ g as (select distinct r, doc_id, unnest(case when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from d where len(w) > 0),
+ n as (select r, count(*) as n from g group by r),
+ i as (select a.r as a, b.r as b, count(*) as i from g a join g b on a.s = b.s and a.r < b.r group by all),
+ l as (select da.doc_id as a, db.doc_id as b from i join n x on x.r = i.a join n y on y.r = i.b join d da on da.r = i.a join d db on db.r = i.b where 100 * i.i >= 85 * (x.n + y.n - i.i)),
+ e as (select a, b from l union select b, a from l),
+ c as (select doc_id as node, doc_id as reached from d union select c.node, e.b from c join e on e.a = c.reached),
+ m as (select node, min(reached) as component_id from c group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from d left join n using (r) left join m on m.node = d.doc_id""",
     "op8_mixing": r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
                   cast('0x' || substring(md5(coalesce(cast(doc_id as varchar), '')), 1, 9) as bigint) as k from documents),
