@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import audio, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, substring_dedup, url_filter
+from strideframe.llm import audio, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, quality_rules, substring_dedup, url_filter
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -28,6 +28,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2)
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.audio_features(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")
@@ -66,6 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_audio": op3_audio,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
