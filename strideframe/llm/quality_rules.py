@@ -57,6 +57,7 @@ def quality_rules(
     max_line_percent: float = 5.0,
     min_left_percent: float = 30.0,
     max_broadcast_lines: int = 100_000,
+    max_broadcast_rows: int = 1_000_000,
     payload: list[str] | None = None,
 ) -> DataFrame:
     """One row per document with its figures and ``kept``.
@@ -103,8 +104,8 @@ def quality_rules(
 
     lines = rows.select("_row", "_host", F.explode("_lines").alias("l"))
     hit = lines.join(fit_for_broadcast(heavy, max_broadcast_lines), (F.col("l.h") == F.col("_h")) & F.col("_host").eqNullSafe(F.col("_hh")), "left_semi")
-    gone = hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("l.w").alias("_gone"))
-    out = rows.drop("_lines").join(gone, F.col("_row") == F.col("_r"), "left")
+    gone = settle(hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("l.w").alias("_gone")), "gone")
+    out = rows.drop("_lines").join(fit_for_broadcast(gone, max_broadcast_rows), F.col("_row") == F.col("_r"), "left")
     failed = (F.col("_n") < min_words) | (100 * F.col("_rep") > max_repeat_percent * F.col("_n"))
     gone = F.coalesce("_gone", F.lit(0)).cast("long")
     depleted = (F.col("_n") - gone) * 100.0 < F.col("_n") * min_left_percent
