@@ -571,3 +571,46 @@ def _(spark, d):
 @query("reconstruction_summary", f"with {ATT} select round(avg(rate), 8) as fold_mean_rate, round(sum(n_success) / cast(sum(n_attempts) as double), 8) as pooled_rate, cast(sum(n_attempts) as bigint) as n_attempts from pf")
 def _(spark, d):
     return rounded(privacy.reconstruction_summary(attacks(spark, d)), 8)
+
+
+# Files, streams and models.
+
+
+@query("manifest_verify")
+def _(spark, d):
+    from strideframe.sources import artifacts
+
+    entries = [{"filename": "region.parquet", "role": "dimension", "bytes": 1, "sha256": "0" * 64}, {"filename": "absent.parquet", "role": "dimension", "bytes": 1, "sha256": "0" * 64}]
+    return artifacts.verify(spark, entries, f"{d}/region.parquet")
+
+
+@query("stream_windows")
+def _(spark, d):
+    import uuid
+
+    from strideframe.session import work_dir
+    from strideframe.streaming.windows import stream_windows
+
+    source = table(spark, d, "events")
+    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = windows.encode_labels(rows, "event_type", EVENT_LABELS).select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value", "label")
+    out = stream_windows(rows, 2, 1)
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query("rf_scenarios")
+def _(spark, d):
+    """Forests trained on real or on synthetic windows, tried on the held-out fold."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    e = embeddings(spark, d).select("vec_id", "label", "synthetic", "fold", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    out = None
+    for name, rule in (("trtr", "not synthetic"), ("tstr", "synthetic")):
+        model = RandomForestClassifier(numTrees=20, maxDepth=8, featureSubsetStrategy="sqrt", seed=42).fit(e.where(rule).where("fold <> 1"))
+        hit = model.transform(e.where("not synthetic and fold = 1")).select(F.lit(name).alias("scenario"), "label", F.col("prediction").cast("int").alias("pred"))
+        out = hit if out is None else out.unionByName(hit)
+    return metrics.macro_f1_accuracy(metrics.confusion(out, ["scenario"], "label", "pred", 10), ["scenario"])

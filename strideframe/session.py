@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -16,3 +18,13 @@ CONF = {
 def session(app: str = "strideframe", **conf: str) -> SparkSession:
     """Give master, memory and shuffle partitions through ``conf`` or the submit command."""
     return SparkSession.builder.appName(app).config(map=CONF | conf).getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local session without it gets a temporary folder, a cluster is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="strideframe-")

@@ -48,7 +48,7 @@ def read_logs(spark: SparkSession, root: str, variant: str = "six_channel", subj
     so line numbers come from the position within the file.
     """
     paths = discover_logs(spark, root, subjects)
-    lines = spark.read.option("wholetext", "true").text([r.path for r in paths.select("path").collect()])
+    lines = spark.read.text([r.path for r in paths.select("path").collect()], wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     lines = lines.select(F.regexp_extract(F.url_decode(name), LOG_NAME, 1).cast("int").alias("subject"), F.posexplode(F.split(F.regexp_replace("value", r"^﻿|\r?\n$", ""), r"\r?\n")).alias("seq", "line"))
     rows = lines.select("subject", F.col("seq").cast("long"), F.transform(F.split("line", "\t"), lambda x: x.try_cast("double")).alias("v"))
