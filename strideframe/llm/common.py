@@ -84,33 +84,33 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, with a bounded memo."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 400_000):
         import xxhash
 
-        self.known: dict[bytes, int] = {}
-        self.most, self.digest = most, xxhash.xxh3_64_intdigest
+        self.known: dict[bytes, bytes] = {}
+        self.most, self.digest = most, xxhash.xxh3_64_digest
 
     def __call__(self, ws: list[bytes]) -> np.ndarray:
-        known, digest = self.known, self.digest
-        if len(known) > self.most:
-            known.clear()
+        known = self.known
         try:
-            return np.array([known[w] for w in ws], np.uint64)
+            return np.frombuffer(b"".join([known[w] for w in ws]), np.uint64)
         except KeyError:
+            if len(known) > self.most:
+                known.clear()
             for w in ws:
                 if w not in known:
-                    known[w] = digest(w)
-            return np.array([known[w] for w in ws], np.uint64)
+                    known[w] = self.digest(w)
+            return np.frombuffer(b"".join([known[w] for w in ws]), np.uint64)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Rolling hashes of ``k`` consecutive words; fewer words give one hash of them all, none gives none."""
+    """Hashes of ``k`` consecutive words (a mixed polynomial); fewer words give one hash of them all, none gives none."""
     n = len(hashes)
     if n == 0:
         return np.zeros(0, np.uint64)
-    m = max(1, n - k + 1)
+    m, k = max(1, n - k + 1), min(k, n)
     with np.errstate(over="ignore"):
-        out = np.full(m, n if n < k else k, np.uint64)
-        for j in range(min(k, n)):
-            out = mix64(out * _MIX + hashes[j : j + m])
-    return out
+        out = hashes[:m] + np.uint64(k)
+        for j in range(1, k):
+            out = out * _MIX + hashes[j : j + m]
+    return mix64(out)

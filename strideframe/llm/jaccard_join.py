@@ -12,7 +12,8 @@ from strideframe.llm.components import connected_components
 SKETCH = 1 << 22  # cells of the frequency classes that lead the token orders
 SKETCH_LEAST = 8  # times a token is seen twice or more within stretches before it counts as frequent
 STRETCH = 2_000_000  # shingles whose repeats are looked for together
-SMALL = 6  # documents under one token that are compared outright
+SMALL = 6  # sets under one token that are compared outright
+MIDDLE = 64  # sets under one token whose last pairs a join makes; larger ones are compared in blocks
 SIGN_WORDS = 32  # 64-bit words of a parity signature
 BLOCK = 1024  # members that one task compares a query with
 
@@ -28,50 +29,58 @@ def ranks(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     return (level << np.uint64(58)) | (mix64(tokens, order) >> np.uint64(6))
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    p = prefix_size(len(tokens), percent)
+def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int, more: int = 0) -> np.ndarray:
+    p = prefix_size(len(tokens), percent) + more
     return tokens if p >= len(tokens) else tokens[np.argpartition(ranks(tokens, classes, order), p - 1)[:p]]
 
 
+def longer(n: int, percent: int) -> int:
+    """Two sets of ``percent`` similarity share at least 1 + so many tokens among so many more than the prefix."""
+    return prefix_size(n, percent) // 2
+
+
 def parity_signature(tokens: np.ndarray, words: int = SIGN_WORDS) -> np.ndarray:
     """Bit i is the parity of the tokens in cell i: two of these differ in at most as many bits as the sets in tokens."""
     odd = np.bincount((mix64(tokens, 99) >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-class Bloom:
-    """A bit table of at most 2**most_bits bits with four probes; it only ever lets too much through."""
+def bloom_places(keys: np.ndarray, probe: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of a probe in a table of 2**width bits."""
+    at = mix64(keys, 11 + probe) >> np.uint64(64 - width)
+    return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
-    def __init__(self, count: int, least_bits: int = 20, most_bits: int = 28):
-        self.width = min(max(max(1, 24 * count - 1).bit_length(), least_bits), most_bits)
-        self.words = np.zeros(1 << self.width - 6, np.uint64)
 
-    def places(self, keys: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
-        at = mix64(keys, 11 + probe) >> np.uint64(64 - self.width)
-        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+class Bloom:
+    """A bit table with four probes; it only ever lets too much through."""
+
+    def __init__(self, width: int):
+        self.width, self.words = width, np.zeros(1 << width - 6, np.uint64)
 
     def among(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
         for probe in range(4):
-            word, bit = self.places(keys, probe)
+            word, bit = bloom_places(keys, probe, self.width)
             found &= self.words[word] & bit != 0
         return found
 
 
-def bloom_of(tokens: DataFrame, column: str) -> Bloom:
-    """Marked by tasks; the marks meet as words of the table, whose size bounds what the driver gets."""
-    out = Bloom(tokens.count())
+def bloom_of(tokens: DataFrame, column: str, least_bits: int = 20, most_bits: int = 27) -> Bloom:
+    """Marked by tasks; the marks meet as words of the table, whose size of at most 2**most_bits bits bounds what the driver gets."""
+    width = min(max(max(1, 24 * tokens.count() - 1).bit_length(), least_bits), most_bits)
 
     def mark(batches):
         import pyarrow as pa
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            word, bit = (np.concatenate(x) for x in zip(*[out.places(keys, p) for p in range(4)], strict=True))
+            word, bit = (np.concatenate(x) for x in zip(*[bloom_places(keys, p, width) for p in range(4)], strict=True))
             yield pa.record_batch([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
 
-    found = tokens.select(column).mapInArrow(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out.words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    marks = tokens.select(column).mapInArrow(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = Bloom(width)
+    for batch in marks.toArrow().to_batches():
+        out.words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
     return out
 
 
@@ -128,14 +137,14 @@ def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def _frequency_classes(seen: DataFrame) -> np.ndarray:
     """Cells of token hashes with the binary logarithm of the times their most frequent token was seen."""
     cells = seen.where(F.col("times") >= SKETCH_LEAST).groupBy((F.col("tokens").bitwiseAND(F.lit(SKETCH - 1))).alias("cell")).agg(F.max("times").alias("times"))
-    found = cells.select("cell", F.least(F.floor(F.log2("times")), F.lit(31)).cast("int").alias("level")).toPandas()
     classes = np.zeros(SKETCH, np.uint8)
-    classes[found["cell"].to_numpy(np.int64)] = found["level"]
+    for batch in cells.select("cell", F.least(F.floor(F.log2("times")), F.lit(31)).cast("int").alias("level")).toArrow().to_batches():
+        classes[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return classes
 
 
 def _shared_tokens(texts: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """Tokens that stand in the prefixes (first order) of two different sets."""
+    """Tokens that stand in the longer prefixes (first order) of two different sets."""
 
     def run(batches):
         import pyarrow as pa
@@ -148,7 +157,7 @@ def _shared_tokens(texts: DataFrame, k: int, percent: int, classes) -> DataFrame
                     continue
                 if len(seen) < 200_000:
                     seen.add(digest)
-                out.append(prefix(tokens, classes.value, 1, percent))
+                out.append(prefix(tokens, classes.value, 1, percent, longer(len(tokens), percent)))
                 own.append(np.full(len(out[-1]), digest[0], np.int64))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(own))], names=["token", "d1"])
@@ -158,7 +167,7 @@ def _shared_tokens(texts: DataFrame, k: int, percent: int, classes) -> DataFrame
 
 
 def _candidate_sets(texts: DataFrame, k: int, percent: int, classes, bloom) -> DataFrame:
-    """Sets with a shared token in their prefix: tokens, those prefix tokens, the prefixes of two more orders, signature."""
+    """Sets with enough shared tokens in their longer prefix: tokens, shared prefix tokens, the prefixes of two more orders, signature."""
 
     def run(batches):
         import pyarrow as pa
@@ -170,6 +179,9 @@ def _candidate_sets(texts: DataFrame, k: int, percent: int, classes, bloom) -> D
             for _, digest, tokens in _sets(batch, k, hashes):
                 if not len(tokens) or digest in seen:
                     continue
+                more = longer(len(tokens), percent)
+                if bloom.value.among(prefix(tokens, classes.value, 1, percent, more)).sum() <= more:
+                    continue
                 first = prefix(tokens, classes.value, 1, percent)
                 first = first[bloom.value.among(first)]
                 if len(first):
@@ -268,7 +280,13 @@ def link_sets(sets: DataFrame, percent: int, hub_rounds: int = 3) -> DataFrame:
             found = found.where((F.col("la") != F.col("lb")) & _comparable(percent, "x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.union(found) if turn == 0 else found
         else:
-            pairs = _cross_pairs(many, sets, percent)
+            sized = many.join(many.groupBy("token").agg(F.count("*").alias("size")), "token")
+            large = sized.where(F.col("size") > MIDDLE).drop("size")
+            middle = sized.where(F.col("size") <= MIDDLE)
+            a = middle.select("token", F.col("node").alias("a"), F.col("n").alias("x"), F.col("label").alias("la"))
+            b = middle.select("token", F.col("node").alias("b"), F.col("n").alias("y"), F.col("label").alias("lb"))
+            pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _comparable(percent, "x", "y")).select("a", "b")
+            pairs = pairs.union(_cross_pairs(large, sets, percent))
         new = settle(_verified(settle(pairs.distinct(), "pairs"), sets, percent), "links")
         links = new if links is None else links.union(new)
         labels = connected_components(links)
@@ -291,13 +309,15 @@ def jaccard_components(
     distinct shingles (A-Z lower-cased; fewer words than ``shingle_words``
     make one shingle); ``component_id`` is the least id that links reach.
 
-    Equal sets are one class.  A token that stands in the prefixes of two
-    different sets under the first order makes them candidates; the orders put
-    tokens that repeat a lot last and break ties by different hashes.  Few
+    Equal sets are one class.  Only sets that share enough tokens of a
+    somewhat longer prefix with other sets, whichever, are looked at further.
+    A token that stands in the prefixes of two of them under the first order
+    makes them candidates; the orders put tokens that repeat a lot last and
+    break ties by different hashes.  Few
     sets under a token are compared outright.  Many are first compared with
     one hub a round, and what links with it shares its label; after
-    ``hub_rounds`` rounds, pairs of still different labels are compared in
-    blocks, so no group's pairs are all made and no link between components
+    ``hub_rounds`` rounds, pairs of still different labels are compared, in
+    blocks where they are many, so no group's pairs are all made and no link between components
     is lost.  Every pair passes the signature bound and the prefixes of the
     second and third order before its sets are intersected.
 
