@@ -16,7 +16,7 @@ ENTRIES = 2048  # of the model: frequent words, classes of all other words, the
 CLASSES = 256
 WORDS = ENTRIES - CLASSES - 1
 END = ENTRIES - 1
-HELD_WORDS = 1 << 18  # most words whose counts tasks hold; the others meet their counts by a join
+HELD_WORDS = 1 << 17  # most words whose counts tasks hold; the others meet their counts by a join
 FAN = 32
 
 
@@ -81,8 +81,12 @@ class LogBilinear:
         a1 = (self.r * self.c[0]) @ self.q.T
         a2 = (self.r * self.c[1]) @ self.q.T
         top1, top2 = a1.max(axis=1, keepdims=True), a2.max(axis=1, keepdims=True)
-        log_z = np.log((np.exp(a1 - top1) * np.exp(self.b - self.b.max())) @ np.exp(a2 - top2).T + 1e-30) + top1 + top2.T + self.b.max()
-        return a1, a2, self.b, log_z.astype(np.float32)
+        after, weight = np.exp(a2 - top2).T, np.exp(self.b - self.b.max())
+        log_z = np.empty((ENTRIES, ENTRIES), np.float32)
+        for at in range(0, ENTRIES, 256):  # in strips, to hold little at once
+            part = slice(at, at + 256)
+            log_z[part] = np.log((np.exp(a1[part] - top1[part]) * weight) @ after + 1e-30) + top1[part] + top2.T + self.b.max()
+        return a1, a2, self.b, log_z
 
 
 def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -150,7 +154,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 for raw in byte_texts(batch.column(1).slice(at, 512)):
                     sums.update(raw.translate(LOWER_BYTES).split())
-                if len(sums) > 400_000:
+                if len(sums) > 150_000:
                     yield flush()
         yield flush()
 
