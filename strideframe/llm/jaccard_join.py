@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,22 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int, mo
 
 
 def longer(n: int, percent: int) -> int:
-    """Two sets of ``percent`` similarity share at least 1 + so many tokens among so many more than the prefix."""
+    """So many tokens more than the prefix are looked at."""
     return prefix_size(n, percent) // 2
 
 
+@lru_cache(1 << 16)
+def least_shared(n: int, percent: int) -> int:
+    """A set of ``n`` tokens has at least so many in common with the longer prefix of any set of ``percent`` similarity, within its own.
+
+    Common tokens outside of both longer prefixes are at most as many as the
+    larger of the two rests, whatever the order.
+    """
+    m = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    rest = lambda x: np.maximum(x - prefix_size(x, percent) - longer(x, percent), 0)
+    return int((-(-percent * (n + m) // (100 + percent)) - np.maximum(rest(n), rest(m))).min())
+
+
 def parity_signature(tokens: np.ndarray, words: int = SIGN_WORDS) -> np.ndarray:
     """Bit i is the parity of the tokens in cell i: two of these differ in at most as many bits as the sets in tokens."""
     odd = np.bincount((mix64(tokens, 99) >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
@@ -180,7 +194,7 @@ def _candidate_sets(texts: DataFrame, k: int, percent: int, classes, bloom) -> D
                 if not len(tokens) or digest in seen:
                     continue
                 more = longer(len(tokens), percent)
-                if bloom.value.among(prefix(tokens, classes.value, 1, percent, more)).sum() <= more:
+                if bloom.value.among(prefix(tokens, classes.value, 1, percent, more)).sum() < least_shared(len(tokens), percent):
                     continue
                 first = prefix(tokens, classes.value, 1, percent)
                 first = first[bloom.value.among(first)]

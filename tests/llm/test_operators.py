@@ -103,6 +103,29 @@ def test_prefix_bounds():
             assert apart <= len(a) + len(b) - 2 * i
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_least_shared_holds_for_every_size_pair(percent):
+    """Worst case of an order: what isn't common comes first in both sets."""
+    seen = lambda n: min(n, jaccard_join.prefix_size(n, percent) + jaccard_join.longer(n, percent))
+    for n in range(1, 250):
+        least = []
+        for m in range(1, 100 * n // percent + 1):
+            both = next(i for i in range(min(n, m) + 2) if i > min(n, m) or 100 * i >= percent * (n + m - i))
+            if both <= min(n, m):
+                least.append(max(0, min(seen(n) - (n - both), seen(m) - (m - both))))
+        assert jaccard_join.least_shared(n, percent) == min(least) >= 1
+
+
+@pytest.mark.parametrize("k, percent, sizes", [(4, 85, (9, 10)), (5, 80, (8, 9))])
+def test_a_word_before_or_behind_a_short_text_links(spark, k, percent, sizes):
+    rows = []
+    for i in range(0, 120, 2):
+        w = [f"w{i}x{j}" for j in range(sizes[0])]
+        rows += [(i, " ".join(w), "en", "s"), (i + 1, " ".join(["more", *w] if i % 4 else [*w, "more"]), "en", "s")]
+    got = jaccard_join.jaccard_components(frame(spark, rows), shingle_words=k, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(120)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
