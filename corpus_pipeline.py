@@ -25,8 +25,10 @@ def _others(docs: DataFrame) -> list[str]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules(docs, payload=_others(docs)).where("kept").select(docs.columns)
+    """Documents that the quality rules reject go, and so do the lines above the limits in all others."""
+    judged = quality_rules(docs, payload=[c for c in _others(docs) if c != "text"], left_col="text").where("kept")
+    n_chars = F.when(F.col("n_line_words") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return judged.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

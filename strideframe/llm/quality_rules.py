@@ -59,6 +59,7 @@ def quality_rules(
     max_broadcast_lines: int = 100_000,
     max_broadcast_rows: int = 1_000_000,
     payload: list[str] | None = None,
+    left_col: str | None = None,
 ) -> DataFrame:
     """One row per document with its figures and ``kept``.
 
@@ -67,25 +68,32 @@ def quality_rules(
     Line rule: lines (A-Z lower-cased, words joined by one space) are counted
     over the distinct texts of each host; a line in at least ``min_line_docs``
     and more than ``max_line_percent`` percent of a host's distinct texts is
-    removed there; a document with less than ``min_left_percent`` percent of
+    removed there (see ``left_col``); a document with less than ``min_left_percent`` percent of
     its words left is rejected (``kept`` false).
 
     Copies of one text count once, so a document isn't rejected for having
     copies.  Null text is the empty text, null hosts form one host, an empty
     table gives an empty result, repeated rows are judged alike.  Columns
     named in ``payload`` are passed on; all others are ignored.
+
+    ``left_col`` names a column for the text without the removed lines, each
+    with one line end; a text without such lines, and a null one, is unchanged.
     """
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
     keep = payload or []
     rows = docs.select(
         F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("_d"),
         text.alias("_text"), host.alias("_host"),
+        *([F.split(F.col(text_col).cast("string"), "\n", -1).alias("_all")] if left_col else []),
     )
     rows = rows.withColumn("_ws", words(F.col("_text")))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    if left_col:
+        worded = F.transform(F.split("_text", "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i))
+        rows = rows.withColumn("_places", F.filter(worded, lambda i: i.isNotNull()))
     rows = _with_repeats(rows)
     rows = rows.select(
-        "_d", "_host", "_rep",
+        "_d", "_host", "_rep", *(["_all", "_places"] if left_col else []),
         F.xxhash64("_text").alias("_fp"),
         F.size("_ws").cast("long").alias("_n"),
         F.length(F.regexp_replace("_text", WS, "")).cast("long").alias("_chars"),
@@ -102,10 +110,19 @@ def quality_rules(
     heavy = counts.alias("c").join(hosts.alias("h"), F.col("c._host").eqNullSafe(F.col("h._host")))
     heavy = settle(heavy.where(F.col("_docs") * 100.0 > F.col("_all") * max_line_percent).select(F.col("c._host").alias("_hh"), "_h"), "lines")
 
-    lines = rows.select("_row", "_host", F.explode("_lines").alias("l"))
+    lines = rows.select("_row", "_host", F.posexplode("_lines").alias("i", "l"))
     hit = lines.join(fit_for_broadcast(heavy, max_broadcast_lines), (F.col("l.h") == F.col("_h")) & F.col("_host").eqNullSafe(F.col("_hh")), "left_semi")
-    gone = settle(hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("l.w").alias("_gone")), "gone")
-    out = rows.drop("_lines").join(fit_for_broadcast(gone, max_broadcast_rows), F.col("_row") == F.col("_r"), "left")
+    places = [F.collect_list("i").alias("_at")] if left_col else []
+    gone = settle(hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("l.w").alias("_gone"), *places), "gone")
+    if not left_col:
+        gone = fit_for_broadcast(gone, max_broadcast_rows)
+    elif gone.select(F.explode("_at")).limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        gone = F.broadcast(gone)  # rows and places of lines are within the bound
+    out = rows.drop("_lines").join(gone, F.col("_row") == F.col("_r"), "left")
+    if left_col:
+        off = F.transform("_at", lambda i: F.get(F.col("_places"), i))
+        stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), off)
+        out = out.withColumn("_left", F.array_join(F.when(F.col("_at").isNull(), F.col("_all")).otherwise(F.transform(stay, lambda i: F.get(F.col("_all"), i))), "\n"))
     failed = (F.col("_n") < min_words) | (100 * F.col("_rep") > max_repeat_percent * F.col("_n"))
     gone = F.coalesce("_gone", F.lit(0)).cast("long")
     depleted = (F.col("_n") - gone) * 100.0 < F.col("_n") * min_left_percent
@@ -113,5 +130,5 @@ def quality_rules(
         F.col("_d.id").alias(id_col), *[F.col(f"_d.c{i}").alias(c) for i, c in enumerate(keep)],
         F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_sym").alias("n_symbols"),
         F.col("_dup").alias("n_dup_lines"), F.col("_rep").alias("n_repeat_words"), gone.alias("n_line_words"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), *([F.col("_left").alias(left_col)] if left_col else []),
     )

@@ -382,6 +382,19 @@ def test_quality_rules(spark, corpus):
     assert passed.columns[:3] == ["doc_id", "text", "host"] and passed.first().host == "h"
 
 
+def test_quality_rules_return_the_text_without_heavy_lines(spark):
+    g = random.Random(10)
+    rows = [(i, f"Share  this PAGE now\n{' '.join(sentences(g, 40))}\n\n share this page NOW \n{' '.join(sentences(g, 40))}\n", "en", "web") for i in range(25)]
+    rows += [(100, rows[0][1], "en", "other"), (101, None, "en", "web"), (102, "\n\na\n", "en", "web"), (103, "share this page now", "en", "web")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), payload=["size"], left_col="text").collect()}
+    for d, t, _, s in rows:
+        lines = None if t is None else [x for x in t.split("\n") if s == "other" or ws(x) != b"share this page now".split()]
+        assert got[d].text == (None if t is None else "\n".join(lines))
+    assert got[0].n_line_words == 8 and got[0].kept and got[0].size == "s"
+    plain = quality_rules.quality_rules(frame(spark, rows), max_broadcast_rows=1, left_col="left").drop("left")
+    assert Counter(tuple(r) for r in plain.collect()) == brute_quality(rows, 20, 5.0)
+
+
 def test_url_filter(spark):
     urls = ["https://www.Example.com/en/x?q", "http://a.example.com/en/1#t", "http://example.com/e", "http://x.com", "http://x.com/", "ftp://b.net/fr/1", "b.net/fr/1", None, "", "http://net/es/?a", "http://c.org/en/", "x://y://z.com/a", "http://notcom/en/"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id bigint, url string, host string, path string")

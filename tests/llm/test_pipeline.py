@@ -22,6 +22,13 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert set(kept["packing"]) == set(kept["mixing"]) and max(kept["mixing"].values()) <= 3
 
 
+def test_quality_stage_passes_texts_without_heavy_lines(spark):
+    body = " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, f"Subscribe to our letter\n{body} d{i}", "en", "s", 5) for i in range(25)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.quality_stage(spark, docs, "").collect()}
+    assert got == {i: (f"{body} d{i}", len(f"{body} d{i}")) for i in range(25)}
+
+
 def test_run_over_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
