@@ -99,19 +99,10 @@ def _token_sets(tokens: np.ndarray, at: np.ndarray, wide: int):
     return own, again, sign
 
 
-def find_repeats(
-    docs: DataFrame,
-    *,
-    shingle_words: int = 5,
-    percent: int = 80,
-    window: int = 25,
-    recall: float = 0.99,
-    max_bands: int = 3,
-    max_broadcast_copies: int = 1_000_000,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Spans of words to remove: doc_id, first_word, end_word, n_words, cluster, keep_doc_id.
+def _clustered(
+    docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, max_broadcast_copies: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of clusters in at least two rows (row, doc_id, first, cluster, keep_doc_id, keep_row); copies of whole texts; the texts they are copies of.
 
     Of equal texts the one with the least id stays and the others are one span
     each.  In the rest, paragraphs are windows of ``window`` words from each
@@ -121,13 +112,7 @@ def find_repeats(
     that collide across documents are candidates; equal ones are one class, different ones are verified by the
     exact Jaccard similarity of their ``shingle_words``-word shingles, and
     links are closed to components.  In a component that reaches two rows, the
-    windows of the row with the least (id, place) stay and all others go;
-    overlapping windows of a document make one span, whose text is still whole
-    in the rows that keep it.
-
-    Texts of fewer than ``window`` words, null and empty ones have no spans.
-    Null ids come after all others; a repeated row counts as another
-    document; other columns aren't read; an empty table gives an empty result.
+    windows of the row with the least (id, place) stay and all others go.
     """
     spark = docs.sparkSession
     bands, rows = tune_bands(percent / 100, recall, max_bands)
@@ -147,8 +132,8 @@ def find_repeats(
             yield pa.record_batch([batch.column(0), pa.array(stamp, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "stamp", "n"])
 
     stamps = settle(texts.mapInArrow(stamped, "doc_id bigint, stamp binary, n bigint").where(F.col("n") >= window), "stamps")
-    firsts = stamps.groupBy("stamp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")).where("times > 1 and least is not null").drop("times")
-    copies = settle(stamps.join(firsts, "stamp").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "stamp", "n", "least"), "copies")
+    firsts = stamps.groupBy("stamp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.min("n").alias("n")).where("times > 1 and least is not null").drop("times")
+    copies = settle(stamps.join(firsts.drop("n"), "stamp").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "stamp", "n", "least"), "copies")
     copy_ids = fit_for_broadcast(copies.select(F.col("doc_id").alias("copy")).where("copy is not null").distinct(), max_broadcast_copies)
     texts = texts.join(copy_ids, F.col("doc_id") == F.col("copy"), "left_anti")
 
@@ -219,16 +204,78 @@ def find_repeats(
     held = found.select("row", "doc_id", "first", "print").join(labels, F.col("print") == F.col("node"), "left")
     held = settle(held.select("row", "doc_id", "first", F.coalesce("component", "print").alias("cluster")), "clusters")
     keep = held.groupBy("cluster").agg(F.min(place).alias("keep"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("cluster", "keep")
-    gone = held.join(keep, "cluster").where(F.col("row") != F.col("keep.row"))
-    by = Window.partitionBy("row").orderBy("first")
-    gone = gone.withColumn("_new", F.coalesce(F.col("first") > F.max(F.col("first") + window).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    gone = gone.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = gone.groupBy("row", "_span").agg(
-        F.first("doc_id").alias("doc_id"), F.min("first").alias("first_word"), (F.max("first") + window).alias("end_word"),
-        F.min("cluster").alias("cluster"), F.min("keep.doc_id").alias("keep_doc_id"),
-    ).select("doc_id", "first_word", "end_word", "cluster", "keep_doc_id")
-    whole = copies.select("doc_id", F.lit(0).cast("bigint").alias("first_word"), F.col("n").alias("end_word"), F.xxhash64("stamp").alias("cluster"), F.col("least").alias("keep_doc_id"))
-    return spans.union(whole).select(F.col("doc_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "cluster", "keep_doc_id")
+    windows = held.join(keep, "cluster").select("row", "doc_id", "first", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.row").alias("keep_row"))
+    return windows, copies, firsts.join(copies.select("stamp").distinct(), "stamp", "left_semi")
+
+
+def _spans(windows: DataFrame, window: int, group: list[str]) -> DataFrame:
+    """Overlapping or touching windows of a row that agree in ``group`` (which sets the keeper) make one span."""
+    by = Window.partitionBy("row", *group).orderBy("first")
+    windows = windows.withColumn("_new", F.coalesce(F.col("first") > F.max(F.col("first") + window).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    windows = windows.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return windows.groupBy("row", *group, "_span").agg(
+        F.first("doc_id").alias("_id"), F.min("first").alias("first_word"), (F.max("first") + window).alias("end_word"),
+        F.min("cluster").alias("_cluster"), F.first("keep_doc_id").alias("keep_doc_id"), F.first(F.col("row") == F.col("keep_row")).alias("kept"),
+    ).select(F.col("_id").alias("doc_id"), "first_word", "end_word", F.col("_cluster").alias("cluster"), "keep_doc_id", "kept")
+
+
+def _whole(texts: DataFrame, own: str, kept: bool) -> DataFrame:
+    return texts.select(F.col(own).alias("doc_id"), F.lit(0).cast("bigint").alias("first_word"), F.col("n").alias("end_word"), F.xxhash64("stamp").alias("cluster"), F.col("least").alias("keep_doc_id"), F.lit(kept).alias("kept"))
+
+
+def _named(spans: DataFrame, id_col: str) -> DataFrame:
+    return spans.select(F.col("doc_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "cluster", "keep_doc_id", "kept")
+
+
+def repeat_members(
+    docs: DataFrame,
+    *,
+    shingle_words: int = 5,
+    percent: int = 80,
+    window: int = 25,
+    recall: float = 0.99,
+    max_bands: int = 3,
+    max_broadcast_copies: int = 1_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Who belongs to which cluster: doc_id, first_word, end_word, n_words, cluster, keep_doc_id, kept.
+
+    One row per place of a document and cluster, with the id that keeps this
+    cluster; ``kept`` marks the places of the keeper itself, which stay.  So
+    places of different clusters may overlap, and each cluster is whole.
+    Otherwise as ``find_repeats``.
+    """
+    windows, copies, firsts = _clustered(docs, shingle_words, percent, window, recall, max_bands, max_broadcast_copies, id_col, text_col)
+    return _named(_spans(windows, window, ["cluster"]).union(_whole(copies, "doc_id", False)).union(_whole(firsts, "least", True)), id_col)
+
+
+def find_repeats(
+    docs: DataFrame,
+    *,
+    shingle_words: int = 5,
+    percent: int = 80,
+    window: int = 25,
+    recall: float = 0.99,
+    max_bands: int = 3,
+    max_broadcast_copies: int = 1_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Spans of words to remove: doc_id, first_word, end_word, n_words, cluster, keep_doc_id.
+
+    A span is made of overlapping windows with one keeper, and ``cluster`` is
+    the least of their clusters (``repeat_members`` has them all); spans with
+    different keepers may overlap, and their text is still whole in the rows
+    that keep it.
+
+    Texts of fewer than ``window`` words, null and empty ones have no spans.
+    Null ids come after all others; a repeated row counts as another
+    document; other columns aren't read; an empty table gives an empty result.
+    """
+    windows, copies, _ = _clustered(docs, shingle_words, percent, window, recall, max_bands, max_broadcast_copies, id_col, text_col)
+    spans = _spans(windows.where(F.col("row") != F.col("keep_row")), window, ["keep_row"])
+    return _named(spans.union(_whole(copies, "doc_id", False)), id_col).drop("kept")
 
 
 def cut_words(text: str | None, spans) -> str | None:

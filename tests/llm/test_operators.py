@@ -152,6 +152,22 @@ def test_substring_repeats(spark, corpus):
     assert not any(r.doc_id in range(60, 66) for r in again)
 
 
+def test_adjoining_passages_keep_their_own_keepers(spark):
+    words = lambda name, n: " ".join(f"{name}{j}" + "." * (j == n - 1 or j % 12 == 11) for j in range(n))
+    a, b = words("a", 25), words("b", 25)
+    rows = [(5, f"{a} {words('p', 30)}", "en", "s"), (9, f"{b} {words('q', 30)}", "en", "s"), (20, f"{a} {b} {words('r', 30)}", "en", "s"), (30, words("c", 40), "en", "s"), (31, words("c", 40), "en", "s")]
+    spans = substring_dedup.find_repeats(frame(spark, rows))
+    assert sorted((r.doc_id, r.first_word, r.end_word, r.keep_doc_id) for r in spans.collect()) == [(20, 0, 25, 5), (20, 25, 50, 9), (31, 0, 40, 30)]
+    left = {r.doc_id: r.text for r in substring_dedup.remove_spans(frame(spark, rows), spans).collect()}
+    assert left[20] == words("r", 30) and left[5] == rows[0][1] and left[9] == rows[1][1]
+    clusters = defaultdict(set)
+    for r in substring_dedup.repeat_members(frame(spark, rows)).collect():
+        clusters[r.cluster].add((r.doc_id, r.first_word, r.end_word, r.keep_doc_id, r.kept))
+    assert sorted(sorted(x) for x in clusters.values()) == [
+        [(5, 0, 25, 5, True), (20, 0, 25, 5, False)], [(9, 0, 25, 9, True), (20, 25, 50, 9, False)], [(30, 0, 40, 30, True), (31, 0, 40, 30, False)],
+    ]
+
+
 def test_cut_words_and_bands():
     span = lambda a, b: {"first_word": a, "end_word": b}
     assert substring_dedup.cut_words(" a bé\nc  d ", [span(1, 2), span(3, 4)]) == " a c  "
