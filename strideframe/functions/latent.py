@@ -54,13 +54,14 @@ def segments_needed(target: int, native: int, overlap: int) -> int:
     return 1 + max(0, math.ceil((target - native) / (native - overlap)))
 
 
-def overlap_add(segments: DataFrame, group: list[str], seg: str, values: str, native: int, overlap: int, target: int) -> DataFrame:
-    """(group, at, value): linear cross-fades, normalised by the weights, cut at ``target``."""
+def overlap_add(segments: DataFrame, group: list[str], seg: str, values: str, native: int, overlap: int, target: int | None = None) -> DataFrame:
+    """(group, at, value): linear cross-fades, normalised by the weights, cut at ``target`` (None: whole)."""
     hop = native - overlap
     s = segments.select(*group, F.col(seg).alias("_s"), F.max(seg).over(_all(group)).alias("_last"), F.posexplode(values).alias("_p", "v"))
     up = F.when((F.col("_s") > 0) & (F.col("_p") < overlap), F.col("_p") / F.lit(float(overlap))).otherwise(1.0)
     down = F.when((F.col("_s") < F.col("_last")) & (F.col("_p") >= hop), 1 - (F.col("_p") - hop) / F.lit(float(overlap))).otherwise(1.0)
-    s = s.select(*group, (F.col("_s") * hop + F.col("_p")).alias("at"), "v", (up * down).alias("w")).where(F.col("at") < target)
+    s = s.select(*group, (F.col("_s") * hop + F.col("_p")).alias("at"), "v", (up * down).alias("w"))
+    s = s if target is None else s.where(F.col("at") < target)
     return s.groupBy(*group, "at").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("value"))
 
 

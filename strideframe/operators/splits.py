@@ -18,6 +18,12 @@ def loso_folds(subjects: DataFrame, subject: str) -> DataFrame:
     return pairs.withColumn("split", F.when(F.col("held_out") == F.col(subject), "held_out").otherwise("pool"))
 
 
+def loso_fold_numbers(subjects: DataFrame, subject: str) -> DataFrame:
+    """(subject, fold): the fold that holds the subject out, and so the whole design in one row a subject."""
+    numbered = Window.partitionBy(F.lit(1)).orderBy(subject)
+    return subjects.select(subject).where(F.col(subject).isNotNull()).distinct().withColumn("fold", F.row_number().over(numbered) - 1)
+
+
 def draw_subjects(pool: list, held_out, fraction: float = 0.2, seed: int = 42) -> dict:
     """subject: split. The sorted pool without the held-out one is shuffled by MT19937; the first are validation."""
     if held_out not in pool or len(set(pool)) != len(pool):

@@ -194,6 +194,11 @@ def _(spark, d):
     return splits.loso_folds(table(spark, d, "events").where("user_id < 12"), "user_id")
 
 
+@query("loso_fold_numbers")
+def _(spark, d):
+    return splits.loso_fold_numbers(table(spark, d, "events"), "user_id")
+
+
 SUBJECT_SPLIT = splits.draw_subjects(list(range(1, 41)), 7)
 
 
@@ -207,6 +212,22 @@ def _(spark, d):
     return splits.assign_split(event_windows(spark, d, "strict", 2, 1), "user_id", SUBJECT_SPLIT).groupBy("split").agg(F.count("*").alias("n_windows"), F.count_distinct("user_id").alias("n_subjects"))
 
 
+def all_subjects_split(spark, d):
+    """A draw over every user of the table, the least one held out."""
+    users = sorted(r.user_id for r in table(spark, d, "events").select("user_id").where("user_id is not null").distinct().collect())
+    return splits.draw_subjects(users, users[0])
+
+
+@query("subject_split_all")
+def _(spark, d):
+    return splits.assign_split(table(spark, d, "events"), "user_id", all_subjects_split(spark, d)).groupBy("user_id", "split").agg(F.count("*").alias("n_rows"))
+
+
+@query("split_counts_all")
+def _(spark, d):
+    return splits.assign_split(event_windows(spark, d, "strict", 2, 1), "user_id", all_subjects_split(spark, d)).groupBy("split").agg(F.count("*").alias("n_windows"), F.count_distinct("user_id").alias("n_subjects"))
+
+
 @query("stratified_allocation", """with c as (select label, count(*) as n from embeddings group by 1), t as (select *, sum(n) over () as total, count(*) over () as k, min(n) over () as least from c),
  u as (select *, cast(greatest(1, ceil(total * 0.2e0)) as bigint) as n_val from t), v as (select *, n * n_val / cast(total as double) as ideal from u), w as (select *, cast(greatest(1, floor(ideal)) as bigint) as base from v),
  x as (select *, n_val - sum(base) over () as rest, row_number() over (order by ideal - floor(ideal) desc, label) as rnk from w)
@@ -504,7 +525,16 @@ def _(spark, d):
 
 @query("euler_trajectory", f"with {PAIR}, st as (select unnest([0, 2, 4, 6, 8, 10]) as step) select vec_id, step, round(sum(z1 - (z1 - z0) * step / 10e0), 6) as total, round(max(z1 - (z1 - z0) * step / 10e0), 6) as top from pr, st where vec_id < 50 group by 1, 2")
 def _(spark, d):
-    p = pairs(spark, d).where("vec_id < 50").withColumn("v", latent.velocity(F.col("z0"), F.col("z1")))
+    return trajectories(pairs(spark, d).where("vec_id < 50"))
+
+
+@query("euler_trajectory_all")
+def _(spark, d):
+    return trajectories(pairs(spark, d))
+
+
+def trajectories(p):
+    p = p.withColumn("v", latent.velocity(F.col("z0"), F.col("z1")))
     out = latent.euler_trajectory(p, "z1", "v", 10, 2)
     return rounded(out.select("vec_id", "step", F.aggregate("state", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("state").alias("top")))
 
@@ -520,10 +550,22 @@ def _(spark, d):
  c as (select label, g * 48 + i as at_, v, (case when g > 0 and i < 16 then i / 16e0 else 1e0 end) * (case when g < top and i >= 48 then 1 - (i - 48) / 16e0 else 1e0 end) as fade from b)
 select label, cast(at_ as bigint) as at_, round(sum(v * fade) / greatest(sum(fade), 1e-12), 8) as value from c where at_ < 200 group by 1, 2""")
 def _(spark, d):
+    return faded(segments(spark, d).where("sg < 4"), 200)
+
+
+@query("overlap_add_all")
+def _(spark, d):
+    return faded(segments(spark, d), None)
+
+
+def segments(spark, d):
     from pyspark.sql import Window
 
-    s = table(spark, d, "embeddings").withColumn("sg", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("sg < 4")
-    return rounded(latent.overlap_add(s, ["label"], "sg", "embedding", 64, 16, 200).select("label", F.col("at").cast("bigint").alias("at_"), "value"), 8)
+    return table(spark, d, "embeddings").withColumn("sg", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+
+
+def faded(s, target):
+    return rounded(latent.overlap_add(s, ["label"], "sg", "embedding", 64, 16, target).select("label", F.col("at").cast("bigint").alias("at_"), "value"), 8)
 
 
 @query("vae_loss_terms", f"with {PAIR} select vec_id, round(1e0 * avg((z1 - z0) * (z1 - z0)) + 0.5e0 * avg(abs(z1 - z0)) + 0.1e0 * 0.5e0 * avg(exp(z0) + z1 * z1 - 1 - z0), 8) as loss from pr group by 1")
@@ -534,7 +576,15 @@ def _(spark, d):
 
 @query("flatten_transpose", "select vec_id, cast(i as int) as i, embedding[(i % 4) * 16 + i // 4 + 1] as v from (select *, unnest(range(64)) as i from embeddings where vec_id < 100)")
 def _(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 100")
+    return transposed(table(spark, d, "embeddings").where("vec_id < 100"))
+
+
+@query("flatten_transpose_all")
+def _(spark, d):
+    return transposed(table(spark, d, "embeddings"))
+
+
+def transposed(e):
     rows = e.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(C - 1)), lambda c: F.slice("embedding", c * T + 1, T)))
     turned = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(T - 1)), lambda t: F.transform("w", lambda row: F.get(row, t))))
     return rows.select("vec_id", F.posexplode(turned).alias("i", "v"))
