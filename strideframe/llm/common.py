@@ -46,7 +46,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and fixes what was computed."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again: all that came of them is settled itself or was brought to an end."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fit_for_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -81,26 +91,64 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64), 31)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PIECE = 1 << 18  # bytes hashed together
+_powers = mix64(np.arange(1, 257, dtype=np.uint64), 37) | np.uint64(1)
+
+
+def sequence_hashes(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches ``[first, first + size)`` of ``values`` that follow each other without gaps; none is empty."""
+    global _powers
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    if (most := int(sizes.max())) > len(_powers):
+        _powers = mix64(np.arange(1, 2 * most + 1, dtype=np.uint64), 37) | np.uint64(1)
+    place = np.arange(len(values)) - np.repeat(first, sizes)
+    with np.errstate(over="ignore"):
+        return mix64(np.add.reduceat(values * _powers[place], first) + sizes.astype(np.uint64))
+
+
 class WordHashes:
-    """64-bit hashes of words, with a bounded memo."""
-
-    def __init__(self, most: int = 400_000):
-        import xxhash
-
-        self.known: dict[bytes, bytes] = {}
-        self.most, self.digest = most, xxhash.xxh3_64_digest
-
-    def __call__(self, ws: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in ws]), np.uint64)
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in ws:
-                if w not in known:
-                    known[w] = self.digest(w)
-            return np.frombuffer(b"".join([known[w] for w in ws]), np.uint64)
+    """The words of several texts: ``hashes`` of all in order (A-Z lower-cased), ``sizes`` in words by text, ``starts`` and ``stops`` in the bytes of ``joined``."""
+
+    def __init__(self, raws: list[bytes]):
+        self.joined = b" ".join(raws).translate(LOWER_BYTES)
+        b = np.frombuffer(self.joined, np.uint8)
+        self.text_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)])
+        hashes, starts, stops, at = [], [], [], 0
+        while at < len(b):
+            stop = min(len(b), at + _PIECE)
+            while stop < len(b) and not _SPACE[b[stop]]:  # to the end of a word
+                ahead = np.flatnonzero(_SPACE[b[stop : stop + 4096]])
+                stop += int(ahead[0]) if len(ahead) else min(4096, len(b) - stop)
+            part = b[at:stop]
+            inside = ~_SPACE[part]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+            first, size = edge[::2], edge[1::2] - edge[::2]
+            hashes.append(sequence_hashes(_BYTE[part[inside]], np.cumsum(size) - size, size))
+            starts.append(first + at)
+            stops.append(first + size + at)
+            at = stop
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.stops = np.concatenate(stops) if stops else np.zeros(0, np.int64)
+        self.sizes = np.diff(np.searchsorted(self.starts, self.text_at))
+
+
+def text_blocks(column, most_bytes: int = 1 << 20):
+    """(first row, UTF-8 bytes of each text) of stretches of an Arrow string column of about ``most_bytes`` each, one text at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield at, [x or b"" for x in column.slice(at, stop - at).to_pylist()]
+        at = stop
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

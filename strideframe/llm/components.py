@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import settle
+from strideframe.llm.common import discard, settle
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: bigint) but the least of each component.
 
     The component is its least node.  Each round is written to the shared
-    folder; rows never outnumber the edges, whatever a node's degree.  Null
-    ends and loops are ignored, repeated edges count once, no edges give no
-    rows.
+    folder and the one before deleted; rows never outnumber the edges,
+    whatever a node's degree; rounds go on until nothing changes.  Null ends
+    and loops are ignored, repeated edges count once, no edges give no rows.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, said = settle(e, "edges"), None
-    for _ in range(max_rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.sum(F.xxhash64("v", "u") % (1 << 31))).first()
         if now == said or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         said = now
@@ -28,5 +28,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        e = settle(small.distinct(), "edges")
-    raise RuntimeError("components did not settle")
+        before, e = e, settle(small.distinct(), "edges")
+        discard(before)
+
+
+def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of all links so far: ``labels`` of the links before, and ``links`` (a, b) that are new.
+
+    The new links are drawn between the components known so far, so only what
+    has still to meet is worked on.
+    """
+    if labels is None:
+        return settle(connected_components(links), "labels")
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    drawn = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    fresh = connected_components(drawn.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    step = fresh.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = labels.join(step, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return settle(moved.union(fresh), "labels")

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import LOWER_BYTES, WordHashes, byte_texts, mix64, settle, shingles
-from strideframe.llm.components import connected_components
+from strideframe.llm.common import WordHashes, discard, fit_for_broadcast, mix64, settle, shingles, text_blocks
+from strideframe.llm.components import merged_labels
 
 SKETCH = 1 << 22  # cells of the frequency classes that lead the token orders
 SKETCH_LEAST = 8  # times a token is seen twice or more within stretches before it counts as frequent
@@ -17,7 +17,8 @@ STRETCH = 2_000_000  # shingles whose repeats are looked for together
 SMALL = 6  # sets under one token that are compared outright
 MIDDLE = 64  # sets under one token whose last pairs a join makes; larger ones are compared in blocks
 SIGN_WORDS = 32  # 64-bit words of a parity signature
-BLOCK = 1024  # members that one task compares a query with
+BLOCK = 1024  # queries, and members, that meet in one group
+MOST_HUBS = 200_000  # broadcast at most
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -79,9 +80,14 @@ class Bloom:
         return found
 
 
-def bloom_of(tokens: DataFrame, column: str, least_bits: int = 20, most_bits: int = 27) -> Bloom:
-    """Marked by tasks; the marks meet as words of the table, whose size of at most 2**most_bits bits bounds what the driver gets."""
-    width = min(max(max(1, 24 * tokens.count() - 1).bit_length(), least_bits), most_bits)
+def bloom_of(tokens: DataFrame, column: str, bits_each: int = 12, least_bits: int = 20, most_bits: int = 28) -> Bloom:
+    """Marked by tasks; the marks meet as words of the table.
+
+    Its 2**most_bits bits at most (32 MB, and twice that on the way to the
+    driver) bound what is broadcast; with more tokens than they have room for
+    it lets more through, which costs work and loses nothing.
+    """
+    width = min(max(max(1, bits_each * tokens.count() - 1).bit_length(), least_bits), most_bits)
 
     def mark(batches):
         import pyarrow as pa
@@ -98,15 +104,20 @@ def bloom_of(tokens: DataFrame, column: str, least_bits: int = 20, most_bits: in
     return out
 
 
-def _sets(batch, k: int, hashes: WordHashes):
+def _sets(batch, k: int):
     """(position, digest, sorted distinct shingles) of each text of a batch."""
     import xxhash
 
-    for i, raw in enumerate(byte_texts(batch.column(batch.num_columns - 1))):
-        tokens = np.unique(shingles(hashes(raw.translate(LOWER_BYTES).split()), k))
-        digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
-        signed = np.array([digest >> 64, digest & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64)
-        yield i, (int(signed[0]), int(signed[1])), tokens
+    for first, raws in text_blocks(batch.column(batch.num_columns - 1)):
+        words = WordHashes(raws)
+        tokens, ends = shingles(words.hashes, k), np.cumsum(words.sizes)
+        for i, (n, end) in enumerate(zip(words.sizes.tolist(), ends.tolist(), strict=True)):
+            own = np.sort(tokens[end - n : end - k + 1]) if n >= k else shingles(words.hashes[end - n : end], k)
+            if len(own) > 1:
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            digest = xxhash.xxh3_128_intdigest(own.tobytes())
+            signed = np.array([digest >> 64, digest & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64)
+            yield first + i, (int(signed[0]), int(signed[1])), own
 
 
 def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -115,20 +126,20 @@ def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def run(batches):
         import pyarrow as pa
 
-        hashes, held, size = WordHashes(), [], 0
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "n", "d1", "d2", "tokens", "times"]
+        held, size = [], 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["doc_id", "text_key", "n", "d1", "d2", "tokens", "times"]
 
         def frequent():
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
             tokens, times = tokens[times > 1].view(np.int64), times[times > 1]
             for at in range(0, len(tokens), 50_000):
-                row = [[None], [-1], [None], [None], [tokens[at : at + 50_000]], [times[at : at + 50_000]]]
+                row = [[None], [None], [-1], [None], [None], [tokens[at : at + 50_000]], [times[at : at + 50_000]]]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
             n, d1, d2 = [], [], []
-            for _, digest, tokens in _sets(batch, k, hashes):
+            for _, digest, tokens in _sets(batch, k):
                 n.append(len(tokens))
                 d1.append(digest[0])
                 d2.append(digest[1])
@@ -137,12 +148,12 @@ def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 if size > STRETCH:
                     yield from frequent()
                     held, size = [], 0
-            none = pa.nulls(len(n), kinds[4])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), none, none], names=names)
+            none = pa.nulls(len(n), kinds[5])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), none, none], names=names)
         if held:
             yield from frequent()
 
-    kind = "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, times array<bigint>"
+    kind = "doc_id bigint, text_key bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, times array<bigint>"
     both = settle(texts.mapInArrow(run, kind), "signatures")
     seen = both.where("n < 0").select(F.explode(F.arrays_zip("tokens", "times")).alias("x")).groupBy("x.tokens").agg(F.sum("x.times").alias("times"))
     return both.where("n >= 0").drop("tokens", "times"), seen
@@ -163,10 +174,10 @@ def _shared_tokens(texts: DataFrame, k: int, percent: int, classes) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             out, own = [], []
-            for _, digest, tokens in _sets(batch, k, hashes):
+            for _, digest, tokens in _sets(batch, k):
                 if not len(tokens) or digest in seen:
                     continue
                 if len(seen) < 200_000:
@@ -186,11 +197,11 @@ def _candidate_sets(texts: DataFrame, k: int, percent: int, classes, bloom) -> D
     def run(batches):
         import pyarrow as pa
 
-        hashes, seen = WordHashes(), set()
+        seen = set()
         many = pa.list_(pa.int64())
         for batch in batches:
             out = []
-            for _, digest, tokens in _sets(batch, k, hashes):
+            for _, digest, tokens in _sets(batch, k):
                 if not len(tokens) or digest in seen:
                     continue
                 more = longer(len(tokens), percent)
@@ -216,7 +227,7 @@ def _least_overlap(percent: int, x, y):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs``: signatures bound the overlap, the other orders' prefixes must meet, then the sets are intersected."""
+    """Links among ``pairs``, settled: signatures bound the overlap, the other orders' prefixes must meet, then the sets are intersected."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -226,7 +237,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
     both = near.join(a, "a").join(b, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
     both = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
-    return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
+    links = settle(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
+    discard(near)
+    return links
 
 
 def _comparable(percent: int, x: str, y: str):
@@ -237,15 +250,21 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """All pairs of different labels under a token, each once, that signatures leave possible.
 
     Under a token, the members outside its largest label are queries against
-    blocks of all members.  A pair is made under the least token that both
-    prefixes share.
+    all members.  Both are dealt to blocks, and a group is one block of
+    queries with one of members.  A pair is made under the least token that
+    both prefixes share.
     """
     by_label = entries.groupBy("token", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("labels"))
-    main = main.where("labels > 1").select("token", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    main = by_label.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("labels"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.where("labels > 1").select("token", "main", blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("most")).alias("query_blocks"))
     rows = entries.join(main, "token").join(sets.select("node", "p1", "sign"), "node")
-    held = rows.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "node", "label", "n", "p1", "sign")
-    query = rows.where("label <> main").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "node", "label", "n", "p1", "sign")
+    rows = settle(rows, "cross")
+    dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["node", "label", "n", "p1", "sign", "main"]
+    held = rows.select("token", dealt(1, "blocks").alias("block"), every("query_blocks").alias("query_block"), F.lit(False).alias("query"), *own)
+    query = rows.where("label <> main").select("token", every("blocks").alias("block"), dealt(2, "query_blocks").alias("query_block"), F.lit(True).alias("query"), *own)
 
     def compare(key, pdf):
         import pandas as pd
@@ -256,11 +275,10 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         if len(q) and len(m):
             nodes, labels, sizes = m["node"].to_numpy(), m["label"].to_numpy(), m["n"].to_numpy()
             signs = np.stack(m["sign"].to_numpy()).view(np.uint64)
-            outside = set(q["node"])
-            is_query = np.array([x in outside for x in nodes])
             firsts = [set(p.tolist()) for p in m["p1"]]
+            main = m["main"].iloc[0]
             for node, label, n, p1, sign in zip(q["node"], q["label"], q["n"], q["p1"], q["sign"], strict=True):
-                ok = (labels != label) & (~is_query | (nodes > node)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                ok = (labels != label) & ((labels == main) | (nodes > node)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                 at = np.flatnonzero(ok)
                 apart = np.bitwise_count(signs[at] ^ np.asarray(sign).view(np.uint64)).sum(axis=1)
                 need = np.ceil((sizes[at] + n) * percent / (100.0 + percent) - 1e-9)
@@ -268,29 +286,30 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 out += [(node, nodes[i]) for i in at[sizes[at] + n - apart >= 2 * need] if min(mine & firsts[i]) == token]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return held.union(query).groupBy("token", "block").applyInPandas(compare, "a bigint, b bigint")
+    return held.union(query).groupBy("token", "query_block", "block").applyInPandas(compare, "a bigint, b bigint")
 
 
-def link_sets(sets: DataFrame, percent: int, hub_rounds: int = 3) -> DataFrame:
-    """(node, component) of the links among sets that share a token of ``p1``; least nodes are left out.
+def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds: int = 3) -> DataFrame:
+    """(node, component) of the links among sets that meet under a token; least nodes are left out.
 
-    ``sets`` has node, n, tokens, p1 (where candidates meet), p2 and p3 (which
-    must meet too) and sign, and should be a settled table.
+    ``entries`` (node, n, token; each once) says where sets meet.  ``sets``
+    (node, tokens, p1: the tokens it has entries for, p2 and p3: which must
+    meet too, sign) should be a settled table.
     """
-    entries = sets.select("node", "n", F.explode("p1").alias("token"))
     entries = entries.join(entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "token")
     entries = settle(entries, "entries")
     few = entries.where(F.col("size") <= SMALL)
     a, b = few.select("token", F.col("node").alias("a"), F.col("n").alias("x")), few.select("token", F.col("node").alias("b"), F.col("n").alias("y"))
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & _comparable(percent, "x", "y")).select("a", "b")
     many = entries.where(F.col("size") > SMALL).select("token", "node", "n", F.col("node").alias("label"))
-    links = None
+    labels, spent = None, [entries]
     for turn in range(hub_rounds + 1):
         if turn < hub_rounds:
             hub = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "label"))
             hubs = many.groupBy("token").agg(F.array(hub(2 * turn), hub(2 * turn + 1)).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            hubs = hubs.where("lo <> hi").select("token", F.explode("h").alias("h"))
-            found = many.join(hubs, "token").select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.n").alias("x"), F.col("n").alias("y"), F.col("h.label").alias("la"), F.col("label").alias("lb"))
+            hubs = settle(hubs.where("lo <> hi").select("token", F.explode("h").alias("h")), "hubs")
+            spent.append(hubs)
+            found = many.join(fit_for_broadcast(hubs, MOST_HUBS), "token").select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.n").alias("x"), F.col("n").alias("y"), F.col("h.label").alias("la"), F.col("label").alias("lb"))
             found = found.where((F.col("la") != F.col("lb")) & _comparable(percent, "x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.union(found) if turn == 0 else found
         else:
@@ -301,24 +320,32 @@ def link_sets(sets: DataFrame, percent: int, hub_rounds: int = 3) -> DataFrame:
             b = middle.select("token", F.col("node").alias("b"), F.col("n").alias("y"), F.col("label").alias("lb"))
             pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _comparable(percent, "x", "y")).select("a", "b")
             pairs = pairs.union(_cross_pairs(large, sets, percent))
-        new = settle(_verified(settle(pairs.distinct(), "pairs"), sets, percent), "links")
-        links = new if links is None else links.union(new)
-        labels = connected_components(links)
+        pairs = settle(pairs.distinct(), "pairs")
+        links = _verified(pairs, sets, percent)
+        before, labels = labels, merged_labels(labels, links)
+        discard(pairs, links, *([before] if before is not None else []))
         if turn < hub_rounds:
             many = many.drop("label").join(labels.select("node", F.col("component").alias("label")), "node", "left")
             many = many.select("token", "node", "n", F.coalesce("label", "node").alias("label"))
             left = many.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
             many = settle(many.join(left, "token"), "entries")
+            discard(*spent)
+            spent = [many]
             if many.isEmpty():
                 break
+    discard(*spent)
     return labels
 
 
 def jaccard_components(
-    docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every document; exact.
 
+    ``with_class`` adds ``text_key`` (a hash of the text, which tells rows of
+    one id apart) and ``class`` (of its component, null without words): ids
+    that several texts share may make components of one ``component_id``.
+
     Documents link when ``100 * intersection >= percent * union`` of their
     distinct shingles (A-Z lower-cased; fewer words than ``shingle_words``
     make one shingle); ``component_id`` is the least id that links reach.
@@ -341,20 +368,25 @@ def jaccard_components(
     aren't read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     documents, seen = _signatures(texts, shingle_words)
+    texts = texts.select("text")
     classes = spark.sparkContext.broadcast(_frequency_classes(seen))
     groups = documents.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     groups = settle(groups.withColumn("node", F.monotonically_increasing_id()), "classes")
     shared = _shared_tokens(texts, shingle_words, percent, classes)
     bloom = spark.sparkContext.broadcast(bloom_of(shared, "token"))
+    discard(shared)
     sets = _candidate_sets(texts, shingle_words, percent, classes, bloom).dropDuplicates(["d1", "d2"])
     sets = settle(sets.join(groups.drop("least"), ["d1", "d2"]).drop("d1", "d2"), "sets")
 
-    labels = link_sets(sets, percent, hub_rounds)
+    labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent, hub_rounds)
+    discard(sets)
     named = groups.join(labels, "node", "left").select("d1", "d2", "least", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("d1", "d2", "component_id")
-    full = documents.where("n > 0").join(named, ["d1", "d2"]).select("doc_id", "n", "component_id")
-    alone = documents.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.union(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = named.join(least, "label").select("d1", "d2", "label", "component_id")
+    own = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *(["text_key", F.col("label").alias("class")] if with_class else [])]
+    full = documents.where("n > 0").join(named, ["d1", "d2"]).select(*own)
+    alone = documents.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("label", F.lit(None).cast("bigint")).select(*own)
+    return full.union(alone).withColumnRenamed("doc_id", id_col)

@@ -1,20 +1,23 @@
-"""Passages that repeat across documents, by MinHash banding of paragraph windows."""
+"""Passages that repeat across documents, by MinHash banding of paragraphs."""
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import LOWER_BYTES, WordHashes, byte_texts, fit_for_broadcast, mix64, settle, shingles
-from strideframe.llm.jaccard_join import bloom_of, link_sets
+from strideframe.llm.common import WordHashes, discard, fit_for_broadcast, mix64, sequence_hashes, settle, shingles, text_blocks
+from strideframe.llm.jaccard_join import bloom_of, link_entries
 
 SIGN_WORDS = 4
-_PLACE = np.uint64((1 << 20) - 1)
+SPREAD = 16  # of so many neighbouring words, a window starts at one
+MEMO = 200_000  # texts and units that a task remembers to have sent on
+MOST_ROWS = 1_000_000  # of narrow rows, broadcast at most
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -31,200 +34,295 @@ def tune_bands(similarity: float, recall: float, max_bands: int) -> tuple[int, i
     return best
 
 
-class Windows:
-    """Paragraph windows of several texts at once.
+def slide_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``x[i : i + width]`` for every i."""
+    if len(x) < width:
+        return x[:0]
+    span = 1
+    while 2 * span <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
-    ``at`` are starts within the joined words, ``text`` and ``first`` the
-    number of the text and the start within it, ``keys`` [window, band] the
-    band keys, ``prints`` stand for a window's words, ``tokens`` are shingles.
+
+def window_starts(tokens: np.ndarray, natural: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int, spread: int = SPREAD) -> np.ndarray:
+    """Words where windows begin: ``natural`` starts; where there is none among ``spread`` neighbours the one with the least hashed shingle (winnowing); each text's first and last window.
+
+    Whether a word is chosen depends on nearby words of its text only, so equal
+    passages of ``window + spread - 1`` words have a window at the same words
+    wherever they stand, and shorter ones if they begin at a natural start.
+    Where one shingle repeats within reach, every ``spread``-th place is enough.
+    """
+    sizes = ends - begins
+    n = len(tokens)
+    if not n or not (sizes >= window).any():
+        return np.zeros(0, np.int64)
+    last = np.repeat(ends - window, sizes)[:n]
+    m = mix64(tokens, 5)
+    chosen = np.zeros(n, bool)
+    if n >= spread:
+        lows = slide_min(m, spread)
+        so_far = np.concatenate([[0], np.cumsum(natural[:n])])
+        open_ = (so_far[spread:] == so_far[: len(lows)]) & (np.arange(len(lows)) + spread - 1 <= last[: len(lows)])  # all of them starts of one text
+        none = np.zeros(spread - 1, np.uint64)
+        chosen = ~slide_min(~np.concatenate([none, np.where(open_, lows, np.uint64(0)), none]), spread) == m
+    at = np.flatnonzero(chosen)
+    if len(at):
+        new = np.concatenate([[True], (m[at[1:]] != m[at[:-1]]) | (np.diff(at) > spread)])
+        run = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        step = (at - run) // spread
+        at = at[new | np.concatenate([[True], step[1:] != step[:-1]])]
+    fits = sizes >= window
+    at = np.unique(np.concatenate([at, np.flatnonzero(natural[:n]), begins[fits], (ends - window)[fits]]))
+    return at[at <= last[at]]
+
+
+class Units:
+    """Paragraph units of several texts: windows of ``window`` words, and whole lines of that many words or more.
+
+    Of unit i, ``text[i]`` is its text's number, ``first[i]`` and ``size[i]``
+    say which words, ``keys[i, band]`` are the band keys and ``prints[i]``
+    stands for its words.
     """
 
-    def __init__(self, raws: list[bytes], hashes: WordHashes, k: int, window: int, bands: int, rows: int):
-        split = [raw.translate(LOWER_BYTES).split() for raw in raws]
-        ws = list(chain.from_iterable(split))
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
-        h = hashes(ws)
-        ends = np.cumsum(self.sizes)
-        owner = np.repeat(np.arange(len(split)), self.sizes)
-        begins = (ends - self.sizes)[owner]
-        self.at = paragraph_starts(ws, h, begins)
-        self.at = self.at[self.at + window <= ends[owner[self.at]]]
-        self.text, self.first = owner[self.at], self.at - begins[self.at]
-        self.tokens = shingles(h, k)
-        wide = window - k + 1
-        edges = np.stack([self.at, self.at + wide], axis=1).ravel()
-        place = np.arange(len(self.tokens) + 1, dtype=np.uint64)
+    def __init__(self, raws: list[bytes], k: int, window: int, percent: int, bands: int, rows: int):
+        words = WordHashes(raws)
+        self.k, self.window, self.bands = k, window, bands
+        self.words = words.sizes
+        ends = np.cumsum(self.words)
+        begins = ends - self.words
+        h, self.tokens = words.hashes, shingles(words.hashes, k)
+        b = np.frombuffer(words.joined, np.uint8)
+        breaks = np.searchsorted(words.starts, np.flatnonzero(b == 10))
+        natural = np.zeros(len(h) + 1, bool)
+        stop = np.isin(b[words.stops - 1], [33, 46, 63])  # . ! ?
+        natural[1:-1] = stop[:-1] & ~stop[1:]
+        natural[breaks] = True
+        at = window_starts(self.tokens, natural, begins, ends, window)
+        self.wide, self.windows = window - k + 1, len(at)
+        cuts = np.unique(np.concatenate([breaks, begins, [len(h)]]))
+        line, size = cuts[:-1], np.diff(cuts)
+        whole = size >= window
+        lines, size_of_lines = line[whole], size[whole]
+        self.at = np.concatenate([at, lines])
+        self.size = np.concatenate([np.full(len(at), window), size_of_lines])
+        owner = np.searchsorted(ends, self.at, "right")
+        self.text, self.first = owner, self.at - begins[owner]
+        self.prints = np.zeros(len(self.at), np.uint64)
+        own = self.prints[: len(at)]
+        for j in [*range(0, self.wide - 1, k), self.wide - 1] if len(at) else []:
+            own[:] = mix64(own ^ self.tokens[at + j], 7)
+        self.prints[len(at) :] = mix64(sequence_hashes(h, line, size)[whole], 8)
+        edges = np.stack([lines, lines + size_of_lines - k + 1], axis=1).ravel()
         self.keys = np.zeros((len(self.at), bands), np.uint64)
+        self.firsts: list[np.ndarray] = []  # of each band, the hashes whose least its first row is
         for band in range(bands if len(self.at) else 0):
             for row in range(rows):
-                m = np.append(mix64(self.tokens, 20 + band * rows + row), _PLACE) & ~_PLACE | (place & _PLACE)
-                least = np.minimum.reduceat(m, edges)[::2]
-                offset = (least - self.at.astype(np.uint64)) & _PLACE
-                self.keys[:, band] = mix64(self.keys[:, band] ^ (least & ~_PLACE | offset), band + 1)
-        self.prints = np.zeros(len(self.at), np.uint64)
-        for j in [*range(0, wide - 1, k), wide - 1]:
-            self.prints = mix64(self.prints ^ self.tokens[self.at + j], 7)
-
-
-def paragraph_starts(ws: list[bytes], hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Words where a window may begin: each text and sentence, and in sentences of over 16 words also where a word's hash says so or the word repeats.
-
-    ``begins`` has each word's text's first word.  Starts depend on nearby
-    words only, so equal passages begin windows at the same words wherever
-    they stand.
-    """
-    n = len(ws)
-    if not n:
-        return np.zeros(0, np.int64)
-    stops = np.cumsum(np.fromiter(map(len, ws), np.int64, n))
-    last = np.frombuffer(b"".join(ws), np.uint8)[stops - 1]
-    start = np.arange(n) == begins
-    start[1:] |= ((last == 46) | (last == 33) | (last == 63))[:-1]
-    first = np.flatnonzero(start)
-    size = np.diff(np.append(first, n))
-    long = np.repeat(size > 16, size)
-    again = np.concatenate([[False], hashes[1:] == hashes[:-1]]) & ((np.arange(n) - begins) % 8 == 0)  # runs of one word look alike everywhere
-    return np.flatnonzero(start | long & ((hashes & np.uint64(3) == 0) | again))
-
-
-def _token_sets(tokens: np.ndarray, at: np.ndarray, wide: int):
-    """Sorted 32-bit shingles [window, wide], which of them repeat, and parity signatures of the rest."""
-    own = np.sort((tokens[at[:, None] + np.arange(wide)] & np.uint64(0xFFFFFFFF)), axis=1)
-    again = np.zeros(own.shape, bool)
-    again[:, 1:] = own[:, 1:] == own[:, :-1]
-    cell = mix64(own, 99) >> np.uint64(64 - (64 * SIGN_WORDS - 1).bit_length())
-    bit = np.where(again, np.uint64(0), np.uint64(1) << (cell & np.uint64(63)))
-    word = cell >> np.uint64(6)
-    sign = np.stack([np.bitwise_xor.reduce(np.where(word == w, bit, np.uint64(0)), axis=1) for w in range(SIGN_WORDS)], axis=1)
-    return own, again, sign
-
-
-def _clustered(
-    docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, max_broadcast_copies: int, id_col: str, text_col: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows of clusters in at least two rows (row, doc_id, first, cluster, keep_doc_id, keep_row); copies of whole texts; the texts they are copies of.
-
-    Of equal texts the one with the least id stays and the others are one span
-    each.  In the rest, paragraphs are windows of ``window`` words from each
-    sentence start, so a passage of twice that length is found wherever it
-    stands.  A band is the least of seeded shingle hashes with its place in the
-    window, so that overlapping windows of one passage don't collide; windows
-    that collide across documents are candidates; equal ones are one class, different ones are verified by the
-    exact Jaccard similarity of their ``shingle_words``-word shingles, and
-    links are closed to components.  In a component that reaches two rows, the
-    windows of the row with the least (id, place) stay and all others go.
+                m = mix64(self.tokens, 20 + band * rows + row)
+                if not row:
+                    self.firsts.append(m)
+                least = np.concatenate([slide_min(m, self.wide)[at], np.minimum.reduceat(np.append(m, _TOP), edges)[::2] if len(lines) else m[:0]])
+                self.keys[:, band] = mix64(self.keys[:, band] ^ least, band + 1)
+            self.keys[len(at) :, band] = mix64(self.keys[len(at) :, band], 70)  # lines meet lines
+        need = -(-2 * percent * self.wide // (100 + percent))
+        self.lost = self.wide - need  # shingles that two windows of the similarity may each have apart
+
+    def new_keys(self) -> np.ndarray:
+        """Which keys differ from those of the window before, so that a key leaves a text about once."""
+        out = np.ones(self.keys.shape, bool)
+        w = self.windows
+        if w > 1:
+            out[1:w] = (self.keys[1:w] != self.keys[: w - 1]) | (self.text[1:w] != self.text[: w - 1])[:, None]
+        return out
+
+    def sets(self, at: np.ndarray, hit: np.ndarray):
+        """Of the units ``at``, reordered: prints, sizes and tokens of their shingle sets, parity signatures, and where they meet (and how often each does); ``hit[unit, band]`` says which band keys are shared.
+
+        Two windows of the similarity, in which no shingle repeats, have at
+        most ``lost`` shingles each that the other lacks, and as a change
+        inside takes more, all of these are at the edges.  So the least
+        shingle stands at most ``lost`` places apart in the two, and the
+        shingles around it agree; a band's key is met together with its place,
+        in stretches that overlap by ``lost``, and with those shingles.  Lines
+        and windows with repeats are met by the band's key alone.
+        """
+        near = 0 < 4 * self.lost < self.wide and self.lost <= self.k - 2
+        w = at[at < self.windows]
+        inside = self.at[w][:, None] + np.arange(self.wide)
+        grid = np.sort(self.tokens[inside], axis=1)
+        plain = ~(grid[:, 1:] == grid[:, :-1]).any(axis=1) & near
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain), np.arange(len(w), len(at))])
+        at, hit, n = at[order], hit[order], int(plain.sum())
+        step, keys = self.lost + 1, self.keys[at]
+        met, ok = np.zeros((len(at), self.bands, 2), np.uint64), np.zeros((len(at), self.bands, 2), bool)
+        met[n:, :, 0], ok[n:, :, 0] = keys[n:], hit[n:]
+        if n:
+            around = shingles(self.tokens, self.wide - 4 * self.lost)
+            for band in range(self.bands):
+                place = np.argmin(self.firsts[band][inside[plain]], axis=1)
+                for back in (0, 1):
+                    stretch = place // step - back
+                    ok[:n, band, back] = hit[:n, band] & (stretch >= 0) & (place <= stretch * step + 2 * self.lost)
+                    of = around[np.where(ok[:n, band, back], self.at[at[:n]] + place + self.lost - stretch * step, 0)]
+                    met[:n, band, back] = mix64(keys[:n, band] ^ of, 41) ^ stretch.astype(np.uint64)
+        others = [np.unique(self.tokens[self.at[i] : self.at[i] + self.size[i] - self.k + 1]) for i in at[n:].tolist()]
+        sizes = np.concatenate([np.full(n, self.wide), np.array([len(x) for x in others], np.int64)]).astype(np.int64)
+        tokens = np.concatenate([grid[plain].ravel(), *others])
+        cells = 64 * SIGN_WORDS
+        cell = (mix64(tokens, 99) >> np.uint64(40)).astype(np.int64) % cells + np.repeat(np.arange(len(at)) * cells, sizes)
+        odd = np.bincount(cell, minlength=len(at) * cells) & 1
+        signs = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        return self.prints[at], sizes, tokens, signs, mix64(met[ok], 9), ok.reshape(len(at), -1).sum(axis=1)
+
+
+def _text_key(text: Column) -> Column:
+    """Stands for a text, in every pass over it."""
+    return F.xxhash64(text)
+
+
+def _long(x):
+    import pyarrow as pa
+
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def _lists(values, sizes, kind):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
+
+
+_FOUND = "row bigint, n bigint, first array<int>, size array<int>, print array<bigint>, node bigint, m bigint, tokens array<bigint>, p1 array<bigint>, sign array<bigint>"
+
+
+def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Places of clusters that reach two texts: row, doc_id, first, size, cluster, keep_doc_id, keep_row; and of equal texts all but the one that stays.
+
+    A text is known by a hash of it (``row``); equal texts are worked on once,
+    under the least id.  Units (lines and windows) whose band keys meet in
+    another text are looked at further: those of equal words are one class,
+    others are linked by the exact Jaccard similarity of their shingles, and
+    links are closed to components.  In a component that reaches two texts,
+    the places of the text with the least (id, hash) stay.
     """
     spark = docs.sparkSession
     bands, rows = tune_bands(percent / 100, recall, max_bands)
-    wide = window - shingle_words + 1
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def stamped(batches):
-        import pyarrow as pa
-        import xxhash
-
-        for batch in batches:
-            stamp, n = [], []
-            for raw in byte_texts(batch.column(1)):
-                d = xxhash.xxh3_128_digest(raw)
-                stamp.append(d)
-                n.append(len(raw.split()))
-            yield pa.record_batch([batch.column(0), pa.array(stamp, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "stamp", "n"])
-
-    stamps = settle(texts.mapInArrow(stamped, "doc_id bigint, stamp binary, n bigint").where(F.col("n") >= window), "stamps")
-    firsts = stamps.groupBy("stamp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.min("n").alias("n")).where("times > 1 and least is not null").drop("times")
-    copies = settle(stamps.join(firsts.drop("n"), "stamp").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "stamp", "n", "least"), "copies")
-    copy_ids = fit_for_broadcast(copies.select(F.col("doc_id").alias("copy")).where("copy is not null").distinct(), max_broadcast_copies)
-    texts = texts.join(copy_ids, F.col("doc_id") == F.col("copy"), "left_anti")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(_text_key(text).alias("row"), text.alias("text"))
 
     def each(batches):
-        """(row of the first text, ids, windows) of some texts at a time; a row is a text's place in its partition."""
-        from pyspark import TaskContext
-
-        hashes, row = WordHashes(), TaskContext.get().partitionId() << 40
+        """(rows, units) of some texts at a time, those met before left out."""
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                w = Windows(byte_texts(part.column(1)), hashes, shingle_words, window, bands, rows)
-                if len(w.at):
-                    yield row, part.column(0), w
-                row += part.num_rows
-
-    def long(x):
-        import pyarrow as pa
-
-        return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+            ids = batch.column(0).to_pylist()
+            fresh = []
+            for i, row in enumerate(ids):
+                if row not in seen:
+                    fresh.append(i)
+                    if len(seen) < MEMO:
+                        seen.add(row)
+            part = batch.take(fresh)
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            for at, raws in text_blocks(part.column(1)):
+                yield ids[at : at + len(raws)], Units(raws, shingle_words, window, percent, bands, rows)
 
     def keys_of(batches):
         import pyarrow as pa
 
-        for row, _, w in each(batches):
-            yield pa.record_batch([long(w.keys.ravel()), long(np.repeat(w.text + row, bands))], names=["key", "row"])
+        for ids, u in each(batches):
+            new = u.new_keys()
+            yield pa.record_batch([_long(u.keys[new]), _long(np.broadcast_to(ids[u.text][:, None], new.shape)[new])], names=["key", "row"])
 
     sides = texts.mapInArrow(keys_of, "key bigint, row bigint").groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b"))
     shared = settle(sides.where("a <> b").select("key"), "keys")
     bloom = spark.sparkContext.broadcast(bloom_of(shared, "key"))
+    discard(shared)
 
-    def colliding(batches):
-        import pyarrow as pa
-
-        for row, ids, w in each(batches):
-            at = np.flatnonzero(bloom.value.among(w.keys.ravel()).reshape(w.keys.shape).any(axis=1))
-            if len(at):
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), long(w.keys[at].ravel()))
-                columns = [long(w.text[at] + row), ids.take(pa.array(w.text[at])), long(w.first[at]), long(w.prints[at]), lists]
-                yield pa.record_batch(columns, names=["row", "doc_id", "first", "print", "keys"])
-
-    found = settle(texts.mapInArrow(colliding, "row bigint, doc_id bigint, first bigint, print bigint, keys array<bigint>"), "windows")
-    meets = found.select(F.explode("keys").alias("key"), "print").groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("key")
-    differ = settle(found.select(F.explode("keys").alias("key"), "print").distinct().join(meets, "key").groupBy("print").agg(F.collect_list("key").alias("p1")), "differ")
-    needed = spark.sparkContext.broadcast(bloom_of(differ, "print"))
-    holders = found.join(differ.select("print"), "print").groupBy("print").agg(F.min("doc_id").alias("holder"))
-    holders = fit_for_broadcast(settle(holders.select("holder").distinct(), "holders"), max_broadcast_copies)
-    holding = texts.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-
-    def sets_of(batches):
+    def found_in(batches):
         import pyarrow as pa
 
-        for _, _, w in each(batches):
-            at = np.flatnonzero(needed.value.among(w.prints))
-            if len(at):
-                own, again, sign = _token_sets(w.tokens, w.at[at], wide)
-                size = (~again).sum(axis=1)
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[~again].astype(np.uint32).view(np.int32)))
-                signs = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * SIGN_WORDS), long(sign.ravel()))
-                yield pa.record_batch([long(w.prints[at]), long(size), lists, signs], names=["node", "n", "tokens", "sign"])
-
-    sets = holding.mapInArrow(sets_of, "node bigint, n bigint, tokens array<int>, sign array<bigint>").dropDuplicates(["node"])
-    here = F.array(F.lit(0))  # windows have no more prefixes to meet in
-    sets = settle(sets.join(differ, F.col("node") == F.col("print")).select("node", "n", "tokens", "p1", here.alias("p2"), here.alias("p3"), "sign"), "sets")
-    labels = link_sets(sets, percent)
+        many, small, seen = pa.list_(pa.int64()), pa.list_(pa.int32()), set()
+        kinds = [pa.int64(), pa.int64(), small, small, pa.list_(pa.int64()), pa.int64(), pa.int64(), many, many, many]
+        names = [x.split(" ")[0] for x in _FOUND.split(", ")]
+        for ids, u in each(batches):
+            hit = bloom.value.among(u.keys.ravel()).reshape(u.keys.shape)
+            at = np.flatnonzero(hit.any(axis=1))
+            order = np.argsort(u.text[at], kind="stable")
+            per = np.bincount(u.text[at], minlength=len(ids))
+            columns = [
+                _long(ids), _long(u.words), _lists(u.first[at][order].astype(np.int32), per, pa.int32()), _lists(u.size[at][order].astype(np.int32), per, pa.int32()),
+                _lists(u.prints[at][order].view(np.int64), per, pa.int64()), *[pa.nulls(len(ids), kind) for kind in kinds[5:]],
+            ]
+            yield pa.record_batch(columns, names=names)
+            prints = u.prints[at]
+            _, one = np.unique(prints, return_index=True)
+            one = np.sort(np.array([i for i in one.tolist() if int(prints[i]) not in seen], np.int64))
+            if len(seen) < MEMO:
+                seen.update(prints[one].tolist())
+            if len(one):
+                own, sizes, tokens, signs, meets, times = u.sets(at[one], hit[at[one]])
+                columns = [
+                    *[pa.nulls(len(one), kind) for kind in kinds[:5]], _long(own), _long(sizes), _lists(tokens.view(np.int64), sizes, pa.int64()),
+                    _lists(meets.view(np.int64), times, pa.int64()), _lists(signs, np.full(len(one), SIGN_WORDS), pa.int64()),
+                ]
+                yield pa.record_batch(columns, names=names)
+
+    found = settle(texts.mapInArrow(found_in, _FOUND), "found")
+    units = found.where("node is not null")
+    entries = units.select(F.explode("p1").alias("token"), "node", F.col("m").alias("n"))
+    meets = settle(entries.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "meets")
+    entries = settle(entries.join(fit_for_broadcast(meets, MOST_ROWS), "token").distinct(), "entries")
+    nodes = settle(entries.select("node").distinct(), "nodes")
+    here = F.array(F.lit(0))  # units have no more prefixes to meet in
+    sets = units.join(fit_for_broadcast(nodes, MOST_ROWS), "node").select("node", F.col("m").alias("n"), "tokens", "p1", here.alias("p2"), here.alias("p3"), "sign")
+    sets = settle(sets.dropDuplicates(["node"]), "sets")
+    labels = link_entries(entries, sets, percent)
+    discard(meets, entries, nodes, sets)
+
+    stamps = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text).alias("row"), F.xxhash64(F.lit(1), text).alias("check"))
+    stamps = settle(stamps.where(text.rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "row", "check").agg(F.count("*").alias("times")), "stamps")
+    of_text = settle(stamps.groupBy("row", "check").agg(F.min("doc_id").alias("least"), F.sum("times").alias("times")), "texts")
+    whole = found.where("node is null").dropDuplicates(["row"]).join(of_text.groupBy("row").agg(F.min("least").alias("doc_id")), "row")
+    places = whole.where(F.size("first") > 0).select("row", "doc_id", F.explode(F.arrays_zip("first", "size", "print")).alias("u")).select("row", "doc_id", "u.first", "u.size", "u.print")
+    places = settle(places, "places")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place")
-    held = found.select("row", "doc_id", "first", "print").join(labels, F.col("print") == F.col("node"), "left")
-    held = settle(held.select("row", "doc_id", "first", F.coalesce("component", "print").alias("cluster")), "clusters")
-    keep = held.groupBy("cluster").agg(F.min(place).alias("keep"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("cluster", "keep")
-    windows = held.join(keep, "cluster").select("row", "doc_id", "first", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.row").alias("keep_row"))
-    return windows, copies, firsts.join(copies.select("stamp").distinct(), "stamp", "left_semi")
-
-
-def _spans(windows: DataFrame, window: int, group: list[str]) -> DataFrame:
-    """Overlapping or touching windows of a row that agree in ``group`` (which sets the keeper) make one span."""
+    prints = places.groupBy("print").agg(F.min(place).alias("keep"), F.min("row").alias("lo"), F.max("row").alias("hi"))
+    prints = prints.join(labels, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("cluster"), "keep", "lo", "hi")
+    prints = settle(prints, "prints")
+    clusters = prints.groupBy("cluster").agg(F.min("keep").alias("keep"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("cluster", "keep")
+    kept = settle(prints.drop("keep").join(clusters, "cluster").select("print", "cluster", "keep"), "kept")
+    held = places.join(fit_for_broadcast(kept, MOST_ROWS // 4), "print")
+    held = settle(held.select("row", "doc_id", "first", "size", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.row").alias("keep_row")), "clusters")
+
+    twice = settle(of_text.where("times > 1").join(found.where("node is null").select("row", "n").dropDuplicates(["row"]), "row"), "twice")
+    copies = stamps.join(fit_for_broadcast(twice.drop("times"), MOST_ROWS // 4), ["row", "check"])
+    discard(labels, places, prints, kept)
+    return held, copies
+
+
+def _spans(windows: DataFrame, group: list[str]) -> DataFrame:
+    """Overlapping or touching places of a text that agree in ``group`` (which sets the keeper) make one span."""
     by = Window.partitionBy("row", *group).orderBy("first")
-    windows = windows.withColumn("_new", F.coalesce(F.col("first") > F.max(F.col("first") + window).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    end = F.col("first") + F.col("size")
+    windows = windows.withColumn("_new", F.coalesce(F.col("first") > F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     windows = windows.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return windows.groupBy("row", *group, "_span").agg(
-        F.first("doc_id").alias("_id"), F.min("first").alias("first_word"), (F.max("first") + window).alias("end_word"),
+        F.first("doc_id").alias("_id"), F.min("first").cast("bigint").alias("first_word"), F.max(end).cast("bigint").alias("end_word"),
         F.min("cluster").alias("_cluster"), F.first("keep_doc_id").alias("keep_doc_id"), F.first(F.col("row") == F.col("keep_row")).alias("kept"),
-    ).select(F.col("_id").alias("doc_id"), "first_word", "end_word", F.col("_cluster").alias("cluster"), "keep_doc_id", "kept")
+    ).select(F.col("_id").alias("doc_id"), "first_word", "end_word", F.col("_cluster").alias("cluster"), "keep_doc_id", "kept", F.lit(1).cast("bigint").alias("n_rows"), F.lit(False).alias("but_one"), F.col("row").alias("text_key"))
 
 
-def _whole(texts: DataFrame, own: str, kept: bool) -> DataFrame:
-    return texts.select(F.col(own).alias("doc_id"), F.lit(0).cast("bigint").alias("first_word"), F.col("n").alias("end_word"), F.xxhash64("stamp").alias("cluster"), F.col("least").alias("keep_doc_id"), F.lit(kept).alias("kept"))
+def _copies(copies: DataFrame, members: bool) -> DataFrame:
+    """Whole equal texts: ``n_rows`` rows of an id go, all of them or (``but_one``) all but one, which stays."""
+    stays = F.col("doc_id").eqNullSafe(F.col("least"))
+    row = lambda n, kept: F.struct(n.cast("bigint").alias("n_rows"), F.lit(kept).alias("kept"))
+    parts = F.array(row(F.col("times") - stays.cast("long"), False), *([row(stays.cast("long"), True)] if members else []))
+    out = copies.select("doc_id", "n", "least", "row", stays.alias("but_one"), F.explode(parts).alias("part")).where("part.n_rows > 0")
+    return out.select("doc_id", F.lit(0).cast("bigint").alias("first_word"), F.col("n").alias("end_word"), F.col("row").alias("cluster"), F.col("least").alias("keep_doc_id"), "part.kept", "part.n_rows", "but_one", F.col("row").alias("text_key"))
 
 
 def _named(spans: DataFrame, id_col: str) -> DataFrame:
-    return spans.select(F.col("doc_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "cluster", "keep_doc_id", "kept")
+    return spans.select(F.col("doc_id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "cluster", "keep_doc_id", "kept", "n_rows", "but_one", "text_key")
 
 
 def repeat_members(
@@ -235,19 +333,20 @@ def repeat_members(
     window: int = 25,
     recall: float = 0.99,
     max_bands: int = 3,
-    max_broadcast_copies: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Who belongs to which cluster: doc_id, first_word, end_word, n_words, cluster, keep_doc_id, kept.
+    """Who belongs to which cluster: doc_id, first_word, end_word, n_words, cluster, keep_doc_id, kept, n_rows, text_key.
 
-    One row per place of a document and cluster, with the id that keeps this
+    One row per place of a text and cluster, with the id that keeps this
     cluster; ``kept`` marks the places of the keeper itself, which stay.  So
     places of different clusters may overlap, and each cluster is whole.
-    Otherwise as ``find_repeats``.
+    Equal texts are a cluster of their own, with ``n_rows`` rows of the table
+    in one row here; what they share with other texts is listed under their
+    keeper.  Otherwise as ``find_repeats``.
     """
-    windows, copies, firsts = _clustered(docs, shingle_words, percent, window, recall, max_bands, max_broadcast_copies, id_col, text_col)
-    return _named(_spans(windows, window, ["cluster"]).union(_whole(copies, "doc_id", False)).union(_whole(firsts, "least", True)), id_col)
+    held, copies = _clustered(docs, shingle_words, percent, window, recall, max_bands, id_col, text_col)
+    return _named(_spans(held, ["cluster"]).union(_copies(copies, True)), id_col).drop("but_one")
 
 
 def find_repeats(
@@ -258,24 +357,35 @@ def find_repeats(
     window: int = 25,
     recall: float = 0.99,
     max_bands: int = 3,
-    max_broadcast_copies: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Spans of words to remove: doc_id, first_word, end_word, n_words, cluster, keep_doc_id.
+    """Spans of words to remove: doc_id, first_word, end_word, n_words, cluster, keep_doc_id, n_rows, but_one, text_key.
 
-    A span is made of overlapping windows with one keeper, and ``cluster`` is
+    Units are the lines of at least ``window`` words, and windows of
+    ``window`` words from each line and sentence on and from places chosen by
+    content in long sentences, so that any passage of ``window + SPREAD - 1``
+    words has one wherever it stands.  MinHash
+    bands are tuned so that units of ``percent`` similarity of their
+    ``shingle_words``-word shingles meet with chance ``recall``.
+
+    A span is made of overlapping units with one keeper, and ``cluster`` is
     the least of their clusters (``repeat_members`` has them all); spans with
     different keepers may overlap, and their text is still whole in the rows
-    that keep it.
-
-    Texts of fewer than ``window`` words, null and empty ones have no spans.
-    Null ids come after all others; a repeated row counts as another
-    document; other columns aren't read; an empty table gives an empty result.
+    that keep it.  ``text_key`` is the hash of the row's text, so that rows of
+    one id are told apart.
+
+    Equal texts of any length with a word are one class; the one with the
+    least id stays and the others are one span each, with ``n_rows`` equal
+    rows in one; ``but_one`` says that one row more of this id and text stays.
+    Other texts of fewer than ``window`` words, null and empty ones have no
+    spans.  Null ids come after all others; ties go to the least id, then the
+    least hash of the text; other columns aren't read; texts of any length are
+    worked on whole; an empty table gives an empty result.
     """
-    windows, copies, _ = _clustered(docs, shingle_words, percent, window, recall, max_bands, max_broadcast_copies, id_col, text_col)
-    spans = _spans(windows.where(F.col("row") != F.col("keep_row")), window, ["keep_row"])
-    return _named(spans.union(_whole(copies, "doc_id", False)), id_col).drop("kept")
+    held, copies = _clustered(docs, shingle_words, percent, window, recall, max_bands, id_col, text_col)
+    spans = _spans(held.where(F.col("row") != F.col("keep_row")), ["keep_row"])
+    return _named(spans.union(_copies(copies, False)), id_col).drop("kept")
 
 
 def cut_words(text: str | None, spans) -> str | None:
@@ -291,18 +401,38 @@ def cut_words(text: str | None, spans) -> str | None:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_broadcast_docs: int = 200_000) -> DataFrame:
-    """``docs`` with the spans cut out of their texts; other columns pass unchanged, untouched texts too."""
-    own = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_cut_spans"))
-    joined = docs.join(fit_for_broadcast(settle(own, "spans"), max_broadcast_docs), F.col(id_col).eqNullSafe(F.col("_cut_id")), "left")
+def _cut_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return texts.combine(spans, cut_words)
 
-    def cut(texts, spans):
-        return texts.combine(spans, cut_words)
 
-    import pandas as pd
+def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, max_broadcast_spans: int = 200_000) -> DataFrame:
+    """``docs`` with the spans of ``find_repeats`` cut out of their texts; with ``drop_emptied``, without the rows that lose all their words.
 
-    cut.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "return": pd.Series}
-    cutter = F.pandas_udf(cut, "string")
-    hit = F.col("_cut_spans").isNotNull()
-    new = F.when(hit, cutter(F.when(hit, F.col(text_col)), F.col("_cut_spans"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, new).drop("_cut_id", "_cut_spans")
+    Rows are met by id and text, so rows that share an id keep their own
+    words; of equal rows with one id all but one are emptied.  Null and empty
+    texts, untouched texts and all other columns, whatever their names, pass
+    unchanged.  A span table of more than ``max_broadcast_spans`` spans is
+    shuffled to the rows.  An empty table of either kind is fine.
+    """
+    cut = F.struct("first_word", "end_word")
+    own = spans.groupBy(F.col(id_col).cast("long").alias("id"), F.col("text_key").alias("key")).agg(
+        F.collect_list(F.when(~F.col("but_one"), cut)).alias("cuts"), F.max(F.when(F.col("but_one"), F.col("end_word"))).alias("whole")
+    )
+    own = settle(own.withColumn("n", F.size("cuts")), "spans")
+    if (own.agg(F.sum("n")).first()[0] or 0) <= max_broadcast_spans:
+        own = fit_for_broadcast(own, max_broadcast_spans)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"))
+    same = F.col("d").getField(id_col).cast("long").eqNullSafe(F.col("id")) & (_text_key(F.col("d").getField(text_col).cast("string")) == F.col("key"))
+    met = rows.join(own, same, "left").select("d", "id", "key", "cuts", "whole")
+    if not own.where("whole is not null").isEmpty():
+        equal = settle(met.where("whole is not null").withColumn("at", F.monotonically_increasing_id()), "equal")
+        stays = settle(equal.groupBy("id", "key").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("stays")), "stays")
+        all_of = F.array(F.struct(F.lit(0).cast("bigint").alias("first_word"), F.col("whole").alias("end_word")))
+        equal = equal.join(fit_for_broadcast(stays, max_broadcast_spans), "at", "left").withColumn("cuts", F.when(F.col("stays"), F.col("cuts")).otherwise(all_of))
+        met = met.where("whole is null").union(equal.select("d", "id", "key", "cuts", "whole"))
+    hit, before = F.size("cuts") > 0, F.col("d").getField(text_col)
+    cutter = F.pandas_udf(_cut_all, "string").asNondeterministic()  # so that it runs once a row
+    met = met.withColumn("left", F.when(hit, cutter(F.when(hit, before), F.col("cuts"))).otherwise(before))
+    if drop_emptied:
+        met = met.where(F.col("key").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return met.select(*[F.col("left").alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.llm import audio, components, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, quality_rules, substring_dedup, url_filter
-from strideframe.llm.common import LOWER_BYTES, WordHashes
+from strideframe.llm.common import LOWER_BYTES, WordHashes, text_blocks
 from strideframe.llm.queries import URL_RULES, tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, host string, size string, _text string, component_id int"
@@ -437,7 +437,16 @@ def test_empty_tables(spark, call):
     assert call(frame(spark, [])).count() == 0
 
 
-def test_word_hashes_forget_and_agree():
-    small, large = WordHashes(most=3), WordHashes()
-    words = [b"a", b"b", b"c", b"d", b"e", b"a"]
-    assert (small(words) == large(words)).all() and (small(words[:2]) == large(words[:2])).all()
+def test_word_hashes_stand_for_words():
+    import pyarrow as pa
+
+    texts = [b"", b"a B  c", b" \n", b"x" * 700_000 + b" a", b"b\x0bA ab ba aab \xc3\xa9", b""]
+    w = WordHashes(texts)
+    words = [x for t in texts for x in t.translate(LOWER_BYTES).split()]
+    assert w.sizes.tolist() == [len(t.split()) for t in texts] and len(w.hashes) == len(words)
+    assert [w.joined[a : a + len(x)] for a, x in zip(w.starts.tolist(), words, strict=True)] == words
+    assert len({(x, h) for x, h in zip(words, w.hashes.tolist(), strict=True)}) == len(set(words)) == len(set(w.hashes.tolist()))
+    assert WordHashes([b"q", b"a b"]).hashes[1:].tolist() == w.hashes[:2].tolist() and not len(WordHashes([]).hashes)
+    column = pa.array(["ab", None, "", "c" * 50, "d"])
+    assert [x for _, raws in text_blocks(column, 10) for x in raws] == [b"ab", b"", b"", b"c" * 50, b"d"]
+    assert [at for at, _ in text_blocks(column.slice(1), 10)] == [0, 2, 3]
