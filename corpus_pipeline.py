@@ -20,47 +20,82 @@ from strideframe.llm.substring_dedup import find_repeats, remove_spans
 MOST_BROADCAST = 1_000_000  # ids
 
 
-def _others(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c != "doc_id"]
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and so do the lines above the limits in all others."""
-    judged = quality_rules(docs, payload=[c for c in _others(docs) if c != "text"], left_col="text").where("kept")
-    n_chars = F.when(F.col("n_line_words") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return judged.withColumn("n_chars", n_chars).select(docs.columns)
+    """Documents that the quality rules reject go, and so do the lines above the limits in all others.
+
+    Null and empty texts have no words and go; repeated rows and ties are
+    judged alike; long texts are judged whole; an empty table stays empty;
+    other columns pass unchanged, whatever their names; ``n_chars`` follows
+    the text where lines went.
+    """
+    renamed = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    judged = quality_rules(renamed, payload=[f"_c{i}" for i in range(len(docs.columns))], left_col="_left").where("kept")
+    cut = F.col("n_line_words") > 0
+    now = {"text": F.when(cut, F.col("_left")), "n_chars": F.when(cut, F.length("_left").cast("bigint"))}
+    return judged.select(*[(now[c].otherwise(F.col(f"_c{i}")) if c in now else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by 5-word shingle similarity of 0.8 or more the one with the least id stays, once.
+    """Of documents joined by 5-word shingle similarity of 0.8 or more the one with the least (id, text hash) stays, once.
 
-    Documents without words aren't similar to anything and stay.
+    Rows are told apart by id and text, so an id with several texts loses only
+    those that are copies; of repeated rows one stays.  Null ids come after
+    all others; null, empty and blank texts aren't similar to anything and
+    stay.  Long texts are compared whole; an empty table stays empty; other
+    columns pass unchanged, whatever their names.
     """
-    groups = settle(jaccard_components(docs, shingle_words=5, percent=80), "groups")
-    gone = settle(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    docs_left = docs.join(fit_for_broadcast(gone, MOST_BROADCAST), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = settle(groups.groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "twice")
-    twice = fit_for_broadcast(twice, MOST_BROADCAST)
-    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    once = docs_left.join(twice, same, "left_anti")
-    return once.unionByName(docs_left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    groups = settle(jaccard_components(docs, shingle_words=5, percent=80, with_class=True).where(F.col("class").isNotNull()), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")).alias("row")
+    rows = settle(groups.groupBy("class", row).agg(F.count("*").alias("times")), "group-rows")
+    stays = rows.groupBy("class").agg(F.min("row").alias("stays"))
+    gone = rows.join(stays, "class").where(F.col("row") != F.col("stays")).select(F.col("row.id").alias("_i"), F.col("row.key").alias("_k"))
+    gone = fit_for_broadcast(settle(gone, "gone"), MOST_BROADCAST)
+    twice = rows.join(stays, "class").where((F.col("row") == F.col("stays")) & (F.col("times") > 1)).select(F.col("row.id").alias("_i"), F.col("row.key").alias("_k"))
+    twice = settle(twice, "twice")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64(F.col("d.text")) == F.col("_k"))
+    left = whole.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        twice = fit_for_broadcast(twice, MOST_BROADCAST)
+        equal = settle(whole.join(twice, same).withColumn("at", F.monotonically_increasing_id()), "equal")
+        first = settle(equal.groupBy("_i", "_k").agg(F.min("at").alias("at")).select("at"), "first")
+        left = left.join(twice, same, "left_anti").union(equal.join(fit_for_broadcast(first, MOST_BROADCAST), "at", "left_semi").select("d"))
+    return left.select("d.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document keeps are cut; documents of nothing else go."""
-    left = remove_spans(docs, find_repeats(docs))
-    emptied = (F.col("n_chars") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return left.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Passages that an earlier document keeps are cut; documents of nothing else go.
+
+    Rows of one id are told apart by their text; of repeated rows one stays
+    whole.  Null, empty and short texts pass, long ones are worked on whole, an
+    empty table stays empty, other columns pass unchanged; ``n_chars`` follows
+    the text.
+    """
+    left = remove_spans(docs, find_repeats(docs), drop_emptied=True)
+    return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: a document comes as often as the mix takes it."""
-    mixed = mix_sources(docs, payload=_others(docs))
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Sources in their target weights: a document comes as often as the mix takes it.
+
+    Null and empty texts have size 0 and come as often as others of their
+    source; null sources are one source; repeated rows and ties are taken
+    alike; an empty table stays empty; other columns pass unchanged, whatever
+    their names.
+    """
+    renamed = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    mixed = mix_sources(renamed, payload=[f"_c{i}" for i in range(len(docs.columns))])
+    mixed = mixed.select(*[F.col(f"_c{i}") for i in range(len(docs.columns))], F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens.
+
+    Null and empty texts are the end id alone; repeated rows are packed as
+    often as they come; long texts are cut; other columns aren't read; an
+    empty table gives no pieces.
+    """
     return pack_documents(docs, tokenizer_path(), with_ids=False).drop("ids")
 
 
