@@ -28,11 +28,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     other columns pass unchanged, whatever their names; ``n_chars`` follows
     the text where lines went.
     """
-    renamed = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
-    judged = quality_rules(renamed, payload=[f"_c{i}" for i in range(len(docs.columns))], left_col="_left").where("kept")
-    cut = F.col("n_line_words") > 0
-    now = {"text": F.when(cut, F.col("_left")), "n_chars": F.when(cut, F.length("_left").cast("bigint"))}
-    return judged.select(*[(now[c].otherwise(F.col(f"_c{i}")) if c in now else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    others = [c for c in docs.columns if c != "text"]
+    renamed = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
+    judged = quality_rules(renamed, payload=[f"_c{i}" for i in range(len(others))], left_col="_left").where("kept")
+    now = {c: F.col(f"_c{i}") for i, c in enumerate(others)} | {"text": F.col("_left")}
+    now["n_chars"] = F.when(F.col("n_line_words") > 0, F.length("_left").cast("bigint")).otherwise(now["n_chars"])
+    return judged.select(*[now[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
