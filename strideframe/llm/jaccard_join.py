@@ -80,8 +80,13 @@ class Bloom:
         return found
 
 
-def bloom_of(tokens: DataFrame, column: str, bits_each: int = 12, least_bits: int = 20, most_bits: int = 28) -> Bloom:
-    """Marked by tasks; the marks meet as words of the table.
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key for two."""
+    return mix64(a.view(np.uint64), 51) ^ b.view(np.uint64)
+
+
+def bloom_of(tokens: DataFrame, column: str, with_: str | None = None, bits_each: int = 12, least_bits: int = 20, most_bits: int = 28) -> Bloom:
+    """Of the column's keys, or of pairs ``with_`` another column; marked by tasks, and the marks meet as words of the table.
 
     Its 2**most_bits bits at most (32 MB, and twice that on the way to the
     driver) bound what is broadcast; with more tokens than they have room for
@@ -93,11 +98,12 @@ def bloom_of(tokens: DataFrame, column: str, bits_each: int = 12, least_bits: in
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+            keys = paired(*keys) if with_ else keys[0]
             word, bit = (np.concatenate(x) for x in zip(*[bloom_places(keys, p, width) for p in range(4)], strict=True))
             yield pa.record_batch([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
 
-    marks = tokens.select(column).mapInArrow(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    marks = tokens.select(column, *([with_] if with_ else [])).mapInArrow(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = Bloom(width)
     for batch in marks.toArrow().to_batches():
         out.words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)

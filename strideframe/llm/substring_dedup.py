@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import WordHashes, discard, fit_for_broadcast, mix64, sequence_hashes, settle, shingles, text_blocks
-from strideframe.llm.jaccard_join import bloom_of, link_entries
+from strideframe.llm.jaccard_join import bloom_of, link_entries, paired
 
 SIGN_WORDS = 4
 SPREAD = 16  # of so many neighbouring words, a window starts at one
@@ -135,8 +135,8 @@ class Units:
             out[1:w] = (self.keys[1:w] != self.keys[: w - 1]) | (self.text[1:w] != self.text[: w - 1])[:, None]
         return out
 
-    def sets(self, at: np.ndarray, hit: np.ndarray):
-        """Of the units ``at``, reordered: prints, sizes and tokens of their shingle sets, parity signatures, and where they meet (and how often each does); ``hit[unit, band]`` says which band keys are shared.
+    def meetings(self, at: np.ndarray, hit: np.ndarray):
+        """Where the units ``at`` meet others, as (unit, token) pairs; ``hit[unit, band]`` says which band keys are shared.
 
         Two windows of the similarity, in which no shingle repeats, have at
         most ``lost`` shingles each that the other lacks, and as a change
@@ -146,33 +146,37 @@ class Units:
         in stretches that overlap by ``lost``, and with those shingles.  Lines
         and windows with repeats are met by the band's key alone.
         """
-        near = 0 < 4 * self.lost < self.wide and self.lost <= self.k - 2
-        w = at[at < self.windows]
-        inside = self.at[w][:, None] + np.arange(self.wide)
+        w = np.flatnonzero(at < self.windows)
+        inside = self.at[at[w]][:, None] + np.arange(self.wide)
         grid = np.sort(self.tokens[inside], axis=1)
-        plain = ~(grid[:, 1:] == grid[:, :-1]).any(axis=1) & near
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain), np.arange(len(w), len(at))])
-        at, hit, n = at[order], hit[order], int(plain.sum())
-        step, keys = self.lost + 1, self.keys[at]
-        met, ok = np.zeros((len(at), self.bands, 2), np.uint64), np.zeros((len(at), self.bands, 2), bool)
-        met[n:, :, 0], ok[n:, :, 0] = keys[n:], hit[n:]
-        if n:
-            around = shingles(self.tokens, self.wide - 4 * self.lost)
-            for band in range(self.bands):
-                place = np.argmin(self.firsts[band][inside[plain]], axis=1)
-                for back in (0, 1):
-                    stretch = place // step - back
-                    ok[:n, band, back] = hit[:n, band] & (stretch >= 0) & (place <= stretch * step + 2 * self.lost)
-                    of = around[np.where(ok[:n, band, back], self.at[at[:n]] + place + self.lost - stretch * step, 0)]
-                    met[:n, band, back] = mix64(keys[:n, band] ^ of, 41) ^ stretch.astype(np.uint64)
-        others = [np.unique(self.tokens[self.at[i] : self.at[i] + self.size[i] - self.k + 1]) for i in at[n:].tolist()]
-        sizes = np.concatenate([np.full(n, self.wide), np.array([len(x) for x in others], np.int64)]).astype(np.int64)
-        tokens = np.concatenate([grid[plain].ravel(), *others])
+        plain = ~(grid[:, 1:] == grid[:, :-1]).any(axis=1) & (0 < 4 * self.lost < self.wide) & (self.lost <= self.k - 2)
+        inside, w = inside[plain], w[plain]
+        alone = np.ones(len(at), bool)
+        alone[w] = False
+        i, band = np.nonzero(hit & alone[:, None])
+        unit, token = [at[i]], [self.keys[at[i], band]]
+        step = self.lost + 1
+        around = shingles(self.tokens, self.wide - 4 * self.lost) if len(w) else None
+        for band in range(self.bands if len(w) else 0):
+            place = np.argmin(self.firsts[band][inside], axis=1)
+            for back in (0, 1):
+                stretch = place // step - back
+                ok = hit[w, band] & (stretch >= 0) & (place <= stretch * step + 2 * self.lost)
+                own, stretch = at[w[ok]], stretch[ok]
+                of = around[self.at[own] + place[ok] + self.lost - stretch * step]
+                unit.append(own)
+                token.append(mix64(self.keys[own, band] ^ of, 41) ^ stretch.astype(np.uint64))
+        return np.concatenate(unit), mix64(np.concatenate(token), 9)
+
+    def shingle_sets(self, at: np.ndarray):
+        """Sizes, tokens one after another, and parity signatures of the shingle sets of the units ``at``."""
+        each = [np.unique(self.tokens[first : first + size - self.k + 1]) for first, size in zip(self.at[at].tolist(), self.size[at].tolist(), strict=True)]
+        sizes = np.array([len(x) for x in each], np.int64)
+        tokens = np.concatenate(each)
         cells = 64 * SIGN_WORDS
         cell = (mix64(tokens, 99) >> np.uint64(40)).astype(np.int64) % cells + np.repeat(np.arange(len(at)) * cells, sizes)
         odd = np.bincount(cell, minlength=len(at) * cells) & 1
-        signs = np.packbits(odd.astype(np.uint8)).view(np.int64)
-        return self.prints[at], sizes, tokens, signs, mix64(met[ok], 9), ok.reshape(len(at), -1).sum(axis=1)
+        return sizes, tokens, np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _text_key(text: Column) -> Column:
@@ -192,7 +196,8 @@ def _lists(values, sizes, kind):
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
 
 
-_FOUND = "row bigint, n bigint, first array<int>, size array<int>, print array<bigint>, node bigint, m bigint, tokens array<bigint>, p1 array<bigint>, sign array<bigint>"
+_FOUND = "row bigint, n bigint, first array<int>, size array<int>, print array<bigint>, node bigint, token bigint"
+_SETS = "node bigint, n bigint, tokens array<bigint>, sign array<bigint>"
 
 
 def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -210,19 +215,20 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     text = F.col(text_col).cast("string")
     texts = docs.select(_text_key(text).alias("row"), text.alias("text"))
 
-    def each(batches):
-        """(rows, units) of some texts at a time, those met before left out."""
+    def each(batches, wanted=None):
+        """(rows, units) of some texts at a time, those met before or not ``wanted`` left out."""
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ok = np.ones(len(ids), bool) if wanted is None else wanted.among(ids.view(np.uint64))
             fresh = []
-            for i, row in enumerate(ids):
-                if row not in seen:
+            for i in np.flatnonzero(ok).tolist():
+                if ids[i] not in seen:
                     fresh.append(i)
                     if len(seen) < MEMO:
-                        seen.add(row)
-            part = batch.take(fresh)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
+                        seen.add(ids[i])
+            fresh = np.array(fresh, np.int64)
+            part, ids = batch.take(fresh), ids[fresh]
             for at, raws in text_blocks(part.column(1)):
                 yield ids[at : at + len(raws)], Units(raws, shingle_words, window, percent, bands, rows)
 
@@ -241,42 +247,46 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     def found_in(batches):
         import pyarrow as pa
 
-        many, small, seen = pa.list_(pa.int64()), pa.list_(pa.int32()), set()
-        kinds = [pa.int64(), pa.int64(), small, small, pa.list_(pa.int64()), pa.int64(), pa.int64(), many, many, many]
+        small, seen = pa.list_(pa.int32()), set()
         names = [x.split(" ")[0] for x in _FOUND.split(", ")]
         for ids, u in each(batches):
             hit = bloom.value.among(u.keys.ravel()).reshape(u.keys.shape)
             at = np.flatnonzero(hit.any(axis=1))
             order = np.argsort(u.text[at], kind="stable")
             per = np.bincount(u.text[at], minlength=len(ids))
-            columns = [
-                _long(ids), _long(u.words), _lists(u.first[at][order].astype(np.int32), per, pa.int32()), _lists(u.size[at][order].astype(np.int32), per, pa.int32()),
-                _lists(u.prints[at][order].view(np.int64), per, pa.int64()), *[pa.nulls(len(ids), kind) for kind in kinds[5:]],
-            ]
-            yield pa.record_batch(columns, names=names)
+            lists = [_lists(x[at][order], per, kind) for x, kind in ((u.first.astype(np.int32), pa.int32()), (u.size.astype(np.int32), pa.int32()), (u.prints.view(np.int64), pa.int64()))]
+            yield pa.record_batch([_long(ids), _long(u.words), *lists, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names=names)
             prints = u.prints[at]
             _, one = np.unique(prints, return_index=True)
-            one = np.sort(np.array([i for i in one.tolist() if int(prints[i]) not in seen], np.int64))
+            one = np.array([i for i in one.tolist() if prints[i] not in seen], np.int64)
             if len(seen) < MEMO:
-                seen.update(prints[one].tolist())
-            if len(one):
-                own, sizes, tokens, signs, meets, times = u.sets(at[one], hit[at[one]])
-                columns = [
-                    *[pa.nulls(len(one), kind) for kind in kinds[:5]], _long(own), _long(sizes), _lists(tokens.view(np.int64), sizes, pa.int64()),
-                    _lists(meets.view(np.int64), times, pa.int64()), _lists(signs, np.full(len(one), SIGN_WORDS), pa.int64()),
-                ]
-                yield pa.record_batch(columns, names=names)
+                seen.update(prints[one])
+            unit, token = u.meetings(at[one], hit[at[one]])
+            none = [pa.nulls(len(unit), kind) for kind in (small, small, pa.list_(pa.int64()))]
+            yield pa.record_batch([_long(ids[u.text[unit]]), pa.nulls(len(unit), pa.int64()), *none, _long(u.prints[unit]), _long(token)], names=names)
 
     found = settle(texts.mapInArrow(found_in, _FOUND), "found")
-    units = found.where("node is not null")
-    entries = units.select(F.explode("p1").alias("token"), "node", F.col("m").alias("n"))
+    entries = found.where("node is not null").select("token", "node", "row")
     meets = settle(entries.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "meets")
-    entries = settle(entries.join(fit_for_broadcast(meets, MOST_ROWS), "token").distinct(), "entries")
-    nodes = settle(entries.select("node").distinct(), "nodes")
+    entries = settle(entries.join(fit_for_broadcast(meets, MOST_ROWS), "token"), "entries")
+    nodes = settle(entries.groupBy("node").agg(F.min("row").alias("holder"), F.collect_set("token").alias("p1")), "nodes")
+    holders, pairs = spark.sparkContext.broadcast(bloom_of(nodes, "holder")), spark.sparkContext.broadcast(bloom_of(nodes, "node", with_="holder"))
+
+    def sets_of(batches):
+        """The shingle sets that are needed, each from the text that is its holder."""
+        import pyarrow as pa
+
+        for ids, u in each(batches, holders.value):
+            at = np.flatnonzero(pairs.value.among(paired(u.prints, ids[u.text])))
+            for lo in range(0, len(at), 4096):
+                own = at[lo : lo + 4096]
+                sizes, tokens, signs = u.shingle_sets(own)
+                yield pa.record_batch([_long(u.prints[own]), _long(sizes), _lists(tokens.view(np.int64), sizes, pa.int64()), _lists(signs, np.full(len(own), SIGN_WORDS), pa.int64())], names=["node", "n", "tokens", "sign"])
+
     here = F.array(F.lit(0))  # units have no more prefixes to meet in
-    sets = units.join(fit_for_broadcast(nodes, MOST_ROWS), "node").select("node", F.col("m").alias("n"), "tokens", "p1", here.alias("p2"), here.alias("p3"), "sign")
-    sets = settle(sets.dropDuplicates(["node"]), "sets")
-    labels = link_entries(entries, sets, percent)
+    sets = texts.mapInArrow(sets_of, _SETS).dropDuplicates(["node"]).join(nodes.drop("holder"), "node").select("node", "n", "tokens", "p1", here.alias("p2"), here.alias("p3"), "sign")
+    sets = settle(sets, "sets")
+    labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent)
     discard(meets, entries, nodes, sets)
 
     stamps = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text).alias("row"), F.xxhash64(F.lit(1), text).alias("check"))
