@@ -6,6 +6,7 @@ import functools
 import re
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,70 +39,65 @@ class ChunkTokenizer:
     the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.tokenizer.model)  # the same merges, for words that need no more than a split
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix = self.tokenizer.model.end_of_word_suffix
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.stops = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(suffix)
-        self.alphabet = byte_alphabet()
+            self.stops[i] = token.endswith(suffix)
+        self.alphabet = {b: c for b, c in byte_alphabet().items() if b != 32}
         self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.most = most
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _learn_plain(self, new: list[str], into: dict[str, bytes]) -> None:
         for at in range(0, len(new), 500):
             part = new[at : at + 500]
-            mapped = " ".join([w if w.isascii() else "".join([self.alphabet[b] for b in w.encode()]) for w in part])
+            mapped = " ".join(part).encode().decode("latin-1").translate(self.alphabet)
             ids = np.array(self.plain.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data, last = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                self.parts[w] = data[last:stop]
-                last = stop
+            stops = (4 * (np.flatnonzero(self.stops[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            into.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        parts, halves = self.parts, {}
+        memo, words, parts = self.memo, [], []
         for chunk in new:
-            low = chunk.lower()
-            if low.isascii() or max(low) < _PLAIN and max(chunk) < _PLAIN:
-                at = len(low) if low.isalpha() else _END_RUN.search(low).start()
-                if 0 < at and low[:at].isalpha():
-                    halves[chunk] = (low[:at], low[at:])
-                    continue
-            self.memo[chunk] = self.whole(chunk)
-        self._learn_parts([w for w in {w for pair in halves.values() for w in pair if w} if w not in parts])
-        parts[""] = b""
-        for chunk, (word, rest) in halves.items():
-            self.memo[chunk] = parts[word] + parts[rest]
+            if chunk != chunk.lower() or not chunk.isascii() and max(chunk) >= _PLAIN:
+                memo[chunk] = self.whole(chunk)
+            elif chunk.isalpha():
+                words.append(chunk)
+            elif 0 < (at := _END_RUN.search(chunk).start()) and (word := chunk[:at]).isalpha():
+                parts.append((chunk, word, chunk[at:]))
+            else:
+                memo[chunk] = self.whole(chunk)
+        words += [w for w in {w for _, w, _ in parts} if w not in memo and w not in new]
+        self._learn_plain(words, memo)
+        if len(self.ends) > self.most:
+            self.ends.clear()
+        self._learn_plain([x for x in {x for _, _, x in parts} if x not in self.ends], self.ends)
+        memo.update((chunk, memo[word] + self.ends[rest]) for chunk, word, rest in parts)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [(t if _WIDE.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
-            if "<|" in text:
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join([memo[c] for c in chunks]))
-            except KeyError:
-                self._learn({c for other in split[len(out) :] for c in other if c not in memo})
-                if any(c not in memo for c in chunks):  # the memo began anew
-                    self._learn({c for c in chunks if c not in memo})
-                out.append(b"".join([memo[c] for c in chunks]))
-        return out
+        narrow = lambda t: t if _WIDE.search(t) or _WIDE.search(low := t.lower()) else low
+        split = []
+        for t in texts:
+            low = narrow(t)
+            chunks = low.replace("\n", " ").split(" ")
+            split.append(None if "<|" in t else [narrow(c) for c in chunks] if low is t and not t.islower() else chunks)
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        chunks = set(chain.from_iterable(x for x in split if x is not None))
+        if new := chunks.difference(self.memo):
+            self._learn(new)
+        get = self.memo.__getitem__
+        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
 
 @functools.cache

@@ -225,7 +225,7 @@ def test_packer_takes_the_least_change():
 
 def test_tokenizer_equals_the_library():
     t = packing.ChunkTokenizer(tokenizer_path(), most=50)
-    texts = ["It's I'LL ²³ a² İstanbul Σας ñandú! <|endoftext|> ½ x'y don't. a--b ...", "Ça\x1cva bien été", "ĸŉ ſ ÀÉ.,; ''s", "", " \n", *[" ".join(sentences(random.Random(i), 80)) for i in range(20)]]
+    texts = ["It's I'LL ²³ a² İstanbul Σας ñandú! <|endoftext|> ½ x'y don't. a--b ...", "Ça\x1cva bien été", "ĸŉ ſ ÀÉ.,; ''s", "Hello Hello, HELLO! Łódź Σ x İ HELLO", "İzmir. Hello", "", " \n", *[" ".join(sentences(random.Random(i), 80)) for i in range(20)]]
     assert t(texts) == [t.whole(x) for x in texts]
 
 
