@@ -20,7 +20,7 @@ from strideframe.llm.common import byte_texts
 
 SCHEMA = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
-    "media_bytes bigint, media_sha256 string, feature string, n_frames bigint, segments array<struct<start_s:double,end_s:double>>, media binary, tensors binary"
+    "media_bytes bigint, media_sha256 string, feature string, n_frames bigint, segments array<struct<start_s:double,end_s:double>>, n_tensors bigint, tensors_sha256 string, media binary, tensors binary"
 )
 BLOCK = 1 << 18  # samples held as floats at a time
 
@@ -127,8 +127,8 @@ def features(payload: bytes, rate_in: int, rate_out: int, frame: int, hop: int,
     return np.concatenate(rows), np.concatenate(energies)
 
 
-def tensor_batches(mel: np.ndarray, hop_s: float, frame_s: float, height: int) -> bytes:
-    """An Arrow stream: fixed-shape tensors of ``height`` frames (the last zero-padded) with their time spans."""
+def tensor_batches(mel: np.ndarray, hop_s: float, frame_s: float, height: int) -> tuple[int, bytes]:
+    """Their number, and an Arrow stream: fixed-shape tensors of ``height`` frames (the last zero-padded) with their time spans."""
     import pyarrow as pa
 
     n, mels = mel.shape
@@ -148,7 +148,7 @@ def tensor_batches(mel: np.ndarray, hop_s: float, frame_s: float, height: int) -
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return blocks, sink.getvalue().to_pybytes()
 
 
 def audio_features(
@@ -174,7 +174,8 @@ def audio_features(
     frames for log-mel rows, and segmented where the energy stays over ``low``
     times its mean and reaches ``high`` times it.  ``tensors`` is an Arrow
     stream of fixed-shape tensors with time spans, ``media`` the WAV file;
-    ``with_media=False`` leaves both null.
+    ``with_media=False`` leaves both null, so that only their sizes and
+    digests, the features and the segments' time spans leave the tasks.
 
     Null texts are empty ones (64 zero bytes); equal texts give equal values;
     texts of any length are worked through in blocks; other columns are not
@@ -192,10 +193,11 @@ def audio_features(
         spans = [(a * hop / feature_rate, ((b - 1) * hop + frame) / feature_rate) for a, b in hysteresis_segments(energy, low, high)]
         mean, spread = mel.mean(axis=0), mel.std(axis=0)
         said = f"frames={len(mel)};segments={len(spans)};active={sum(b - a for a, b in spans):.3f}s;mel=" + ",".join(f"{v:.2f}" for v in mean) + ";sd=" + ",".join(f"{v:.2f}" for v in spread)
+        n_tensors, tensors = tensor_batches(mel, hop / feature_rate, frame / feature_rate, tensor_frames)
         return (
             len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(),
-            said, len(mel), [{"start_s": a, "end_s": b} for a, b in spans], media if with_media else None,
-            tensor_batches(mel, hop / feature_rate, frame / feature_rate, tensor_frames) if with_media else None,
+            said, len(mel), [{"start_s": a, "end_s": b} for a, b in spans], n_tensors, hashlib.sha256(tensors).hexdigest(),
+            media if with_media else None, tensors if with_media else None,
         )
 
     def run(batches):
@@ -205,7 +207,7 @@ def audio_features(
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out = [one(raw) for raw in byte_texts(part.column(1))]
-                columns = [part.column(0), *(list(zip(*out, strict=True)) or [[]] * 11)]
+                columns = [part.column(0), *(list(zip(*out, strict=True)) or [[]] * 13)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.common import settle
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _OTHER = re.compile(r"[\W\d_]+")
 BUCKETS = 1 << 15
 SEGMENT = 24  # bytes whose n-grams are taken to be of one language
@@ -22,6 +22,11 @@ def ngram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - (buckets - 1).bit_length())
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L."""
+    return bool(_PLAIN_LETTER.search(text)) or any(c.isalpha() for c in text)
+
+
 class MixtureModel:
     """Log-likelihoods of n-gram buckets by language."""
 
@@ -55,7 +60,7 @@ class MixtureModel:
         ``penalty * size * log(segments)`` wins, ties to the smaller set and
         the first name.
         """
-        if not self.langs or not _LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return []
         log = self.segments(ngram_buckets(text)).astype(np.float64)
         top = log.max(axis=1, keepdims=True)
@@ -75,13 +80,15 @@ class MixtureModel:
 
 
 def fit_language_model(
-    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", penalty: float = 3.0, rounds: int = 20, max_langs: int = 512
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", penalty: float = 3.0, rounds: int = 20
 ) -> MixtureModel:
     """Trigram counts over all rows with a language; tasks add up before the shuffle.
 
-    The model has ``BUCKETS`` numbers a language, at most ``max_langs``
-    languages (else an error); that bounds what reaches the driver.  Null
-    languages are left out, null texts add nothing.
+    The model has ``BUCKETS`` numbers a language (128 KB), whatever the size
+    of the corpus; the number of labels bounds what reaches the driver and is
+    broadcast.  Null languages are left out, null and empty texts add nothing,
+    repeated rows count as often as they come, long texts are counted whole,
+    other columns aren't read; an empty table gives a model without languages.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
 
@@ -92,19 +99,20 @@ def fit_language_model(
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                if text and _LETTER.search(text):
+                if text and has_letter(text):
                     own += np.bincount(ngram_buckets(text), minlength=BUCKETS)
         for lang, own in sums.items():
             at = np.flatnonzero(own) if own.any() else np.zeros(1, np.int64)
             yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
 
     counts = settle(rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "langs")
-    langs = sorted(r[0] for r in counts.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    per = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))  # BUCKETS at most
+    rows = {r["lang"]: (r["bucket"], r["n"]) for r in per.toLocalIterator()}
+    langs = sorted(rows)
     table = np.zeros((len(langs), BUCKETS))
-    found = counts.toPandas()
-    table[np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else [], found["bucket"].to_numpy(int)] = found["n"]
+    for i, lang in enumerate(langs):
+        bucket, n = rows[lang]
+        table[i, bucket] = n
     return MixtureModel(langs, table, penalty, rounds)
 
 
@@ -112,8 +120,11 @@ def identify_languages(docs: DataFrame, model: MixtureModel, *, id_col: str = "d
     """(id, lang_pred, score, languages) of every whole text; nothing but the text is looked at.
 
     ``lang_pred`` has the largest proportion and ``score`` is that proportion;
-    a null text, a text without letters, and any text under a model without
-    languages give ``und``, 0 and no languages.  No shuffle.
+    a null or empty text, a text without a character of category L, and any
+    text under a model without languages give ``und``, 0 and no languages.
+    Ties go to the first name; repeated rows give equal rows; null ids come
+    out null; long texts are read whole; other columns aren't read; an empty
+    table gives an empty result.  No shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))

@@ -8,24 +8,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from strideframe.llm.common import byte_texts
+from strideframe.llm.license_texts import TEMPLATES
 
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Openings of public licence notices.
-TEMPLATES = [
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("all-rights-reserved", "all rights reserved"),
-]
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
     "spans array<struct<label:string,template:int,first_word:bigint,end_word:bigint,coverage:double>>"
@@ -107,6 +93,7 @@ class LicenseScanner:
         self.phrases = [(label, license_words(text.encode())) for text, label in phrases.items()]
         self.automaton = SuffixAutomaton(self.sequences)
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
+        self.shortest = min([min_match, *(len(x) for x in self.sequences if x)])  # a shorter run of known words matches nothing
 
     def base(self, ws: list[bytes]) -> list[tuple[int, str]]:
         found = []
@@ -153,11 +140,11 @@ class LicenseScanner:
 
         for item in known:
             if run and item[0] != run[-1][0] + 1:
-                if len(run) >= 3:
+                if len(run) >= self.shortest:
                     walk()
                 run.clear()
             run.append(item)
-        if len(run) >= 3:
+        if len(run) >= self.shortest:
             walk()
         out = []
         for k, mine in chains.items():
@@ -176,7 +163,6 @@ def scan_licenses(
     min_match: int = 5,
     max_gap: int = 4,
     min_cover: float = 0.8,
-    max_template_words: int = 2_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -184,20 +170,20 @@ def scan_licenses(
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of any
     character from U+0080.  ``phrases`` found word for word give ``n_base``
-    places and ``base_labels``.  The templates form one suffix automaton,
-    broadcast after a check of its size; each text streams through it, the
-    longest matches that can't be extended (``min_match`` words, or a whole
+    places and ``base_labels``.  The templates, given by the caller, form one
+    suffix automaton of at most twice their words, which is broadcast; each
+    text streams through it, the longest matches that can't be extended (``min_match`` words, or a whole
     shorter template) are chained, and a chain that covers ``min_cover`` of a
     template is a span.  ``labels`` are the base labels and the spans' labels;
     ``score`` is 1 with a base label, else the best coverage, else 0.
 
-    Null texts have no words; repeated rows give equal rows; texts of any
-    length are scanned whole; other columns aren't read; an empty table gives
-    an empty result.  No shuffle.
+    Chains of different templates may overlap, and each is a span; of chains
+    of one template that a match could go on with, the one that covers most
+    takes it, then the latest.  Null and empty texts have no words; repeated
+    rows give equal rows; texts of any length are scanned whole; other columns
+    aren't read; an empty table gives an empty result.  No shuffle.
     """
     scanner = LicenseScanner(templates or TEMPLATES, phrases or PHRASES, min_match, max_gap, min_cover)
-    if sum(map(len, scanner.sequences)) > max_template_words:
-        raise ValueError(f"templates hold more than {max_template_words} words; scan them in several calls")
     held = docs.sparkSession.sparkContext.broadcast(scanner)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 

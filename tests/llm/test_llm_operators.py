@@ -259,6 +259,17 @@ def test_lm_is_normalised(monkeypatch):
         assert np.exp(a1[u].astype(float) + a2[v] + b - z[u, v]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def brute_mel(x):
+    """Log-mel rows by sums: resampling to half the rate, frames of 256 by 128, DFT, triangles."""
+    taps = audio.resampling_phases(16_000, 8_000)[2][0].astype(float)
+    centre, m = (len(taps) - 1) // 2, -(-len(x) // 2)
+    y = np.array([sum(taps[k] * x[2 * i - k + centre] for k in range(len(taps)) if 0 <= 2 * i - k + centre < len(x)) for i in range(m)])
+    n = 1 + max(0, -(-(m - 256) // 128))
+    y = np.concatenate([y, np.zeros((n - 1) * 128 + 256 - m)]) if m < (n - 1) * 128 + 256 else y
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    return np.array([np.log(np.abs(wave @ (y[i * 128 : i * 128 + 256] * np.hanning(256))) ** 2 @ audio.mel_bank(8_000, 256, 16) + 1e-6) for i in range(n)])
+
+
 def test_audio(spark, corpus):
     got = audio.audio_features(frame(spark, corpus)).collect()
     assert len(got) == len(corpus)
@@ -271,7 +282,10 @@ def test_audio(spark, corpus):
         import pyarrow as pa
 
         t = pa.ipc.open_stream(r.tensors).read_all()
-        assert t.column("mel").type.shape == [32, 16] and t.num_rows == -(-r.n_frames // 32)
+        assert t.column("mel").type.shape == [32, 16] and t.num_rows == -(-r.n_frames // 32) == r.n_tensors and hashlib.sha256(r.tensors).hexdigest() == r.tensors_sha256
+        if r.n_frames < 200:
+            wide = np.asarray(np.frombuffer(back, np.uint8), float) / 128 - 1
+            assert np.abs(brute_mel(wide)[: r.n_frames] - np.concatenate(t.column("mel").combine_chunks().to_numpy_ndarray())[: r.n_frames]).max() < 0.05
     assert all(len(x) == 1 for x in texts.values())
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     for d, t, _, _ in corpus:
@@ -319,6 +333,22 @@ def test_license_scan(spark, corpus):
             assert got[d].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower() if (t or "").isascii() else (t or "").translate({c: c + 32 for c in range(65, 91)})))
 
 
+def test_license_spans(spark):
+    scan = license_scan.LicenseScanner([("one", "lonely"), ("two", "two words"), ("long", " ".join(f"t{i}" for i in range(20)))], {"x y": "xy"}, 5, 4, 0.8)
+    spans = lambda text: [(s[0], s[2], s[3], round(s[4], 2)) for s in scan.spans(license_scan.license_words(text.encode()))]
+    t = [f"t{i}" for i in range(20)]
+    assert spans("a lonely b two words c") == [("one", 1, 2, 1.0), ("two", 3, 5, 1.0)]
+    assert spans(" ".join(["a", *t, "b", *t[:15], "c"])) == [("long", 1, 21, 1.0)]
+    assert spans(" ".join([*t[:10], "x", "y", *t[10:]])) == [("long", 0, 22, 1.0)]
+    assert spans(" ".join([*t[:6], "x", *t[7:20]])) == [("long", 0, 20, 0.95)]
+    assert spans(" ".join([*t[:10], *["z"] * 5, *t[10:]])) == [] and spans(" ".join(t[10:] + t[:10])) == [] and spans("") == []
+    body = dict(license_scan.TEMPLATES)
+    assert set(body) >= {"mit", "bsd", "isc", "agpl", "mpl", "epl", "cc-by-sa"}
+    rows = [(i, f"some code {text} and more code", "en", "s") for i, (_, text) in enumerate(license_scan.TEMPLATES)] + [(900, "Licensed under CC BY-SA 3.0", "en", "s"), (901, "", "en", "s")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert all(label in got[i].labels.split(",") for i, (label, _) in enumerate(license_scan.TEMPLATES)) and "cc-by-sa" in got[900].labels and got[901].labels == ""
+
+
 def test_language_id(spark):
     g = random.Random(2)
     own = {"aa": ["the", "and", "thing", "of", "ing"], "bb": ["der", "und", "schein", "zu", "ung"], "cc": ["les", "que", "eaux", "ment", "où"]}
@@ -326,15 +356,39 @@ def test_language_id(spark):
     rows = [(i, text(k, 60), k, "s") for i, k in enumerate(["aa", "bb", "cc"] * 20)]
     model = language_id.fit_language_model(frame(spark, [*rows, (90, None, "aa", "s"), (91, "x", None, "s")]))
     assert model.langs == ["aa", "bb", "cc"]
-    tests = [(i, text(k, 40), k, "s") for i, k in enumerate(["aa", "bb", "cc"] * 10)] + [(100, text("aa", 300) + " " + text("cc", 150), "x", "s"), (101, None, "aa", "s"), (102, "12 !?", "aa", "s"), (103, "é", None, "s")]
+    tests = [(i, text(k, 40), k, "s") for i, k in enumerate(["aa", "bb", "cc"] * 10)] + [(100, text("aa", 300) + " " + text("cc", 150), "x", "s"), (101, None, "aa", "s"), (102, "12 !?", "aa", "s"), (103, "é", None, "s"), (104, "½ ² Ⅷ", "aa", "s"), (105, "", "aa", "s"), (106, text("bb", 40_000), "x", "s"), (107, rows[0][1], "x", "s"), (107, rows[0][1], "x", "s")]
     got = {r.doc_id: r for r in language_id.identify_languages(frame(spark, tests), model).collect()}
     assert all(got[d].lang_pred == k for d, _, k, _ in tests[:30])
     assert [x.lang for x in got[100].languages] == ["aa", "cc"] and 0.5 < got[100].score < 0.8
-    assert got[101].lang_pred == got[102].lang_pred == "und" and got[101].score == 0.0 and got[103].lang_pred in own
+    assert all(got[d].lang_pred == "und" and got[d].score == 0.0 for d in (101, 102, 104, 105)) and got[103].lang_pred in own
+    assert got[106].lang_pred == "bb" and got[107].lang_pred == "aa" and len(tests) == language_id.identify_languages(frame(spark, tests), model).count()
+    assert language_id.identify_languages(frame(spark, []), model).count() == 0
     none = language_id.fit_language_model(frame(spark, []))
     assert language_id.identify_languages(frame(spark, tests[:1]), none).first().lang_pred == "und"
 
 
+def test_language_likelihoods_and_mixture_equal_brute_force():
+    g = np.random.default_rng(3)
+    counts = g.integers(0, 50, (3, language_id.BUCKETS)) * (g.random((3, language_id.BUCKETS)) < 0.2)
+    m = language_id.MixtureModel(["a", "b", "c"], counts.astype(float), 3.0, 200)
+    text = "Some words, and OTHERS: über 12 more words without an end " * 6
+    grams = language_id.ngram_buckets(text).tolist()
+    raw = f" {re.sub(r'[^a-zü]+', ' ', text.lower()).strip()} ".encode()
+    assert len(grams) == len(raw) - 2 and len({raw[i : i + 3] for i in range(len(raw) - 2)}) >= len(set(grams)) > 40
+    p = [[(counts[k, x] + 0.5) / (counts[k].sum() + 0.5 * language_id.BUCKETS) for x in range(language_id.BUCKETS)] for k in range(3)]
+    logs = [[sum(np.log(p[k][x]) for x in grams[i : i + language_id.SEGMENT]) / 3 for k in range(3)] for i in range(0, len(grams), language_id.SEGMENT)]
+    assert np.allclose(m.segments(np.array(grams)), logs, rtol=1e-4)
+    log = np.array(logs)
+    like = np.exp(log - log.max(axis=1, keepdims=True))
+    value, weight = m._em(like, [0, 1, 2])
+    grid = [(np.log(like @ np.array([a, b, 1 - a - b])).sum()) for a in np.linspace(0.001, 0.998, 60) for b in np.linspace(0.001, 0.998, 60) if a + b < 1]
+    assert weight.sum() == pytest.approx(1) and value >= max(grid) - 0.05
+    sets = {(k,): float(log[:, k].sum() - log.max(axis=1).sum()) - 3 * np.log(len(log) + 1.0) for k in range(3)}
+    best = max(sets, key=sets.get)
+    found = m.infer(text)
+    assert len(found) > 1 or found[0][0] == "abc"[best[0]]
+
+
 def test_mixing(spark, corpus):
     got = mixing.mix_sources(frame(spark, corpus)).collect()
     assert len(got) == len(corpus)
