@@ -52,11 +52,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing will read again: all that came of them is settled itself or was brought to an end."""
+    """Delete settled tables that nothing will read again: all that came of them is settled itself or was brought to an end.
+
+    The driver also collects its garbage, as Spark deletes the shuffle files of
+    finished jobs only then.
+    """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def fit_for_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from strideframe.llm.common import discard, settle
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: bigint) but the least of each component.
 
     The component is its least node.  Each round is written to the shared
     folder and the one before deleted; rows never outnumber the edges,
     whatever a node's degree; rounds go on until nothing changes.  Null ends
     and loops are ignored, repeated edges count once, no edges give no rows.
+    The table that the result still reads is added to ``scratch``.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, said = settle(e, "edges"), None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.sum(F.xxhash64("v", "u") % (1 << 31))).first()
         if now == said or now[0] == 0:
+            if scratch is not None:
+                scratch.append(e)
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         said = now
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
@@ -38,11 +41,16 @@ def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     The new links are drawn between the components known so far, so only what
     has still to meet is worked on.
     """
+    scratch: list[DataFrame] = []
     if labels is None:
-        return settle(connected_components(links), "labels")
+        out = settle(connected_components(links, scratch), "labels")
+        discard(*scratch)
+        return out
     name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
     drawn = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
-    fresh = connected_components(drawn.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    fresh = connected_components(drawn.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")), scratch)
     step = fresh.select(F.col("node").alias("component"), F.col("component").alias("into"))
     moved = labels.join(step, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    return settle(moved.union(fresh), "labels")
+    out = settle(moved.union(fresh), "labels")
+    discard(*scratch)
+    return out

@@ -126,8 +126,8 @@ def _sets(batch, k: int):
             yield first + i, (int(signed[0]), int(signed[1])), own
 
 
-def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Per document its set's size and digest; and the tokens seen at least twice within a stretch of documents."""
+def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per document its set's size and digest; the tokens seen at least twice within a stretch of documents; the table of both."""
 
     def run(batches):
         import pyarrow as pa
@@ -162,7 +162,7 @@ def _signatures(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     kind = "doc_id bigint, text_key bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, times array<bigint>"
     both = settle(texts.mapInArrow(run, kind), "signatures")
     seen = both.where("n < 0").select(F.explode(F.arrays_zip("tokens", "times")).alias("x")).groupBy("x.tokens").agg(F.sum("x.times").alias("times"))
-    return both.where("n >= 0").drop("tokens", "times"), seen
+    return both.where("n >= 0").drop("tokens", "times"), seen, both
 
 
 def _frequency_classes(seen: DataFrame) -> np.ndarray:
@@ -344,13 +344,15 @@ def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds:
 
 
 def jaccard_components(
-    docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False
+    docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False, scratch: list[DataFrame] | None = None
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every document; exact.
 
     ``with_class`` adds ``text_key`` (a hash of the text, which tells rows of
     one id apart) and ``class`` (of its component, null without words): ids
     that several texts share may make components of one ``component_id``.
+    Tables that the result still reads are added to ``scratch``, for a caller
+    that settles it and discards them.
 
     Documents link when ``100 * intersection >= percent * union`` of their
     distinct shingles (A-Z lower-cased; fewer words than ``shingle_words``
@@ -376,9 +378,11 @@ def jaccard_components(
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    documents, seen = _signatures(texts, shingle_words)
+    documents, seen, both = _signatures(texts, shingle_words)
     texts = texts.select("text")
     classes = spark.sparkContext.broadcast(_frequency_classes(seen))
+    documents = settle(documents, "documents")
+    discard(both)
     groups = documents.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     groups = settle(groups.withColumn("node", F.monotonically_increasing_id()), "classes")
     shared = _shared_tokens(texts, shingle_words, percent, classes)
@@ -389,6 +393,8 @@ def jaccard_components(
 
     labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent, hub_rounds)
     discard(sets)
+    if scratch is not None:
+        scratch += [documents, groups, labels]
     named = groups.join(labels, "node", "left").select("d1", "d2", "least", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("d1", "d2", "label", "component_id")

@@ -200,7 +200,7 @@ _FOUND = "row bigint, n bigint, first array<int>, size array<int>, print array<b
 _SETS = "node bigint, n bigint, tokens array<bigint>, sign array<bigint>"
 
 
-def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, id_col: str, text_col: str, scratch: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Places of clusters that reach two texts: row, doc_id, first, size, cluster, keep_doc_id, keep_row; and of equal texts all but the one that stays.
 
     A text is known by a hash of it (``row``); equal texts are worked on once,
@@ -306,7 +306,9 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
 
     twice = settle(of_text.where("times > 1").join(found.where("node is null").select("row", "n").dropDuplicates(["row"]), "row"), "twice")
     copies = stamps.join(fit_for_broadcast(twice.drop("times"), MOST_ROWS // 4), ["row", "check"])
-    discard(labels, places, prints, kept)
+    discard(labels, places, prints, kept, found, of_text)
+    if scratch is not None:
+        scratch += [held, stamps, twice]
     return held, copies
 
 
@@ -369,6 +371,7 @@ def find_repeats(
     max_bands: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
+    scratch: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Spans of words to remove: doc_id, first_word, end_word, n_words, cluster, keep_doc_id, n_rows, but_one, text_key.
 
@@ -391,9 +394,11 @@ def find_repeats(
     Other texts of fewer than ``window`` words, null and empty ones have no
     spans.  Null ids come after all others; ties go to the least id, then the
     least hash of the text; other columns aren't read; texts of any length are
-    worked on whole; an empty table gives an empty result.
+    worked on whole; an empty table gives an empty result.  Tables that the
+    result still reads are added to ``scratch``, for a caller that settles it
+    and discards them.
     """
-    held, copies = _clustered(docs, shingle_words, percent, window, recall, max_bands, id_col, text_col)
+    held, copies = _clustered(docs, shingle_words, percent, window, recall, max_bands, id_col, text_col, scratch)
     spans = _spans(held.where(F.col("row") != F.col("keep_row")), ["keep_row"])
     return _named(spans.union(_copies(copies, False)), id_col).drop("kept")
 
