@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import fit_for_broadcast, settle
+from strideframe.llm.common import discard, fit_for_broadcast, settle
 from strideframe.llm.jaccard_join import jaccard_components
 from strideframe.llm.mixing import mix_sources
 from strideframe.llm.packing import pack_documents
@@ -45,17 +45,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay.  Long texts are compared whole; an empty table stays empty; other
     columns pass unchanged, whatever their names.
     """
-    groups = settle(jaccard_components(docs, shingle_words=5, percent=80, with_class=True).where(F.col("class").isNotNull()), "groups")
+    scratch: list[DataFrame] = []
+    groups = settle(jaccard_components(docs, shingle_words=5, percent=80, with_class=True, scratch=scratch).where(F.col("class").isNotNull()), "groups")
+    discard(*scratch)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")).alias("row")
     rows = settle(groups.groupBy("class", row).agg(F.count("*").alias("times")), "group-rows")
     stays = rows.groupBy("class").agg(F.min("row").alias("stays"))
     gone = rows.join(stays, "class").where(F.col("row") != F.col("stays")).select(F.col("row.id").alias("_i"), F.col("row.key").alias("_k"))
-    gone = fit_for_broadcast(settle(gone, "gone"), MOST_BROADCAST)
+    gone = settle(gone, "gone")
     twice = rows.join(stays, "class").where((F.col("row") == F.col("stays")) & (F.col("times") > 1)).select(F.col("row.id").alias("_i"), F.col("row.key").alias("_k"))
     twice = settle(twice, "twice")
+    discard(groups, rows)
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"))
     same = F.col("d.doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64(F.col("d.text")) == F.col("_k"))
-    left = whole.join(gone, same, "left_anti")
+    left = whole.join(fit_for_broadcast(gone, MOST_BROADCAST), same, "left_anti")
     if not twice.isEmpty():
         twice = fit_for_broadcast(twice, MOST_BROADCAST)
         equal = settle(whole.join(twice, same).withColumn("at", F.monotonically_increasing_id()), "equal")
@@ -72,7 +75,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty table stays empty, other columns pass unchanged; ``n_chars`` follows
     the text.
     """
-    left = remove_spans(docs, find_repeats(docs), drop_emptied=True)
+    scratch: list[DataFrame] = []
+    left = remove_spans(docs, find_repeats(docs, scratch=scratch), drop_emptied=True)
+    discard(*scratch)  # remove_spans has settled the spans
     return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
