@@ -85,3 +85,12 @@ def mean_of_batch_means(df: DataFrame, index: str, value: str, batch: int = 128)
 def vae_loss(x: Column, y: Column, mu: Column, log_var: Column, l2: float, l1: float, beta: float) -> Column:
     kl = F.aggregate(F.zip_with(mu, log_var, lambda m, v: F.exp(v.cast("double")) + m.cast("double") * m.cast("double") - 1 - v.cast("double")), F.lit(0.0), lambda s, t: s + t)
     return l2 * mean_square(x, y) + l1 * mean_absolute(x, y) + beta * 0.5 * kl / F.size(mu)
+
+
+def diagnostics(latents: DataFrame, mu: str, log_variance: str, floor: float = 1e-12) -> DataFrame:
+    """One row: mean |mu|, population variance of mu, mean exp(log variance / 2), and the share of positions whose mu hardly varies."""
+    x = latents.select(F.posexplode(F.arrays_zip(F.col(mu).alias("m"), F.col(log_variance).alias("v"))).alias("at", "x"))
+    x = x.select("at", F.col("x.m").cast("double").alias("m"), F.exp(F.col("x.v").cast("double") / 2).alias("s"))
+    flat = x.groupBy("at").agg(F.var_pop("m").alias("own")).agg(F.avg((F.col("own") <= floor).cast("double")).alias("constant_share"))
+    all_of = x.agg(F.avg(F.abs("m")).alias("mean_abs_mu"), F.var_pop("m").alias("var_mu"), F.avg("s").alias("mean_std"))
+    return all_of.join(flat, F.lit(True))

@@ -39,6 +39,11 @@ def mean_psd(psd: DataFrame, by: list[str]) -> DataFrame:
     return psd.groupBy(*by).agg(F.avg("psd").alias("psd_mean"), F.stddev_pop("psd").alias("psd_sd_pop"))
 
 
+def fold_psd(psd: DataFrame, fold: str, by: list[str]) -> DataFrame:
+    """Mean and population deviation over folds, each fold's mean counting once."""
+    return mean_psd(psd.groupBy(fold, *by).agg(F.avg("psd").alias("psd")), by)
+
+
 def band_power(psd: DataFrame, by: list[str], low: float, high: float, freq: str = "freq", value: str = "psd") -> DataFrame:
     """Trapezoid over the bins in [low, high]; fewer than two bins give 0."""
     w = Window.partitionBy(*by).orderBy(freq)

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.operators.metrics import mean_sample_sd
 
 
+def roc_auc(scores: DataFrame, by: list[str], member: str, score: str) -> DataFrame:
+    """Area under the ROC curve per group: the share of (member, other) pairs in which the member scores higher, ties half.
+
+    Equal scores are added up first, so that the window over a group holds its
+    distinct scores only.  A group without members or without others has a
+    null area.
+    """
+    sums = scores.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(member).alias("_m"), F.count_if(~F.col(member)).alias("_o"))
+    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_below", F.coalesce(F.sum("_o").over(before), F.lit(0)))
+    won = F.sum(F.col("_m") * (F.col("_below") + F.col("_o") / 2))
+    return sums.groupBy(*by).agg(F.try_divide(won, F.sum("_m") * F.sum("_o")).alias("auc"))
+
+
 def membership_summary(records: DataFrame, model: str, auc: str) -> DataFrame:
     """Per threat model, never across them."""
     sd = mean_sample_sd(records, [model], auc)

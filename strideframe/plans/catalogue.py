@@ -189,9 +189,9 @@ def _(spark, d):
 # Splits.
 
 
-@query("loso_folds", "with s as (select distinct user_id from events where user_id < 12) select a.user_id as held_out, b.user_id, case when a.user_id = b.user_id then 'held_out' else 'pool' end as split from s a, s b")
+@query("loso_folds", "with s as (select distinct user_id from events) select a.user_id as held_out, b.user_id, case when a.user_id = b.user_id then 'held_out' else 'pool' end as split from s a, s b")
 def _(spark, d):
-    return splits.loso_folds(table(spark, d, "events").where("user_id < 12"), "user_id")
+    return splits.loso_folds(table(spark, d, "events"), "user_id")
 
 
 @query("loso_fold_numbers")
@@ -440,9 +440,10 @@ def _(spark, d):
     return psd(spark, d).withColumn("psd", F.round("psd", 8))
 
 
-@query("fold_psd", f"with {EMB}, {PSD} select cast(channel as int) as channel, freq, round(avg(psd), 8) as psd_mean, round(stddev_pop(psd), 8) as psd_sd_pop from psd group by 1, 2")
+@query("fold_psd", f"""with {EMB}, {PSD}, pf as (select vec_id % 4 as fold, channel, freq, avg(psd) as psd from psd group by 1, 2, 3)
+select cast(channel as int) as channel, freq, round(avg(psd), 8) as psd_mean, round(stddev_pop(psd), 8) as psd_sd_pop from pf group by 1, 2""")
 def _(spark, d):
-    return rounded(spectral.mean_psd(psd(spark, d), ["channel", "freq"]), 8)
+    return rounded(spectral.fold_psd(psd(spark, d).withColumn("fold", F.col("vec_id") % 4), "fold", ["channel", "freq"]), 8)
 
 
 MEANS = "mp as (select case when synthetic then 'synthetic' else 'real' end as kind, freq, avg(psd) as psd from psd group by 1, 2)"
@@ -499,10 +500,11 @@ def _(spark, d):
     return rounded(latent.class_parameters(table(spark, d, "embeddings"), "label", "embedding"), 8)
 
 
-@query("latent_diagnostics", f"with {PAIR} select round(avg(abs(z1)), 8) as mean_abs, round(stddev_pop(z1), 8) as std, round(min(z1), 8) as min, round(max(z1), 8) as max from pr")
+@query("latent_diagnostics", f"""with {PAIR}, c as (select i, var_pop(z1) as own from (select unnest(embedding)::double as z1, generate_subscripts(embedding, 1) as i from embeddings) group by 1)
+select round(avg(abs(z1)), 8) as mean_abs_mu, round(var_pop(z1), 8) as var_mu, round(avg(exp(z0 / 2)), 8) as mean_std, (select round(avg(case when own <= 1e-12 then 1e0 else 0e0 end), 8) from c) as constant_share from pr""")
 def _(spark, d):
-    v = table(spark, d, "embeddings").select(F.explode("embedding").alias("v")).select(F.col("v").cast("double"))
-    return rounded(v.agg(F.avg(F.abs("v")).alias("mean_abs"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")), 8)
+    return rounded(latent.diagnostics(pairs(spark, d), "z1", "z0"), 8)
+
 
 
 @query("batch_mean_mse", f"with {PAIR}, m as (select vec_id, avg((z1 - z0) * (z1 - z0)) as mse from pr group by 1), b as (select vec_id // 128 as b, avg(mse) as m from m group by 1) select round(avg(m), 8) as mean_mse, count(*) as n_batches from b")
@@ -523,9 +525,9 @@ def _(spark, d):
     return rounded(pairs(spark, d).agg(F.avg(latent.mean_square(F.col("z0"), F.col("z1"))).alias("loss"), F.avg(1000 * F.col("t")).alias("mean_model_time")), 8)
 
 
-@query("euler_trajectory", f"with {PAIR}, st as (select unnest([0, 2, 4, 6, 8, 10]) as step) select vec_id, step, round(sum(z1 - (z1 - z0) * step / 10e0), 6) as total, round(max(z1 - (z1 - z0) * step / 10e0), 6) as top from pr, st where vec_id < 50 group by 1, 2")
+@query("euler_trajectory", f"with {PAIR}, st as (select unnest([0, 2, 4, 6, 8, 10]) as step) select vec_id, step, round(sum(z1 - (z1 - z0) * step / 10e0), 6) as total, round(max(z1 - (z1 - z0) * step / 10e0), 6) as top from pr, st group by 1, 2")
 def _(spark, d):
-    return trajectories(pairs(spark, d).where("vec_id < 50"))
+    return trajectories(pairs(spark, d))
 
 
 @query("euler_trajectory_all")
@@ -545,12 +547,12 @@ def _(spark, d):
     return rounded(e)
 
 
-@query("overlap_add", """with a as (select label, row_number() over (partition by label order by vec_id) - 1 as g, embedding from embeddings), f as (select *, max(g) over (partition by label) as top from a where g < 4),
+@query("overlap_add", """with a as (select label, row_number() over (partition by label order by vec_id) - 1 as g, embedding from embeddings), f as (select *, max(g) over (partition by label) as top from a),
  b as (select label, g, top, i, cast(embedding[i + 1] as double) as v from (select *, unnest(range(64)) as i from f)),
  c as (select label, g * 48 + i as at_, v, (case when g > 0 and i < 16 then i / 16e0 else 1e0 end) * (case when g < top and i >= 48 then 1 - (i - 48) / 16e0 else 1e0 end) as fade from b)
-select label, cast(at_ as bigint) as at_, round(sum(v * fade) / greatest(sum(fade), 1e-12), 8) as value from c where at_ < 200 group by 1, 2""")
+select label, cast(at_ as bigint) as at_, round(sum(v * fade) / greatest(sum(fade), 1e-12), 8) as value from c group by 1, 2""")
 def _(spark, d):
-    return faded(segments(spark, d).where("sg < 4"), 200)
+    return faded(segments(spark, d), None)
 
 
 @query("overlap_add_all")
@@ -574,9 +576,9 @@ def _(spark, d):
     return rounded(pairs(spark, d).select("vec_id", latent.vae_loss(z0, z1, z1, z0, 1.0, 0.5, 0.1).alias("loss")), 8)
 
 
-@query("flatten_transpose", "select vec_id, cast(i as int) as i, embedding[(i % 4) * 16 + i // 4 + 1] as v from (select *, unnest(range(64)) as i from embeddings where vec_id < 100)")
+@query("flatten_transpose", "select vec_id, cast(i as int) as i, embedding[(i % 4) * 16 + i // 4 + 1] as v from (select *, unnest(range(64)) as i from embeddings)")
 def _(spark, d):
-    return transposed(table(spark, d, "embeddings").where("vec_id < 100"))
+    return transposed(table(spark, d, "embeddings"))
 
 
 @query("flatten_transpose_all")
@@ -599,12 +601,6 @@ def _(spark, d):
 # Privacy.
 
 
-@query("mia_summary", f"with {EMB}, r as (select case when fold % 2 = 0 then 'holdout' else 'posthoc' end as model, fold, avg(case when label = pred then 1e0 else 0e0 end) as auc from emb group by 1, 2) select model, count(*) as n, round(avg(auc), 8) as mean, round(stddev_samp(auc), 8) as sd_sample, round(min(auc), 8) as min, round(max(auc), 8) as max from r group by 1")
-def _(spark, d):
-    r = fold_accuracy(spark, d).select(F.when(F.col("fold") % 2 == 0, "holdout").otherwise("posthoc").alias("model"), F.col("acc").alias("auc"))
-    return rounded(privacy.membership_summary(r, "model", "auc"), 8)
-
-
 ATT = f"{EMB}, at_ as (select vec_id, fold, avg(x * x) as l2 from s group by 1, 2), pf as (select fold, count(*) as n_attempts, count_if(l2 < 0.10e0 * 0.16e0) as n_success, count_if(l2 < 0.10e0 * 0.16e0) / cast(count(*) as double) as rate from at_ group by 1)"
 
 
@@ -613,6 +609,17 @@ def attacks(spark, d):
     return privacy.reconstruction_success(a, "fold", "l2", "baseline")
 
 
+@query("mia_summary", f"""with {ATT}, r as (select fold, (vec_id // 12) % 2 = 0 as member, round(l2, 9) as score from at_),
+ w as (select a.fold, sum(case when a.score > b.score then 1e0 when a.score = b.score then 0.5e0 else 0e0 end) / count(*) as auc from r a join r b on a.fold = b.fold and a.member and not b.member group by 1),
+ m as (select case when fold % 2 = 0 then 'holdout' else 'posthoc' end as model, auc from w)
+select model, count(*) as n, round(avg(auc), 8) as mean, round(stddev_samp(auc), 8) as sd_sample, round(min(auc), 8) as min, round(max(auc), 8) as max from m group by 1""")
+def _(spark, d):
+    scores = samples(spark, d).groupBy("vec_id", "fold").agg(F.round(F.avg(F.col("x") * F.col("x")), 9).alias("score")).withColumn("member", F.floor(F.col("vec_id") / 12) % 2 == 0)
+    r = privacy.roc_auc(scores, ["fold"], "member", "score").where("auc is not null")
+    r = r.select(F.when(F.col("fold") % 2 == 0, "holdout").otherwise("posthoc").alias("model"), "auc")
+    return rounded(privacy.membership_summary(r, "model", "auc"), 8)
+
+
 @query("reconstruction_success", f"with {ATT} select fold, n_attempts, n_success, round(rate, 8) as rate from pf")
 def _(spark, d):
     return rounded(attacks(spark, d), 8)

@@ -14,15 +14,15 @@ ENTRY = T.StructType([T.StructField("filename", T.StringType()), T.StructField("
 
 
 def check_entries(entries: list[dict]) -> list[dict]:
-    """Plain unique file names, known sizes and digests, a role each."""
+    """Plain unique file names, known sizes and digests (of either case; lower case comes back), a role each."""
     names = [e.get("filename", "") for e in entries]
     if len(set(names)) != len(names):
         raise ArtifactError("file names repeat")
     for e in entries:
-        fine = re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", e.get("filename", "")) and re.fullmatch(r"[0-9a-f]{64}", e.get("sha256", "")) and isinstance(e.get("bytes"), int) and e["bytes"] >= 0 and e.get("role")
+        fine = re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", e.get("filename", "")) and re.fullmatch(r"[0-9A-Fa-f]{64}", e.get("sha256", "")) and isinstance(e.get("bytes"), int) and e["bytes"] >= 0 and e.get("role")
         if not fine:
             raise ArtifactError(f"bad entry: {e}")
-    return entries
+    return [e | {"sha256": e["sha256"].lower()} for e in entries]
 
 
 def verify(spark: SparkSession, entries: list[dict], root: str) -> DataFrame:

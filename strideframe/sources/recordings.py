@@ -61,39 +61,46 @@ def read_logs(spark: SparkSession, root: str, variant: str = "six_channel", subj
 def read_csv_recordings(spark: SparkSession, root: str, composition: str, subjects: list[str] | None = None, *, rate_hz: float = 50.0, tolerance_hz: float = 0.25) -> DataFrame:
     """(subject, seq, ts, ch, raw_label, label) of a composition's CSV files; ``subject`` is ``dataset:stem``.
 
-    A header must be one of the two declared ones; timestamps rise strictly;
-    the rate is one over the median step.  Labels outside a dataset's map are
-    excluded (-1).
+    All files are read in one scan, each as one row whose lines keep their
+    order (recordings are small next to a block); ``seq`` is the line's number.
+    Each dataset must have files.  A header must be one of the two declared
+    ones; fields must be finite numbers; in file order timestamps rise
+    strictly, over two rows at least; the rate is one over the median step.
+    Labels outside a dataset's map are excluded (-1).
     """
-    parts = []
-    for dataset in S.COMPOSITIONS[composition]:
-        for path in [r.path for r in _names(spark, f"{root}/{dataset}", "*.csv").select("path").collect()]:
-            key = f"{dataset}:{path.rsplit('/', 1)[1].rsplit('.', 1)[0]}"
-            if subjects is not None and key not in subjects:
-                continue
-            header = tuple(spark.read.text(path).first()[0].split(","))
-            fits = [s for s in (S.csv_schema(False), S.csv_schema(True)) if tuple(s.names) == header]
-            if not fits:
-                raise SchemaError(f"{key}: header {header}")
-            rows = spark.read.csv(path, header=True, schema=fits[0], mode="FAILFAST", enforceSchema=False)
-            label = F.element_at(F.create_map(*[F.lit(x) for pair in S.CSV_LABELS[dataset].items() for x in pair]), F.col("label").cast("int"))
-            order = Window.partitionBy("subject").orderBy("timestamp", F.col("label").desc())
-            rows = rows.withColumn("subject", F.lit(key)).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
-            parts.append(rows.select("subject", "seq", F.col("timestamp").alias("ts"), F.array(*[F.col(c).cast("float") for c in ("thigh_x", "thigh_y", "thigh_z")]).alias("ch"), F.col("label").alias("raw"), F.coalesce(label, F.lit(S.EXCLUDED)).alias("label")))
-    if not parts:
-        raise SchemaError(f"no recordings for {composition!r}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    found = {r[0] for r in out.select("subject").distinct().collect()}
-    if subjects is not None and set(subjects) - found:
-        raise SchemaError(f"missing recordings: {sorted(set(subjects) - found)}")
-    S.require(out, {"finite": F.forall("ch", lambda x: x.isNotNull() & ~F.isnan(x)), "labels": F.col("raw") == F.floor("raw")})
+    datasets = list(S.COMPOSITIONS[composition])
+    files = spark.read.option("pathGlobFilter", "*.csv").text([f"{root}/{x}" for x in datasets], wholetext=True)
+    path = F.split(F.url_decode(F.col("_metadata.file_path")), "/")
+    dataset, stem = F.element_at(path, -2), F.regexp_replace(F.element_at(path, -1), r"\.[^.]*$", "")
+    files = files.select(dataset.alias("dataset"), F.concat_ws(":", dataset, stem).alias("subject"), "value")
+    found = files.select("dataset", "subject").distinct().collect()  # names of files
+    if lost := set(datasets) - {r.dataset for r in found}:
+        raise SchemaError(f"no recordings in {sorted(lost)}")
+    if subjects is not None:
+        if lost := set(subjects) - {r.subject for r in found}:
+            raise SchemaError(f"missing recordings: {sorted(lost)}")
+        files = files.where(F.col("subject").isin(list(subjects)))
+    lines = F.split(F.regexp_replace("value", r"^\x{FEFF}|\r?\n$", ""), r"\r?\n")
+    files = files.select("dataset", "subject", F.split(F.get(lines, F.lit(0)), ",").alias("header"), lines.alias("lines"))
+    headers = [F.array(*[F.lit(x) for x in S.csv_schema(index).names]) for index in (False, True)]
+    S.require(files, {"header": (F.col("header") == headers[0]) | (F.col("header") == headers[1])})
+    rows = files.select("dataset", "subject", "header", F.posexplode("lines").alias("at", "line")).where("at > 0")
+    rows = rows.select("dataset", "subject", "header", (F.col("at") - 1).cast("long").alias("seq"), F.split("line", ",", -1).alias("v"))
+    field = lambda name: F.get("v", (F.array_position("header", name) - 1).cast("int"))
+    label = F.coalesce(*[F.when(F.col("dataset") == x, F.element_at(F.create_map(*[F.lit(y) for pair in S.CSV_LABELS[x].items() for y in pair]), F.col("raw").cast("int"))) for x in datasets], F.lit(S.EXCLUDED))
+    out = rows.select(
+        "dataset", "subject", "seq", (F.size("v") == F.size("header")).alias("full"), field("timestamp").try_cast("timestamp_ntz").alias("ts"),
+        F.array(*[field(c).try_cast("double") for c in S.CSV_FIELDS]).alias("numbers"), field("label").try_cast("double").alias("raw"),
+    )
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    S.require(out, {"fields": F.col("full"), "timestamps": F.col("ts").isNotNull(), "finite": F.forall("numbers", finite), "labels": F.col("raw") == F.floor("raw")})
     steps = time_steps(out, ["subject"], "ts", ["seq"])
-    bad = steps.where(~(F.col("min_step_s") > 0) | (F.abs(F.col("rate_hz") - rate_hz) > tolerance_hz) | F.col("rate_hz").isNull()).select("subject").collect()
+    fine = (F.col("n_rows") >= 2) & (F.col("min_step_s") > 0) & (F.abs(F.col("rate_hz") - rate_hz) <= tolerance_hz)
+    bad = sorted({r[0] for r in steps.where(~F.coalesce(fine, F.lit(False))).select("subject").collect()} | {r.subject for r in files.where(F.size("lines") < 3).select("subject").collect()})
     if bad:
-        raise SchemaError(f"timestamps don't rise at {rate_hz} Hz: {sorted(r[0] for r in bad)}")
-    return out.select("subject", "seq", "ts", "ch", F.col("raw").cast("int").alias("raw_label"), "label")
+        raise SchemaError(f"timestamps don't rise at {rate_hz} Hz over two rows at least: {bad}")
+    thigh = [i for i, c in enumerate(S.CSV_FIELDS) if c in ("thigh_x", "thigh_y", "thigh_z")]
+    return out.select("subject", "seq", "ts", F.array(*[F.get("numbers", F.lit(i)).cast("float") for i in thigh]).alias("ch"), F.col("raw").cast("int").alias("raw_label"), label.alias("label"))
 
 
 def time_steps(rows: DataFrame, subject: list[str], ts: str, order: list[str]) -> DataFrame:

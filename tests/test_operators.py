@@ -183,9 +183,18 @@ def test_csv_source(spark, tmp_path):
     (tmp_path / "harth" / "S006.csv").write_text("\n".join(rows) + "\n")
     got = recordings.read_csv_recordings(spark, str(tmp_path), "harth").orderBy("seq").collect()
     assert [r.label for r in got] == [8] * 5 + [-1] * 3 and got[3].ch == [3.0, 1.0, 2.0] and got[0].subject == "harth:S006"
-    (tmp_path / "harth" / "S007.csv").write_text("a,b\n1,2\n")
+    wrong = {
+        "header": "a,b\n1,2\n", "order": "\n".join(rows[:3] + rows[4:5] + rows[3:4] + rows[5:]), "repeat": "\n".join(rows[:4] + rows[3:]),
+        "one row": "\n".join(rows[:2]), "no row": rows[0], "number": "\n".join([*rows[:-1], rows[-1].replace("7.0", "inf")]), "fields": "\n".join([*rows, "x"]),
+    }
+    for text in wrong.values():
+        (tmp_path / "harth" / "S007.csv").write_text(text + "\n")
+        with pytest.raises(SchemaError):
+            recordings.read_csv_recordings(spark, str(tmp_path), "harth")
+    (tmp_path / "harth" / "S007.csv").write_text("\n".join(rows) + "\n")
+    assert recordings.read_csv_recordings(spark, str(tmp_path), "harth", ["harth:S007"]).select("subject").distinct().collect() == [("harth:S007",)]
     with pytest.raises(SchemaError):
-        recordings.read_csv_recordings(spark, str(tmp_path), "harth")
+        recordings.read_csv_recordings(spark, str(tmp_path), "harth", ["harth:S008"])
 
 
 def test_artifacts_and_sinks(spark, tmp_path):
@@ -194,6 +203,7 @@ def test_artifacts_and_sinks(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     entry = {"filename": "a.bin", "role": "model", "bytes": 3, "sha256": hashlib.sha256(b"abc").hexdigest()}
     artifacts.require_verified(spark, [entry], str(tmp_path))
+    artifacts.require_verified(spark, [entry | {"sha256": entry["sha256"].upper()}], str(tmp_path))
     with pytest.raises(ArtifactError):
         artifacts.require_verified(spark, [entry | {"bytes": 4}], str(tmp_path))
     with pytest.raises(ArtifactError):
