@@ -134,8 +134,12 @@ def test_components(spark):
 
 
 def test_substring_repeats(spark, corpus):
-    rows = [r for r in corpus if r[0] is not None and r[0] != 73]
+    rows = [*corpus, (None, corpus[1][1], "en", "s"), (75, "one two", "en", "s")]
     got = substring_dedup.find_repeats(frame(spark, rows)).collect()
+    assert [(r.keep_doc_id, r.n_words) for r in got if r.doc_id is None] == [(1, len(ws(corpus[1][1])))]
+    assert [(r.keep_doc_id, r.first_word, r.end_word) for r in got if r.doc_id == 75] == [(71, 0, 2)] and not [r for r in got if r.doc_id == 73]
+    rows = [r for r in rows if r[0] is not None]
+    got = [r for r in got if r.doc_id is not None]
     words = {d: ws(t) for d, t, _, _ in rows}
     by = defaultdict(list)
     for r in got:
@@ -152,6 +156,59 @@ def test_substring_repeats(spark, corpus):
     assert not any(r.doc_id in range(60, 66) for r in again)
 
 
+def test_similar_windows_meet_wherever_they_stand():
+    """Of all pairs of windows of different texts with Jaccard similarity of 0.8 or more, shifted ones too, at least 0.9 meet."""
+    g = random.Random(12)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(5))
+    passages = [[word() for _ in range(80)] for _ in range(12)]
+    texts = []
+    for i in range(240):
+        w = list(passages[i % 12])
+        for _ in range(g.randint(0, 4)):
+            at = g.randrange(len(w))
+            w[at : at + 1] = g.choice(([word()], [word(), w[at]], []))
+        texts.append(" ".join([*[word() for _ in range(g.randint(0, 30))], *w, *[word() for _ in range(g.randint(0, 30))]]).encode())
+    u = substring_dedup.Units(texts, 5, 25, 80, *substring_dedup.tune_bands(0.8, 0.99, 3))
+    at = np.arange(u.windows)
+    unit, token = u.meetings(at, np.ones((len(at), u.bands), bool))
+    meets = defaultdict(set)
+    for i, t in zip(unit.tolist(), token.tolist(), strict=True):
+        meets[i].add(t)
+    sets = [frozenset(u.tokens[a : a + 21].tolist()) for a in u.at[: u.windows].tolist()]
+    by = defaultdict(list)
+    for i, x in enumerate(sets):
+        for t in x:
+            by[t].append(i)
+    pairs = {(i, j) for own in by.values() for i in own for j in own if i < j and u.text[i] != u.text[j] and sets[i] != sets[j]}
+    similar = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    found = sum(bool(meets[i] & meets[j]) for i, j in similar)
+    far = sum(bool(meets[i] & meets[j]) for i, j in pairs) - found
+    print(f"{found} of {len(similar)} similar pairs meet, {far} of {len(pairs) - len(similar)} others")
+    assert len(similar) > 300 and found >= 0.97 * len(similar)
+    # every passage of window + SPREAD - 1 words has a window at the same words in all of its exact copies
+    passage = [word() for _ in range(25 + substring_dedup.SPREAD - 1)]
+    for _ in range(50):
+        a, b = ([*[word() for _ in range(g.randint(0, 60))], *passage, *[word() for _ in range(g.randint(0, 60))]] for _ in range(2))
+        v = substring_dedup.Units([" ".join(a).encode(), " ".join(b).encode()], 5, 25, 80, 3, 1)
+        assert set(v.prints[v.text == 0]) & set(v.prints[v.text == 1])
+
+
+def test_rows_of_one_id_and_repeated_rows_keep_their_words(spark):
+    g = random.Random(13)
+    t, u, v, w = (" ".join(sentences(g, n)) for n in (80, 80, 60, 50))
+    rows = [(1, t), (1, t), (1, t), (2, u), (5, t), (5, v), (None, w), (None, w), (None, f"{u} {v}"), (6, None), (6, ""), (7, f"{w} {v}")]
+    docs = spark.createDataFrame([(d, x, "a", "b", 3) for d, x in rows], "doc_id bigint, text string, _cut_spans string, key string, at int")
+    spans = substring_dedup.find_repeats(docs)
+    for most in (200_000, 0):
+        left = substring_dedup.remove_spans(docs, spans, max_broadcast_spans=most)
+        assert left.columns == docs.columns
+        got = Counter((r.doc_id, r.text) for r in left.collect())
+        assert got[(1, t)] == 1 and got[(1, "")] == 2 and got[(2, u)] == 1 and got[(5, "")] == 1 and got[(5, v)] == 1 and got[(6, None)] == 1 and got[(6, "")] == 1
+        assert sum(got.values()) == len(rows) and sum(n for (d, x), n in got.items() if d is None and x == "") >= 1
+    words = Counter(x for r in substring_dedup.remove_spans(docs, spans, drop_emptied=True).collect() for x in set(ws(r.text)))
+    assert set(words) == {x for _, y in rows for x in set(ws(y))}
+
+
 def test_adjoining_passages_keep_their_own_keepers(spark):
     words = lambda name, n: " ".join(f"{name}{j}" + "." * (j == n - 1 or j % 12 == 11) for j in range(n))
     a, b = words("a", 25), words("b", 25)

@@ -32,3 +32,25 @@ def test_quality_stage_passes_texts_without_heavy_lines(spark):
 def test_run_over_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_hard_rows(spark):
+    """Shared ids, nulls, empties, a long text, repeated rows, and columns that stages use themselves."""
+    from tests_corpus import rows  # noqa: PLC0415
+
+    base = rows()
+    a, b, c = base[0][1], base[1][1], base[2][1]
+    hard = [(1, a), (5, a), (5, b), (None, b), (7, c), (7, c), (8, None), (9, ""), (10, " \n"), (11, " ".join(f"w{i}" for i in range(30_000))), (None, None)]
+    names = "lang string, source string, n_chars bigint, _copy int, size string, kept string, n_words int, copies int, taken int, at int, d int, _i int"
+    docs = spark.createDataFrame([(d, t, "en", None, len(t or ""), 1, "x", "y", 2, 3, 4, 5, 6, 7) for d, t in hard], f"doc_id bigint, text string, {names}")
+    got = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got[name] = Counter((r.doc_id, r.text) for r in out.collect())
+        assert all(tuple(r)[5:] == (1, "x", "y", 2, 3, 4, 5, 6, 7) for r in out.collect())
+    assert got["quality rules"] == Counter(x for x in hard if len((x[1] or "").split()) >= 50)
+    assert got["n-gram jaccard join"] == Counter({(1, a): 1, (5, b): 1, (7, c): 1, hard[9]: 1, (8, None): 1, (9, ""): 1, (10, " \n"): 1, (None, None): 1})
+    assert got["substring dedup"] == got["n-gram jaccard join"]
+    assert sum(got["mixing"].values()) and set(got["mixing"]) <= set(hard)
+    assert P.packing_stage(spark, docs, "").select("doc_id").distinct().count() == 8
