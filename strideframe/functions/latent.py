@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.functions.draws import normal, uniform
+
 
 def interpolate(z0: Column, z1: Column, t: Column) -> Column:
     """(1 - t) z0 + t z1, position by position."""
@@ -76,6 +78,41 @@ def class_parameters(latents: DataFrame, label: str, column: str) -> DataFrame:
     return latents.select(label, F.posexplode(column).alias("pos", "v")).groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"), (F.stddev_pop(F.col("v").cast("double")) + 1e-6).alias("std"))
 
 
+def class_samples(parameters: DataFrame, label: str, per_class: int, seed: int = 42) -> DataFrame:
+    """(label, sample, latent): ``per_class`` draws from each class's own normal distribution of ``class_parameters``.
+
+    A draw depends on seed, class, sample and position only.  A class has one
+    row of parameters, as long as a latent; classes without rows have no draws.
+    """
+    if per_class < 1:
+        raise ValueError("per_class is at least 1")
+    own = parameters.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("_p"))
+    drawn = own.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))))
+    value = lambda p: (p["mean"] + p["std"] * normal(seed, F.col(label), F.col("sample"), p["pos"])).cast("float")
+    return drawn.select(label, "sample", F.transform("_p", value).alias("latent"))
+
+
+def augment(column: str, samples: int, key: Column, *, jitter: float = 0.008, scale: float = 0.04, time_mask: float = 0.05, seed: int = 42) -> Column:
+    """A flat window with noise on every number, one factor a channel, and some times of all channels set to 0.
+
+    A part of size 0 is left out.  ``key`` names the window; a window that
+    comes again (another epoch) needs another key or seed for other draws.
+    """
+
+    def changed(x, i):
+        channel, time = F.floor(i / samples), i % samples
+        y = x.cast("double")
+        if jitter > 0:
+            y = y + jitter * normal(f"{seed}/jitter", key, i)
+        if scale > 0:
+            y = y * (1 + scale * normal(f"{seed}/scale", key, channel))
+        if time_mask > 0:
+            y = F.when(uniform(f"{seed}/mask", key, time) < time_mask, 0.0).otherwise(y)
+        return y.cast("float")
+
+    return F.transform(column, changed)
+
+
 def mean_of_batch_means(df: DataFrame, index: str, value: str, batch: int = 128) -> DataFrame:
     """The last batch weighs as much as any other."""
     means = df.groupBy(F.floor(F.col(index) / batch).alias("_b")).agg(F.avg(value).alias("_m"))

@@ -45,8 +45,17 @@ def within_split_duplicates(rows: DataFrame, split: str, digest: str) -> DataFra
     return digest_counts(rows, split, digest).where("n > 1").groupBy(split).agg(F.count("*").alias("n_digests"), F.sum(F.col("n") - 1).alias("n_extra"))
 
 
-def assert_no_duplicates(rows: DataFrame, split: str, digest: str) -> DataFrame:
-    found = [r.asDict() for r in cross_split_duplicates(rows, split, digest).collect()]  # one row a pair of splits
+def train_validation_duplicates(rows: DataFrame, split: str, digest: str) -> DataFrame:
+    """The narrower audit of training against validation; says nothing of what is held out."""
+    return cross_split_duplicates(rows.where(F.col(split).isin("train", "validation")), split, digest)
+
+
+def assert_no_duplicates(rows: DataFrame, split: str, digest: str, *, within: bool = False, train_validation_only: bool = False) -> DataFrame:
+    """``rows``, or an error with the counts; ``within`` also looks for repeats inside a split."""
+    seen = rows.where(F.col(split).isin("train", "validation")) if train_validation_only else rows
+    found = [r.asDict() for r in cross_split_duplicates(seen, split, digest).collect()]  # one row a pair of splits
+    if within:
+        found += [r.asDict() for r in within_split_duplicates(seen, split, digest).collect()]  # one row a split
     if found:
         raise DuplicateWindowError(found)
     return rows

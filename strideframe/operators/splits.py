@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.errors import SplitError
+from strideframe.functions.draws import order_key
 
 
 def loso_folds(subjects: DataFrame, subject: str) -> DataFrame:
@@ -64,6 +65,45 @@ def stratified_allocation(counts: DataFrame, label: str, n: str, fraction: float
     return t.select(label, "n", ok.alias("stratified"), F.when(ok, F.least(give, F.col("n") - 1)).alias("n_validation"))
 
 
+def stratified_split(rows: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42, least: int = 0) -> DataFrame:
+    """``rows`` with ``split``: the first of each class in a random order are validation, as many as ``stratified_allocation`` gives.
+
+    Where that can't stratify, the order runs over all rows.  Fewer rows than
+    ``least`` are all training; a validation part that leaves no training rows
+    is refused.  ``key`` tells rows apart; null labels are a class.  No class
+    is sorted: counts by class and leading bits of the order find the cell in
+    which its part ends, and only that cell is ranked.
+    """
+    if not 0 < fraction < 1:
+        raise SplitError("the fraction lies between 0 and 1")
+    place = F.struct(order_key(seed, F.col(key)).alias("at"), F.col(key).alias("key"))
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(label).alias("class"), place.alias("place"))
+    keyed = keyed.withColumn("cell", F.shiftright("place.at", 48))
+    cells = keyed.groupBy("class", "cell").agg(F.count("*").alias("n"))
+    sizes = stratified_allocation(cells.groupBy("class").agg(F.sum("n").alias("n")), "class", "n", fraction).collect()  # one row a class
+    total = sum(r["n"] for r in sizes)
+    whole = rows.withColumn("split", F.lit("train"))
+    if total < max(least, 1):
+        return whole
+    n_train, n_val = split_sizes(total, fraction)
+    if n_train < 1:
+        raise SplitError("no training row is left")
+    kind = dict(rows.dtypes)[label]
+    if sizes[0]["stratified"]:
+        asked = [(r["class"], r["n_validation"]) for r in sizes]
+    else:
+        keyed = keyed.withColumn("class", F.lit(None).cast(kind))
+        cells, asked = cells.groupBy(F.lit(None).cast(kind).alias("class"), "cell").agg(F.sum("n").alias("n")), [(None, n_val)]
+    asked = F.broadcast(rows.sparkSession.createDataFrame(asked, f"wanted {kind}, take long"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("cell")) - F.col("n")
+    ends = cells.withColumn("before", before).join(asked, F.col("class").eqNullSafe(F.col("wanted")))
+    ends = ends.where("before < take and take <= before + n").select(F.col("class").alias("c"), F.col("cell").alias("end"), (F.col("take") - F.col("before")).alias("rest"))
+    last = keyed.join(F.broadcast(ends), F.col("class").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("end")))
+    last = last.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("place"))).where("rank = rest").select("c", F.col("place").alias("last"))
+    out = keyed.join(F.broadcast(last), F.col("class").eqNullSafe(F.col("c")))  # a row a class on the broadcast sides
+    return out.select(*[F.col(f"row.`{c}`") for c in rows.columns], F.when(F.col("place") <= F.col("last"), "validation").otherwise("train").alias("split"))
+
+
 def draw_per_class(labels: np.ndarray, cap: int, g: np.random.Generator) -> np.ndarray:
     """Positions kept: at most ``cap`` of each class, classes in rising order on one generator; cap <= 0 keeps all."""
     kept = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +54,38 @@ class Standardizer:
     def inverse(self, column: str, samples: int):
         m, s = lambda i: self._stat(self.mean, (i / samples).cast("int")), lambda i: self._stat(self.std, (i / samples).cast("int"))
         return F.transform(column, lambda x, i: (x.cast("double") * s(i) + m(i)).cast("float"))
+
+    def to_json(self) -> str:
+        """Statistics and training subjects; ``from_json`` restores them."""
+        if self.mean is None:
+            raise NotFittedError("fit first")
+        # Names of the fields and of the method.
+        fields = {"method": "per_channel_zscore", "fit_axes": [0, 2], "ddof": 0, "epsilon": FLOOR, "channels": len(self.mean)}
+        return json.dumps(fields | {"mean": self.mean, "std": self.std, "training_subjects": sorted(self.subjects) or None}, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str, held_out: set | None = None) -> Standardizer:
+        """A fitted standardiser; what isn't a population z-score per channel with finite statistics is refused."""
+        try:
+            fields = json.loads(text)
+        except ValueError as broken:
+            raise NormalizationError("not JSON") from broken
+        if not isinstance(fields, dict) or fields.get("method") not in ("per_channel_zscore", "zscore"):
+            raise NormalizationError("another method")
+        if fields.get("fit_axes", [0, 2]) != [0, 2] or fields.get("ddof", 0) != 0:
+            raise NormalizationError("other axes or another deviation")
+        mean, std = fields.get("mean"), fields.get("std")
+        for values in (mean, std):
+            if not isinstance(values, list) or len(values) != fields.get("channels") or not values:
+                raise NormalizationError("mean and std have one number a channel")
+            if any(isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) for v in values):
+                raise NormalizationError("mean and std are finite numbers")
+        if min(std) <= 0:
+            raise NormalizationError("deviations are above 0")
+        out = cls(set(fields.get("training_subjects") or ()))
+        apart = (held_out or set()) | set(fields.get("validation_subjects") or ())
+        if out.subjects & (apart | {fields.get("held_out_subject")}):
+            raise NormalizationError("training and held-out subjects overlap")
+        out.mean = [float(v) for v in mean]
+        out.std = [max(float(v), float(fields.get("epsilon", FLOOR))) for v in std]
+        return out

@@ -48,6 +48,16 @@ def run_table(runs: DataFrame, subject: list[str], label: str) -> DataFrame:
     return runs.groupBy(*subject, "run").agg(F.max(label).alias(label), F.count("*").alias("n_rows"))
 
 
+def window_size(value: int, alias: int | None = None, *, default: int, name: str = "length") -> int:
+    """One size from its two spellings: the alias counts where the value is the default; two that differ are refused."""
+    for v in (value, alias):
+        if v is not None and (isinstance(v, bool) or not isinstance(v, int) or v < 1):
+            raise WindowError(f"{name} is a positive integer, not {v!r}")
+    if alias is not None and value not in (default, alias):
+        raise WindowError(f"two values of {name}: {value} and {alias}")
+    return value if alias is None else alias
+
+
 def cut_windows(runs: DataFrame, length: int, hop: int) -> DataFrame:
     """Each sample once per window that holds it: ``widx`` from 0, ``at`` within the window.
 

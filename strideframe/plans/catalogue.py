@@ -236,6 +236,15 @@ def _(spark, d):
     return splits.stratified_allocation(table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), "label", "n")
 
 
+@query(
+    "stratified_split",
+    f"""with r as (select vec_id, label, row_number() over (partition by label order by substring(md5('42/' || vec_id), 1, 15), vec_id) as rn from embeddings)
+select vec_id, r.label, case when rn <= n_validation then 'validation' else 'train' end as split from r join ({ORACLE_SQL["stratified_allocation"]}) a on a.label = r.label""",
+)
+def _(spark, d):
+    return splits.stratified_split(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id")
+
+
 @query("scenario_populations", f"""with {EMB}, a as (select *, row_number() over (partition by label order by vec_id) as r from emb where not synthetic), b as (select *, row_number() over (partition by label order by vec_id) as r from emb where synthetic),
  u as (select 'trtr' as scenario, 'real' as origin, label from a union all select 'scarce', 'real', label from a where r <= 5 union all select 'tstr', 'synthetic', label from b where r <= 10
   union all select 'tstr_scarce', 'synthetic', label from b where r <= 10 union all select 'tstr_scarce', 'real', label from a where r <= 5)
@@ -296,6 +305,11 @@ def _(spark, d):
     return audit.within_split_duplicates(digests(spark, d), "split", "digest")
 
 
+@query("dup_train_validation", f"with {DIG} select 'train' as left_split, 'validation' as right_split, count(*) as n_digests, cast(sum(a.n) as bigint) as left_windows, cast(sum(b.n) as bigint) as right_windows from g a join g b on a.digest = b.digest and a.split = 'train' and b.split = 'validation' having count(*) > 0")
+def _(spark, d):
+    return audit.train_validation_duplicates(digests(spark, d), "split", "digest")
+
+
 @query("window_sha1_bytes")
 def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", audit.window_digest("embedding").alias("digest"))
@@ -500,6 +514,36 @@ def _(spark, d):
     return rounded(latent.class_parameters(table(spark, d, "embeddings"), "label", "embedding"), 8)
 
 
+def normal_sql(*keys: str) -> str:
+    digest = "md5(concat_ws('/', " + ", ".join(keys) + "))"
+    part = lambda first: f"((cast('0x' || substring({digest}, {first}, 8) as bigint) + 0.5e0) / 4294967296e0)"
+    return f"sqrt(-2 * ln({part(1)})) * cos(2 * pi() * {part(9)})"
+
+
+@query(
+    "latent_class_samples",
+    f"""with p as (select label, unnest(range(64)) as pos, embedding from embeddings),
+ c as (select label, pos, avg(cast(embedding[pos + 1] as double)) as m, stddev_pop(cast(embedding[pos + 1] as double)) + 1e-6 as sd from p group by 1, 2),
+ d as (select *, unnest(range(20)) as sample from c)
+select label, cast(sample as int) as sample, cast(pos as int) as pos, round(cast(cast(m + sd * {normal_sql("'42'", "label", "sample", "pos")} as float) as double), 4) + 0e0 as latent from d""",
+)
+def _(spark, d):
+    drawn = latent.class_samples(latent.class_parameters(table(spark, d, "embeddings"), "label", "embedding"), "label", 20)
+    return rounded(drawn.select("label", "sample", F.posexplode("latent").alias("pos", "latent")).withColumn("latent", F.col("latent").cast("double")), 4)
+
+
+@query(
+    "augment_batch",
+    f"""with {EMB}, u as (select vec_id, channel, t, x + 0.008e0 * {normal_sql("'42/jitter'", "vec_id", "channel * 16 + t")} as y,
+  1 + 0.04e0 * {normal_sql("'42/scale'", "vec_id", "channel")} as f,
+  (cast('0x' || substring(md5(concat_ws('/', '42/mask', vec_id, t)), 1, 8) as bigint) + 0.5e0) / 4294967296e0 < 0.05e0 as gone from s)
+select vec_id, cast(channel * 16 + t as int) as i, round(cast(cast(case when gone then 0e0 else y * f end as float) as double), 4) + 0e0 as x from u""",
+)
+def _(spark, d):
+    changed = table(spark, d, "embeddings").select("vec_id", latent.augment("embedding", T, F.col("vec_id")).alias("w"))
+    return rounded(changed.select("vec_id", F.posexplode("w").alias("i", "x")).withColumn("x", F.col("x").cast("double")), 4)
+
+
 @query("latent_diagnostics", f"""with {PAIR}, c as (select i, var_pop(z1) as own from (select unnest(embedding)::double as z1, generate_subscripts(embedding, 1) as i from embeddings) group by 1)
 select round(avg(abs(z1)), 8) as mean_abs_mu, round(var_pop(z1), 8) as var_mu, round(avg(exp(z0 / 2)), 8) as mean_std, (select round(avg(case when own <= 1e-12 then 1e0 else 0e0 end), 8) from c) as constant_share from pr""")
 def _(spark, d):

@@ -14,6 +14,18 @@ LABEL_COLUMN = 119
 CHANNELS = {"six_channel": (80, 81, 82, 83, 84, 85), "three_channel": (80, 81, 82)}
 LOG_LABELS = {1: 0, 3: 1, 4: 2, 33: 3}
 LOG_CLASSES = ("walking", "running", "jump_up", "cycling")
+CSV_CLASSES = (
+    "walking_slow",
+    "walking_moderate",
+    "walking_brisk",
+    "running",
+    "stair_climbing",
+    "cycling_seated",
+    "cycling_standing",
+    "sitting",
+    "standing",
+    "lying",
+)
 CSV_LABELS = {
     "adult_walking_speed": {101: 0, 102: 1, 103: 2, 2: 3},
     "harth": {2: 3, 4: 4, 5: 4, 13: 5, 14: 6, 7: 7, 6: 8, 8: 9},
