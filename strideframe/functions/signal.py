@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.functions.percentiles import exact_percentiles
+
 STANDARD_GRAVITY = 9.80665
 NEAR_CONSTANT = 1e-12
 
@@ -37,14 +39,14 @@ def window_variances(samples: DataFrame, window: list[str]) -> DataFrame:
 
 def signal_summary(samples: DataFrame, window: list[str]) -> DataFrame:
     """Per channel over all windows: moments, extremes, rms, quartile range, near-constant share."""
-    v = window_variances(samples, window).groupBy("channel").agg(
-        F.avg("variance").alias("variance_mean"), F.percentile("variance", 0.5).alias("variance_median"), F.avg((F.col("variance") <= NEAR_CONSTANT).cast("double")).alias("near_constant")
-    )
+    variances = window_variances(samples, window)
+    v = variances.groupBy("channel").agg(F.avg("variance").alias("variance_mean"), F.avg((F.col("variance") <= NEAR_CONSTANT).cast("double")).alias("near_constant"))
     t = samples.groupBy("channel").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"),
-        F.var_pop("x").alias("variance"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("iqr"),
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.var_pop("x").alias("variance")
     )
-    return t.join(v, "channel")
+    quartiles = exact_percentiles(samples, ["channel"], "x", {"_q1": 0.25, "_q3": 0.75}).select("channel", (F.col("_q3") - F.col("_q1")).alias("iqr"))
+    middle = exact_percentiles(variances, ["channel"], "variance", {"variance_median": 0.5})
+    return t.join(v, "channel").join(F.broadcast(quartiles), "channel").join(F.broadcast(middle), "channel")  # a row a channel
 
 
 def norm_over_windows(samples: DataFrame) -> DataFrame:
@@ -56,18 +58,21 @@ def norm_over_windows(samples: DataFrame) -> DataFrame:
 def magnitude_summary(points: DataFrame, x: str, y: str, z: str, max_g: float) -> DataFrame:
     m = points.select(magnitude(F.col(x), F.col(y), F.col(z)).alias("m"))
     over = F.count_if(F.col("m") > max_g * STANDARD_GRAVITY)
-    t = m.agg(
-        F.count("*").alias("n_points"), over.alias("n_over"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.percentile("m", 0.5).alias("median"),
-        F.percentile("m", 0.95).alias("p95"), F.percentile("m", 0.99).alias("p99"), F.max("m").alias("max"),
-    )
-    return t.withColumn("pct_over", F.coalesce(F.try_divide(100.0 * F.col("n_over"), "n_points"), F.lit(0.0)))
+    t = m.agg(F.count("*").alias("n_points"), over.alias("n_over"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.max("m").alias("max"))
+    t = t.withColumn("pct_over", F.coalesce(F.try_divide(100.0 * F.col("n_over"), "n_points"), F.lit(0.0)))
+    return t.join(exact_percentiles(m, [], "m", {"median": 0.5, "p95": 0.95, "p99": 0.99}), F.lit(True), "left")  # a row each
 
 
 def features(samples: DataFrame, group: list[str], channels: int = 3) -> DataFrame:
     """Six features of each of the first channels, in order, as one array: mean, std, min, max, rms, range of quartiles."""
-    per = samples.where(F.col("channel") < channels).groupBy(*group, "channel").agg(
-        F.array(F.avg("x"), F.stddev_pop("x"), F.min("x"), F.max("x"), F.sqrt(F.avg(F.col("x") * F.col("x"))), F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("f")
-    )
+    few = samples.where(F.col("channel") < channels)
+    keys = [*group, "channel"]
+    quartiles = exact_percentiles(few, keys, "x", {"_q1": 0.25, "_q3": 0.75}).select(*[F.col(c).alias(f"_{c}") for c in keys], (F.col("_q3") - F.col("_q1")).alias("_iqr"))
+    per = few.groupBy(*keys).agg(F.array(F.avg("x"), F.stddev_pop("x"), F.min("x"), F.max("x"), F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("f"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    per = per.join(F.broadcast(quartiles), same).select(*keys, F.array_append("f", F.col("_iqr")).alias("f"))  # a row a group and channel
     ordered = F.array_sort(F.collect_list(F.struct("channel", "f")))
     return per.groupBy(*group).agg(F.flatten(F.transform(ordered, lambda x: x["f"])).alias("features"))
 

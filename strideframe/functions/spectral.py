@@ -1,38 +1,78 @@
-"""Spectra of short windows as trigonometric sums over a broadcast table of bins."""
+"""Spectra of fixed-length windows; a window is one array in its row, so its spectrum needs no shuffle."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.errors import WindowError
 
-def _angles(spark, samples: int) -> DataFrame:
-    """(t, k, cos, sin) for all positions and bins: samples * (samples / 2 + 1) rows."""
-    rows = [(t, k, math.cos(2 * math.pi * k * t / samples), math.sin(2 * math.pi * k * t / samples)) for t in range(samples) for k in range(samples // 2 + 1)]
-    return F.broadcast(spark.createDataFrame(rows, "t int, k int, c double, s double"))
 
+def _per_channel(windows: DataFrame, keep: list[str], column: str, length: int, name: str, spectrum: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(keep, channel, k, name): ``spectrum`` turns (windows, channels, length) into (windows, channels, bins), batch by batch.
 
-def dft_power(samples: DataFrame, window: list[str], length: int) -> DataFrame:
-    """(window, channel, k, power) of mean-removed windows.
+    ``column`` is a flat window in channel order of any number of channels,
+    the same in all rows of a batch; other sizes, nulls and numbers that
+    aren't finite raise.
+    """
+
+    def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("_w")
+            sizes = set(flat.value_lengths().to_pylist())
+            if len(sizes) > 1 or None in sizes or 0 in sizes or next(iter(sizes)) % length:
+                raise WindowError(f"windows have sizes {sizes}, not one multiple of {length}")
+            x = flat.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, length)
+            if not np.isfinite(x).all():
+                raise WindowError("windows hold finite numbers only")
+            found = spectrum(x)
+            bins = found.shape[-1]
+            channels = pa.ListArray.from_arrays(pa.array(np.arange(found.shape[0] * found.shape[1] + 1, dtype=np.int32) * bins), pa.array(found.ravel()))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(found.shape[0] + 1, dtype=np.int32) * found.shape[1]), channels)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], rows], [*keep, "_s"])
+
+    source = windows.select(*keep, F.transform(column, lambda v: v.cast("double")).alias("_w"))
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in source.dtypes[:-1])
+    found = source.mapInArrow(spectra, f"{kinds}{', ' if keep else ''}_s array<array<double>>")
+    found = found.select(*keep, F.posexplode("_s").alias("channel", "_s"))
+    return found.select(*keep, "channel", F.posexplode("_s").alias("k", name))
+
+
+def dft_power(windows: DataFrame, keep: list[str], column: str, length: int) -> DataFrame:
+    """(keep, channel, k, power) of mean-removed windows; bin 0 is zero."""
+
+    def power(x: np.ndarray) -> np.ndarray:
+        return np.abs(np.fft.rfft(x - x.mean(axis=-1, keepdims=True), axis=-1)) ** 2
+
+    return _per_channel(windows, keep, column, length, "power", power)
+
+
+def welch_psd(windows: DataFrame, keep: list[str], column: str, length: int, rate: float, nperseg: int = 160) -> DataFrame:
+    """(keep, channel, k, freq, psd): one-sided density by periodic Hann segments of ``nperseg`` samples that overlap by half, constant detrend.
 
-    The mean falls out of every bin but the first, which is zero by
-    definition, so one aggregation gives the spectrum.
+    Segments are no longer than the window; samples behind the last whole segment don't count.
     """
-    sums = samples.join(_angles(samples.sparkSession, length), "t").groupBy(*window, "channel", "k").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"))
-    return sums.select(*window, "channel", "k", F.when(F.col("k") == 0, 0.0).otherwise(F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
+    if rate <= 0 or nperseg < 1:
+        raise WindowError("rate and nperseg are above 0")
+    size = min(nperseg, length)
+    hop = size - size // 2
 
+    def density(x: np.ndarray) -> np.ndarray:
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if size > 1 else np.ones(1)
+        parts = np.lib.stride_tricks.sliding_window_view(x, size, axis=-1)[..., ::hop, :]
+        tapered = (parts - parts.mean(axis=-1, keepdims=True)) * hann
+        p = np.abs(np.fft.rfft(tapered, axis=-1)) ** 2 / (rate * (hann**2).sum())
+        p[..., 1 : (size + 1) // 2] *= 2  # neither the first bin nor that of an even size's half rate
+        return p.mean(axis=-2)
 
-def welch_psd(samples: DataFrame, window: list[str], length: int, rate: float) -> DataFrame:
-    """One-sided density of one periodic-Hann segment per window, constant detrend."""
-    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("t") / length)
-    scale = rate * sum((0.5 - 0.5 * math.cos(2 * math.pi * t / length)) ** 2 for t in range(length))
-    mean = F.avg("x").over(Window.partitionBy(*window, "channel"))
-    tapered = samples.withColumn("x", (F.col("x") - mean) * hann)
-    sums = tapered.join(_angles(samples.sparkSession, length), "t").groupBy(*window, "channel", "k").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"))
-    twice = F.when((F.col("k") == 0) | ((F.col("k") == length // 2) & F.lit(length % 2 == 0)), 1.0).otherwise(2.0)
-    return sums.select(*window, "channel", "k", (F.col("k") * rate / length).alias("freq"), (twice * (F.col("re") ** 2 + F.col("im") ** 2) / scale).alias("psd"))
+    found = _per_channel(windows, keep, column, length, "psd", density)
+    return found.select(*keep, "channel", "k", (F.col("k") * rate / size).alias("freq"), "psd")
 
 
 def mean_psd(psd: DataFrame, by: list[str]) -> DataFrame:
@@ -76,3 +116,37 @@ def spectral_summary(power: DataFrame, by: list[str], rate: float, length: int)
         F.coalesce(F.sum("area"), F.lit(0.0)).alias("total"), F.max_by("f", F.struct(v, -f)).alias("dominant"), F.coalesce(F.try_divide(F.sum(f * v), F.sum(v)), F.lit(0.0)).alias("centroid"),
         share((f >= 0) & (f <= 2)).alias("low"), share((f > 2) & (f <= 10)).alias("mid"), share((f > 10) & (f <= 25)).alias("high"),
     )
+
+
+# Bands of the comparison, in Hz.
+BANDS = {"ratio_0_25hz": (0.0, 25.0), "ratio_10_25hz": (10.0, 25.0), "ratio_0_2hz": (0.0, 2.0)}
+
+
+def spectral_statistics(bins: DataFrame) -> DataFrame:
+    """Per channel of (channel, freq, real, synthetic, real_sd, synthetic_sd): log correlation, band ratios, deviation ratio.
+
+    The correlation takes bins where both means are positive, two at least;
+    a band's ratio is null where its real power isn't positive; the ratio of
+    deviations is a mean over bins with a real deviation.
+    """
+    w = Window.partitionBy("channel").orderBy("freq")
+    b = bins.withColumns({f"_{c}": (F.col("freq") - F.lag("freq").over(w)) * (F.col(c) + F.lag(c).over(w)) / 2 for c in ("real", "synthetic")} | {"_from": F.lag("freq").over(w)})
+    both = (F.col("real") > 0) & (F.col("synthetic") > 0)
+
+    def ratio(low: float, high: float):
+        inside = (F.col("_from") >= low) & (F.col("freq") <= high)
+        real = F.sum(F.when(inside, F.col("_real")))
+        return F.when(real > 0, F.coalesce(F.sum(F.when(inside, F.col("_synthetic"))), F.lit(0.0)) / real)
+
+    return b.groupBy("channel").agg(
+        F.when(F.count_if(both) >= 2, F.corr(F.ln(F.when(both, F.col("real"))), F.ln(F.when(both, F.col("synthetic"))))).alias("log_psd_corr"),
+        *[ratio(*band).alias(name) for name, band in BANDS.items()],
+        F.avg(F.when(F.col("real_sd") > 0, F.col("synthetic_sd") / F.col("real_sd"))).alias("sd_ratio"),
+    )
+
+
+def mean_statistics(statistics: DataFrame) -> DataFrame:
+    """One row: means over channels, null where a channel has none, and whether the high band is attenuated."""
+    names = ["log_psd_corr", *BANDS, "sd_ratio"]
+    means = statistics.agg(*[F.when(F.count(c) == F.count("*"), F.avg(c)).alias(c) for c in names])
+    return means.withColumn("attenuated", F.coalesce(F.col("ratio_10_25hz") < 1, F.lit(False)))

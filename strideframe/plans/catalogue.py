@@ -431,13 +431,13 @@ DFT = "d as (select vec_id, label, synthetic, channel, k, case when k = 0 then 0
 
 @query("dft_power", f"with {EMB}, {DFT} select vec_id, cast(channel as int) as channel, cast(k as int) as k, round(power, 6) as power from d")
 def _(spark, d):
-    return rounded(spectral.dft_power(samples(spark, d), ["vec_id"], T))
+    return rounded(spectral.dft_power(embeddings(spark, d), ["vec_id"], "embedding", T))
 
 
 @query("spectral_summary", f"""with {EMB}, {DFT}, p as (select channel, k, avg(power) as p, k * 50e0 / 16 as f from d group by 1, 2), q as (select *, (f - lag(f) over (partition by channel order by k)) * (p + lag(p) over (partition by channel order by k)) / 2 as area from p)
 select cast(channel as int) as channel, round(sum(area), 5) as total, min_by(f, -p) as dominant, round(sum(f * p) / sum(p), 5) as centroid, round(sum(case when f <= 2 then p else 0 end) / sum(p), 5) as low, round(sum(case when f > 2 and f <= 10 then p else 0 end) / sum(p), 5) as mid, round(sum(case when f > 10 and f <= 25 then p else 0 end) / sum(p), 5) as high from q group by 1""")
 def _(spark, d):
-    return rounded(spectral.spectral_summary(spectral.dft_power(samples(spark, d), ["vec_id"], T), ["channel"], RATE, T), 5)
+    return rounded(spectral.spectral_summary(spectral.dft_power(embeddings(spark, d), ["vec_id"], "embedding", T), ["channel"], RATE, T), 5)
 
 
 PSD = """h as (select t as ht, 0.5e0 - 0.5e0 * cos(2 * pi() * t / 16) as h from (select unnest(range(16)) as t)), sc as (select 50e0 * sum(h * h) as scale from h), mm as (select *, x - avg(x) over (partition by vec_id, channel) as y from s),
@@ -446,7 +446,7 @@ PSD = """h as (select t as ht, 0.5e0 - 0.5e0 * cos(2 * pi() * t / 16) as h from
 
 
 def psd(spark, d):
-    return spectral.welch_psd(samples(spark, d), ["vec_id", "synthetic"], T, RATE)
+    return spectral.welch_psd(embeddings(spark, d), ["vec_id", "synthetic"], "embedding", T, RATE)
 
 
 @query("welch_psd", f"with {EMB}, {PSD} select vec_id, synthetic, cast(channel as int) as channel, cast(k as int) as k, freq, round(psd, 8) as psd from psd")
@@ -479,6 +479,43 @@ def _(spark, d):
     return rounded(spectral.log_correlation(m, "real", "synthetic"))
 
 
+CHANNEL_BINS = """cb as (select channel, freq, case when synthetic then 'synthetic' else 'real' end as kind, avg(psd) as psd, stddev_pop(psd) as sd from psd group by 1, 2, 3),
+ b as (select r.channel, r.freq, r.psd as rp, y.psd as sp, r.sd as rsd, y.sd as ssd from cb r join cb y on y.channel = r.channel and y.freq = r.freq and r.kind = 'real' and y.kind = 'synthetic'),
+ tr as (select *, lag(freq) over w as from_, (freq - lag(freq) over w) * (rp + lag(rp) over w) / 2 as ra, (freq - lag(freq) over w) * (sp + lag(sp) over w) / 2 as sa from b window w as (partition by channel order by freq)),
+ st as (select cast(channel as int) as channel, corr(case when rp > 0 and sp > 0 then ln(rp) end, case when rp > 0 and sp > 0 then ln(sp) end) as log_psd_corr,
+  sum(case when from_ >= 0 and freq <= 25 then sa end) / nullif(sum(case when from_ >= 0 and freq <= 25 then ra end), 0) as ratio_0_25hz,
+  sum(case when from_ >= 10 and freq <= 25 then sa end) / nullif(sum(case when from_ >= 10 and freq <= 25 then ra end), 0) as ratio_10_25hz,
+  sum(case when from_ >= 0 and freq <= 2 then sa end) / nullif(sum(case when from_ >= 0 and freq <= 2 then ra end), 0) as ratio_0_2hz,
+  avg(case when rsd > 0 then ssd / rsd end) as sd_ratio from tr group by 1)"""
+
+
+def channel_bins(spark, d):
+    p = psd(spark, d).groupBy("channel", "freq", "synthetic").agg(F.avg("psd").alias("m"), F.stddev_pop("psd").alias("s"))
+    side = lambda c, s: F.max(F.when(F.col("synthetic") == s, F.col(c)))
+    return p.groupBy("channel", "freq").agg(side("m", False).alias("real"), side("m", True).alias("synthetic"), side("s", False).alias("real_sd"), side("s", True).alias("synthetic_sd"))
+
+
+@query("spectral_statistics", f"with {EMB}, {PSD}, {CHANNEL_BINS} select channel, round(log_psd_corr, 6) as log_psd_corr, round(ratio_0_25hz, 6) as ratio_0_25hz, round(ratio_10_25hz, 6) as ratio_10_25hz, round(ratio_0_2hz, 6) as ratio_0_2hz, round(sd_ratio, 6) as sd_ratio from st")
+def _(spark, d):
+    return rounded(spectral.spectral_statistics(channel_bins(spark, d)))
+
+
+@query("spectral_statistics_mean", f"""with {EMB}, {PSD}, {CHANNEL_BINS} select round(avg(log_psd_corr), 6) as log_psd_corr, round(avg(ratio_0_25hz), 6) as ratio_0_25hz, round(avg(ratio_10_25hz), 6) as ratio_10_25hz,
+ case when count(ratio_0_2hz) = count(*) then round(avg(ratio_0_2hz), 6) end as ratio_0_2hz, round(avg(sd_ratio), 6) as sd_ratio, avg(ratio_10_25hz) < 1 as attenuated from st""")
+def _(spark, d):
+    return rounded(spectral.mean_statistics(spectral.spectral_statistics(channel_bins(spark, d))))
+
+
+WELCH8 = """h as (select t as ht, 0.5e0 - 0.5e0 * cos(2 * pi() * t / 8) as h from (select unnest(range(8)) as t)), sc as (select 50e0 * sum(h * h) as scale from h),
+ sg as (select vec_id, channel, g, t - 4 * g as t, x from s, (select unnest(range(3)) as g) where t >= 4 * g and t < 4 * g + 8), mm as (select *, x - avg(x) over (partition by vec_id, channel, g) as y from sg),
+ q as (select vec_id, channel, g, k, sum(y * h * cos(2 * pi() * k * t / 8)) as re, sum(y * h * sin(2 * pi() * k * t / 8)) as im from mm join h on ht = t, (select unnest(range(5)) as k) group by 1, 2, 3, 4)"""
+
+
+@query("welch_psd_segments", f"with {EMB}, {WELCH8} select vec_id, cast(channel as int) as channel, cast(k as int) as k, k * 50e0 / 8 as freq, round(avg((case when k in (0, 4) then 1e0 else 2e0 end) * (re * re + im * im) / scale), 8) as psd from q, sc group by 1, 2, 3, 4")
+def _(spark, d):
+    return rounded(spectral.welch_psd(embeddings(spark, d), ["vec_id"], "embedding", T, RATE, nperseg=8), 8)
+
+
 @query("compare_mean_windows", f"with {EMB}, a as (select channel, t, avg(case when not synthetic then x end) as r, avg(case when synthetic then x end) as y from s group by 1, 2) select round(avg((r - y) * (r - y)), 8) as mse, round(avg(abs(r - y)), 8) as mae from a")
 def _(spark, d):
     s = samples(spark, d)

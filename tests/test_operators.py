@@ -116,16 +116,53 @@ def test_magnitude_over_is_strict(spark):
 def test_spectra_match_fft(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(3, 16))
-    rows = [(w, 0, t, float(x[w, t])) for w in range(3) for t in range(16)]
-    s = spark.createDataFrame(rows, "w int, channel int, t int, x double")
+    s = spark.createDataFrame([(w, x[w].tolist()) for w in range(3)], "w int, x array<double>")
     want = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True))) ** 2
-    for r in spectral.dft_power(s, ["w"], 16).collect():
+    power = spectral.dft_power(s, ["w"], "x", 16)
+    assert "Exchange" not in power._jdf.queryExecution().executedPlan().toString()
+    for r in power.collect():
         assert r.power == pytest.approx(want[r.w, r.k], abs=1e-9)
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
-    p = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * hann)) ** 2 / (50 * (hann**2).sum())
-    p[:, 1:-1] *= 2
-    for r in spectral.welch_psd(s, ["w"], 16, 50.0).collect():
-        assert r.psd == pytest.approx(p[r.w, r.k], abs=1e-12)
+    for size in (16, 8, 5, 1):  # segments overlap by half and are averaged
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if size > 1 else np.ones(1)
+        starts = range(0, 16 - size + 1, size - size // 2)
+        parts = np.stack([x[:, a : a + size] for a in starts], 1)
+        p = np.abs(np.fft.rfft((parts - parts.mean(-1, keepdims=True)) * hann)) ** 2 / (50 * (hann**2).sum())
+        p = p.mean(1)
+        p[:, [k for k in range(1, p.shape[1]) if 2 * k != size]] *= 2
+        got = spectral.welch_psd(s, ["w"], "x", 16, 50.0, nperseg=size).collect()
+        assert len(got) == p.size and all(r.psd == pytest.approx(p[r.w, r.k], abs=1e-12) and r.freq == pytest.approx(r.k * 50 / size) for r in got)
+    assert spectral.welch_psd(s.where("w > 5"), ["w"], "x", 16, 50.0).count() == 0
+
+
+def test_spectral_statistics(spark):
+    f, real, synthetic = [0.0, 1.0, 2.0, 10.0, 20.0], [0.0, 4.0, 2.0, 1.0, 3.0], [1.0, 2.0, 2.0, 0.5, 0.75]
+    rows = [(c, f[i], real[i] * (c == 0), synthetic[i], float(i), 2.0) for c in range(2) for i in range(5)]
+    stats = spectral.spectral_statistics(spark.createDataFrame(rows, "channel int, freq double, real double, synthetic double, real_sd double, synthetic_sd double"))
+    got = {r.channel: r for r in stats.collect()}
+    area = lambda v, a: sum((f[i + 1] - f[i]) * (v[i] + v[i + 1]) / 2 for i in range(4) if f[i] >= a)
+    assert got[0].ratio_0_25hz == pytest.approx(area(synthetic, 0) / area(real, 0)) and got[0].ratio_10_25hz == pytest.approx(area(synthetic, 10) / area(real, 10))
+    assert got[0].ratio_0_2hz == pytest.approx((1.5 + 2) / (2 + 3)) and got[0].log_psd_corr == pytest.approx(np.corrcoef(np.log(real[1:]), np.log(synthetic[1:]))[0, 1])
+    assert got[0].sd_ratio == pytest.approx(np.mean([2 / i for i in range(1, 5)]))
+    assert got[1].ratio_0_2hz is None and got[1].log_psd_corr is None
+    whole, first = spectral.mean_statistics(stats).first(), spectral.mean_statistics(stats.where("channel = 0")).first()
+    assert whole.ratio_10_25hz is None and not whole.attenuated and first.attenuated
+
+
+@pytest.mark.parametrize("few", [1, 7, 100_000])
+def test_exact_percentiles(spark, few):
+    from strideframe.functions.percentiles import exact_percentiles
+
+    g = np.random.default_rng(3)
+    groups = {0: np.exp(5 * g.normal(size=3000)), 1: np.repeat(2.5, 50), None: g.integers(0, 5, 800).astype(float), 3: np.array([1.0]), 4: np.array([-1e9, 0.1, 0.2, 1e9])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [(9, None)], "k int, x double")
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r.k: tuple(r)[1:] for r in exact_percentiles(df, ["k"], "x", shares, few=few).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, list(shares.values()))), rel=1e-12)
+    everything = np.concatenate(list(groups.values()))
+    assert exact_percentiles(df, [], "x", {"m": 0.5}, few=few).first().m == pytest.approx(np.median(everything), rel=1e-12)
+    assert exact_percentiles(df.where("k = 9"), [], "x", {"m": 0.5}, few=few).count() == 0
 
 
 def test_band_ratio_and_log_correlation(spark):
