@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions.draws import normal, uniform
+from strideframe.schema import require
 
 
 def interpolate(z0: Column, z1: Column, t: Column) -> Column:
@@ -67,6 +68,44 @@ def overlap_add(segments: DataFrame, group: list[str], seg: str, values: str, na
     return s.groupBy(*group, "at").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("value"))
 
 
+# Profile of a website trajectory.
+WEBSITE = {"num_steps": 100, "record_every": 2, "overlap_samples": 40, "duration_seconds": 10.0, "sampling_rate_hz": 50.0, "native_window_samples": 160, "schema_version": "m3c.website-trajectory.1"}
+
+
+def website_metadata(subject: int, activity: int, base_seed: int = 42, **profile) -> dict:
+    """What a trajectory of one subject and activity holds: states, samples, segments, seed."""
+    p = WEBSITE | profile
+    if p["num_steps"] < 1 or p["record_every"] < 1:
+        raise ValueError("num_steps and record_every are at least 1")
+    target = round(p["duration_seconds"] * p["sampling_rate_hz"])
+    steps = sorted({*range(0, p["num_steps"] + 1, p["record_every"]), p["num_steps"]})
+    return p | {
+        "subject": f"subject_{subject:02d}", "subject_id": subject, "activity_id": activity, "base_seed": base_seed, "seed": base_seed + 1000 * subject + 100 * activity,
+        "stored_steps": steps, "state_count": len(steps), "target_samples": target, "native_segment_count": segments_needed(target, p["native_window_samples"], p["overlap_samples"]),
+        "flow_times": [round(max(0.0, 1 - s / p["num_steps"]), 5) for s in steps],
+    }
+
+
+def website_trajectories(native: DataFrame, subject: str, activity: str, *, places: int = 5, **profile) -> DataFrame:
+    """(subject, activity, step, flow_time, channel, signal): each stored state's segments cross-faded to the target length.
+
+    ``native`` has (subject, activity, step, seg, channel, values), for each
+    subject and activity all stored steps and all segments of each step and
+    channel; else it raises.
+    """
+    m = website_metadata(0, 0, **profile)
+    group = [subject, activity, "step", "channel"]
+    sizes = native.groupBy(*group).agg(F.count("*").alias("_n"), F.count_distinct("seg").alias("_d"), F.max("seg").alias("_last"), F.min(F.size("values")).alias("_least"), F.max(F.size("values")).alias("_most"))
+    whole = F.lit(m["native_segment_count"])
+    require(sizes, {"segments": (F.col("_n") == whole) & (F.col("_d") == whole) & (F.col("_last") == whole - 1), "samples": (F.col("_least") == m["native_window_samples"]) & (F.col("_most") == m["native_window_samples"])})
+    states = sizes.groupBy(subject, activity, "channel").agg(F.sort_array(F.collect_set(F.col("step").cast("int"))).alias("_steps"))
+    require(states, {"states": F.col("_steps") == F.array(*[F.lit(s) for s in m["stored_steps"]])})
+    joined = overlap_add(native, group, "seg", "values", m["native_window_samples"], m["overlap_samples"], m["target_samples"])
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.round("value", places).alias("v"))))
+    time = F.round(F.greatest(F.lit(0.0), 1 - F.col("step") / F.lit(float(m["num_steps"]))), places)
+    return joined.groupBy(*group).agg(F.transform(ordered, lambda x: x["v"]).alias("signal")).select(subject, activity, "step", time.alias("flow_time"), "channel", "signal")
+
+
 def _all(group):
     from pyspark.sql import Window
 

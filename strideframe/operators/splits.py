@@ -37,12 +37,14 @@ def draw_subjects(pool: list, held_out, fraction: float = 0.2, seed: int = 42) -
     return {held_out: "held_out"} | {s: "validation" for s in rest[:n]} | {s: "train" for s in rest[n:]}
 
 
-def assign_split(rows: DataFrame, subject: str, splits: dict) -> DataFrame:
-    """``split`` by subject: a broadcast join with the driver's list; subjects outside it go."""
+def assign_split(rows: DataFrame, subject: str, splits: dict, outside: str | None = None) -> DataFrame:
+    """``split`` by subject: a broadcast join with the driver's list; subjects outside it go, or are in the split ``outside``."""
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[subject]
     table = spark.createDataFrame([(k, v) for k, v in splits.items()], f"{subject} {kind}, split string")
-    return rows.join(F.broadcast(table), subject)
+    if outside is None:
+        return rows.join(F.broadcast(table), subject)
+    return rows.join(F.broadcast(table), subject, "left").withColumn("split", F.coalesce("split", F.lit(outside)))
 
 
 def stratified_allocation(counts: DataFrame, label: str, n: str, fraction: float = 0.2) -> DataFrame:

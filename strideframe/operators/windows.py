@@ -74,6 +74,25 @@ def cut_windows(runs: DataFrame, length: int, hop: int) -> DataFrame:
     return out.withColumn("at", F.col("pos") - F.col("widx") * hop)
 
 
+def cut_grid(runs: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """``cut_windows`` of several (length, hop) settings in one pass, with ``win_len`` and ``hop``."""
+    if any(length < 1 or hop < 1 for length, hop in settings):
+        raise WindowError("length and hop are at least 1")
+    grid = F.array(*[F.struct(F.lit(a).cast("long").alias("win_len"), F.lit(b).cast("long").alias("hop")) for a, b in settings])
+    rows = runs.withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g").where("run_len >= win_len")
+    out = rows.withColumns({"_a": F.expr("greatest(0, ceil((pos - win_len + 1) / double(hop)))").cast("long"), "_b": F.expr("least(pos div hop, (run_len - win_len) div hop)")})
+    return out.where("_a <= _b").withColumn("widx", F.explode(F.sequence("_a", "_b"))).withColumn("at", F.col("pos") - F.col("widx") * F.col("hop")).drop("_a", "_b")
+
+
+def first_windows(windows: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first ``limit`` windows by their order; None keeps all."""
+    if limit is None:
+        return windows
+    if limit < 0:
+        raise WindowError("a limit isn't negative")
+    return windows.orderBy(*order).limit(limit)
+
+
 def window_table(cut: DataFrame, subject: list[str], label: str, values: dict[str, str]) -> DataFrame:
     """One row per window; ``values`` name output arrays and their sample columns, in time order."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("v")))), lambda x: x["v"])

@@ -173,6 +173,12 @@ def _(spark, d):
     return rounded(cut.groupBy("l_suppkey", "run", "widx").agg(F.max("label").alias("label"), F.count("*").alias("len"), F.avg("l_quantity").alias("mean_quantity"), F.avg("l_extendedprice").alias("mean_price")))
 
 
+@query("windows_limit", f"select * from ({windows_sql('strict', 2, 1)}) order by user_id, run, widx limit 100")
+def _(spark, d):
+    """The limit is the feature."""
+    return rounded(windows.first_windows(event_windows(spark, d, "strict", 2, 1), ["user_id", "run", "widx"], 100))
+
+
 @query("runs_conversations", """with l as (select *, row_number() over w as rn, lag(role) over w as pl from conversations window w as (partition by conv_id order by turn)),
  r as (select *, cast(sum(case when rn > 1 and pl is not distinct from role then 0 else 1 end) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as run from l)
 select conv_id, run, max(role) as role, count(*) as n_rows from r where role is not null group by 1, 2""")
@@ -202,14 +208,14 @@ def _(spark, d):
 SUBJECT_SPLIT = splits.draw_subjects(list(range(1, 41)), 7)
 
 
-@query("subject_split", "with a(user_id, split) as (values " + ", ".join(f"({k}, '{v}')" for k, v in SUBJECT_SPLIT.items()) + ") select e.user_id, a.split, count(*) as n_rows from events e join a using (user_id) group by 1, 2")
+@query("subject_split", "with a(user_id, split) as (values " + ", ".join(f"({k}, '{v}')" for k, v in SUBJECT_SPLIT.items()) + ") select e.user_id, coalesce(a.split, 'undeclared') as split, count(*) as n_rows from events e left join a using (user_id) group by 1, 2")
 def _(spark, d):
-    return splits.assign_split(table(spark, d, "events"), "user_id", SUBJECT_SPLIT).groupBy("user_id", "split").agg(F.count("*").alias("n_rows"))
+    return splits.assign_split(table(spark, d, "events"), "user_id", SUBJECT_SPLIT, outside="undeclared").groupBy("user_id", "split").agg(F.count("*").alias("n_rows"))
 
 
-@query("split_counts", f"with {windows_sql('strict', 2, 1)[5:].replace('select w.user_id', ', ww as (select w.user_id', 1)}), a(user_id, split) as (values " + ", ".join(f"({k}, '{v}')" for k, v in SUBJECT_SPLIT.items()) + ") select a.split, count(*) as n_windows, cast(count(distinct ww.user_id) as bigint) as n_subjects from ww join a using (user_id) group by 1")
+@query("split_counts", f"with {windows_sql('strict', 2, 1)[5:].replace('select w.user_id', ', ww as (select w.user_id', 1)}), a(user_id, split) as (values " + ", ".join(f"({k}, '{v}')" for k, v in SUBJECT_SPLIT.items()) + ") select coalesce(a.split, 'undeclared') as split, count(*) as n_windows, cast(count(distinct ww.user_id) as bigint) as n_subjects from ww left join a using (user_id) group by 1")
 def _(spark, d):
-    return splits.assign_split(event_windows(spark, d, "strict", 2, 1), "user_id", SUBJECT_SPLIT).groupBy("split").agg(F.count("*").alias("n_windows"), F.count_distinct("user_id").alias("n_subjects"))
+    return splits.assign_split(event_windows(spark, d, "strict", 2, 1), "user_id", SUBJECT_SPLIT, outside="undeclared").groupBy("split").agg(F.count("*").alias("n_windows"), F.count_distinct("user_id").alias("n_subjects"))
 
 
 def all_subjects_split(spark, d):
@@ -386,11 +392,36 @@ def _(spark, d):
     return rounded(scenario_accuracy(spark, d).join(F.broadcast(r), ["fold", "scenario"]).select("fold", "scenario", diff.alias("diff"), F.abs(diff).alias("abs_diff")), 8)
 
 
-@query("sensitivity_summary", f"with {EMB}, g(win_len, hop) as (values (80, 20), (160, 40), (240, 80)), a as (select fold, avg(case when label = pred then 1e0 else 0e0 end) as acc from emb group by 1) select cast(win_len as bigint) as win_len, cast(hop as bigint) as hop, count(*) as n, round(avg(acc * win_len / 240e0), 8) as mean, round(stddev_samp(acc * win_len / 240e0), 8) as sd_sample from g, a group by 1, 2")
-def _(spark, d):
-    g = spark.createDataFrame([(80, 20), (160, 40), (240, 80)], "win_len bigint, hop bigint")
-    r = fold_accuracy(spark, d).join(F.broadcast(g), F.lit(True)).withColumn("acc", F.col("acc") * F.col("win_len") / F.lit(240.0))
-    return rounded(privacy.sensitivity_summary(r, ["win_len", "hop"], "acc"), 8)
+GRID = [(length, hop) for length in (1, 2, 3) for hop in (1, 2, 3)]
+GRID_SQL = f"""{runs_sql('strict')}, g(win_len, hop) as (values {', '.join(map(str, GRID))}),
+ gw as (select user_id, run, win_len, hop, unnest(range(0, (n - win_len) // hop + 1)) as widx from (select distinct user_id, run, n from p), g where n >= win_len),
+ x as (select gw.user_id, gw.run, win_len, hop, widx, max(label) as label, max(value) as top from gw join p on p.user_id = gw.user_id and p.run = gw.run and p.pos >= widx * hop and p.pos < widx * hop + win_len group by 1, 2, 3, 4, 5),
+ c as (select win_len, hop, user_id % 4 as fold, user_id // 4 % 2 = 1 as syn, label, coalesce(cast(floor(top) as bigint) % 4, 0) as pred from x),
+ k as (select unnest(range(4)) as k), fs as (select distinct win_len, hop, fold, syn from c),
+ f as (select fs.*, k, coalesce(2e0 * count_if(label = k and pred = k) / nullif(2e0 * count_if(label = k and pred = k) + count_if(label <> k and pred = k) + count_if(label = k and pred <> k), 0), 0) as f1
+  from fs join c using (win_len, hop, fold, syn), k group by all),
+ m as (select win_len, hop, fold, syn, avg(f1) as f1 from f group by 1, 2, 3, 4), a as (select win_len, hop, fold, syn, avg(case when label = pred then 1e0 else 0e0 end) as acc from c group by 1, 2, 3, 4),
+ v as (select win_len, hop, fold, case when syn then 'tstr_macro_f1' else 'trtr_macro_f1' end as metric, f1 as v from m union all select win_len, hop, fold, case when syn then 'tstr_accuracy' else 'trtr_accuracy' end, acc from a
+  union all select win_len, hop, fold, 'tstr_f1_' || k, f1 from f where syn
+  union all select r.win_len, r.hop, r.fold, 'macro_f1_retention', s.f1 / (r.f1 + 1e-8) from m r join m s on r.win_len = s.win_len and r.hop = s.hop and r.fold = s.fold and s.syn and not r.syn),
+ nf as (select win_len, hop, count(distinct fold) as n_folds from c group by 1, 2)"""
+
+
+@query("sensitivity_summary", f"with {GRID_SQL} select cast(win_len as bigint) as win_len, cast(hop as bigint) as hop, metric, n_folds, count(*) as n, round(avg(v), 8) as mean, round(case when count(*) = 1 then 0 else stddev_samp(v) end, 8) as sd from v join nf using (win_len, hop) group by 1, 2, 3, 4")
+def _(spark, d):
+    """Real windows of every setting, classed by their greatest value; odd fours of users stand for synthetic ones."""
+    runs = windows.label_runs(events(spark, d).select("user_id", "ts", "event_id", "value", "label"), ["user_id"], ["ts", "event_id"], "label", "strict")
+    w = windows.cut_grid(runs, GRID).groupBy("win_len", "hop", "user_id", "run", "widx").agg(F.max("label").alias("label"), F.max("value").alias("top"))
+    kind = F.when(F.floor(F.col("user_id") / 4) % 2 == 1, "tstr").otherwise("trtr")
+    w = w.select("win_len", "hop", (F.col("user_id") % 4).alias("fold"), kind.alias("kind"), "label", F.coalesce(F.floor("top") % 4, F.lit(0)).cast("int").alias("pred"))
+    by = ["win_len", "hop", "fold", "kind"]
+    cells_ = metrics.confusion(w, by, "label", "pred", 4)
+    both = metrics.macro_f1_accuracy(cells_, by)
+    side = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}")
+    records = both.groupBy(*by[:3]).agg(*[side(c, k) for c in ("macro_f1", "accuracy") for k in ("trtr", "tstr")])
+    records = records.withColumn("macro_f1_retention", F.col("tstr_macro_f1") / (F.col("trtr_macro_f1") + metrics.NEAR_ZERO))
+    own = metrics.class_f1(cells_, by).where("kind = 'tstr'").groupBy(*by[:3]).agg(F.map_from_entries(F.collect_list(F.struct("label", "f1"))).alias("tstr_per_class_f1"))
+    return rounded(privacy.sensitivity_grid(records.join(own, by[:3], "left"), grid=GRID), 8)
 
 
 # Signals and spectra.
@@ -651,6 +682,19 @@ def faded(s, target):
     return rounded(latent.overlap_add(s, ["label"], "sg", "embedding", 64, 16, target).select("label", F.col("at").cast("bigint").alias("at_"), "value"), 8)
 
 
+# Four vectors in a row are one subject's segments of one activity; a state goes from a vector back to its reverse.
+@query("website_trajectories", f"""with {PAIR}, st as (select unnest([0, 4, 8, 10]) as step), sg as (select vec_id // 4 as subject, vec_id % 4 as seg, step, i, z1 - (z1 - z0) * step / 10e0 as v from pr, st),
+ ok as (select vec_id // 4 as subject from embeddings group by 1 having count(*) = 4),
+ c as (select subject, step, seg * 48 + i as at_, v, (case when seg > 0 and i < 16 then i / 16e0 else 1e0 end) * (case when seg < 3 and i >= 48 then 1 - (i - 48) / 16e0 else 1e0 end) as fade from sg join ok using (subject))
+select cast(subject as bigint) as subject, 0 as activity, step, round(1 - step / 10e0, 5) as flow_time, 0 as channel, cast(at_ as int) as at_, round(sum(v * fade) / greatest(sum(fade), 1e-12), 5) as value from c where at_ < 200 group by 1, 2, 3, 4, 5, 6""")
+def _(spark, d):
+    p = pairs(spark, d).withColumn("v", latent.velocity(F.col("z0"), F.col("z1")))
+    native = latent.euler_trajectory(p, "z1", "v", 10, 4).select(F.floor(F.col("vec_id") / 4).alias("subject"), F.lit(0).alias("activity"), "step", (F.col("vec_id") % 4).alias("seg"), F.lit(0).alias("channel"), F.col("state").alias("values"))
+    whole = native.groupBy("subject").agg(F.count("*").alias("n")).where("n = 16").select("subject")
+    out = latent.website_trajectories(native.join(whole, "subject"), "subject", "activity", num_steps=10, record_every=4, overlap_samples=16, native_window_samples=64, duration_seconds=4.0)
+    return out.select("subject", "activity", "step", "flow_time", "channel", F.posexplode("signal").alias("at_", "value"))
+
+
 @query("vae_loss_terms", f"with {PAIR} select vec_id, round(1e0 * avg((z1 - z0) * (z1 - z0)) + 0.5e0 * avg(abs(z1 - z0)) + 0.1e0 * 0.5e0 * avg(exp(z0) + z1 * z1 - 1 - z0), 8) as loss from pr group by 1")
 def _(spark, d):
     z0, z1 = F.col("z0"), F.col("z1")
@@ -741,14 +785,23 @@ def _(spark, d):
 
 @query("rf_scenarios")
 def _(spark, d):
-    """Forests trained on real or on synthetic windows, tried on the held-out fold."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    e = embeddings(spark, d).select("vec_id", "label", "synthetic", "fold", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    out = None
-    for name, rule in (("trtr", "not synthetic"), ("tstr", "synthetic")):
-        model = RandomForestClassifier(numTrees=20, maxDepth=8, featureSubsetStrategy="sqrt", seed=42).fit(e.where(rule).where("fold <> 1"))
-        hit = model.transform(e.where("not synthetic and fold = 1")).select(F.lit(name).alias("scenario"), "label", F.col("prediction").cast("int").alias("pred"))
-        out = hit if out is None else out.unionByName(hit)
-    return metrics.macro_f1_accuracy(metrics.confusion(out, ["scenario"], "label", "pred", 10), ["scenario"])
+    """The four scenarios with one fold held out: forests of 100 trees."""
+    from strideframe.operators import evaluate
+
+    e = embeddings(spark, d).select("vec_id", "label", "synthetic", "fold", "embedding")
+    real = e.where("not synthetic")
+    return evaluate.evaluate_scenarios(real.where("fold <> 1"), real.where("fold = 1"), e.where("synthetic and fold <> 1"), "label", "embedding", "vec_id", 10)
+
+
+@query("scenario_summary", f"""with {EMB}, sc as (select vec_id % 4 as fold, case when synthetic then 'tstr' else 'trtr' end as scenario, label, pred from emb), n as (select fold, scenario, label, pred, count(*) as n from sc group by 1, 2, 3, 4),
+ k as (select unnest(range(10)) as k), f as (select fold, scenario, k, coalesce(2e0 * sum(case when label = k and pred = k then n else 0 end) / nullif(sum(case when label = k then n else 0 end) + sum(case when pred = k then n else 0 end), 0), 0) as f1 from n, k group by 1, 2, 3),
+ m as (select fold, scenario, avg(f1) as f1 from f group by 1, 2), a as (select fold, scenario, avg(case when label = pred then 1e0 else 0e0 end) as acc from sc group by 1, 2),
+ r as (select m.fold, m.scenario, acc, m.f1, case when m.scenario = 'trtr' then 1e0 else m.f1 / (b.f1 + 1e-8) end as ret from m join a using (fold, scenario) join m b on b.fold = m.fold and b.scenario = 'trtr')
+select case scenario when 'trtr' then 0 else 2 end as place, scenario, count(*) as n_folds, round(avg(acc), 8) as accuracy_mean, round(stddev_samp(acc), 8) as accuracy_sd, round(avg(f1), 8) as macro_f1_mean, round(stddev_samp(f1), 8) as macro_f1_sd,
+ round(avg(ret), 8) as retention_mean, round(stddev_samp(ret), 8) as retention_sd from r group by 1, 2""")
+def _(spark, d):
+    from strideframe.operators import evaluate
+
+    e = embeddings(spark, d).select((F.col("vec_id") % 4).alias("fold"), F.when(F.col("synthetic"), "tstr").otherwise("trtr").alias("scenario"), "label", "pred")
+    scores = metrics.macro_f1_accuracy(metrics.confusion(e, ["fold", "scenario"], "label", "pred", 10), ["fold", "scenario"])
+    return rounded(evaluate.summarize_scenarios(metrics.retention(scores, "fold", "scenario", "macro_f1")), 8)

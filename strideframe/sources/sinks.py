@@ -41,3 +41,27 @@ def write_windows(df: DataFrame, path: str, *, partition_by: list[str] | None =
     """Windows or generated arrays as Parquet."""
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
+def write_trajectories(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
+    """Trajectories as JSON lines (signals are what they are for); refuses an existing path unless told."""
+    df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+
+
+def write_table_report(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
+    """A flat report as CSV with a header; the same refusals as ``write_report``."""
+    if found := payload_paths(df.schema):
+        raise SchemaError(f"a report may not carry {found}")
+    df.write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small report as a Markdown table; one of more than ``most`` rows is refused."""
+    if found := payload_paths(df.schema):
+        raise SchemaError(f"a report may not carry {found}")
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise SchemaError(f"over {most} rows are no report to read")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *rows]
+    return "\n".join("| " + " | ".join(map(cell, line)) + " |" for line in lines) + "\n"
