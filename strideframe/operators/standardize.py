@@ -46,14 +46,14 @@ class Standardizer:
             raise NotFittedError("fit first")
         return F.get(F.array(*[F.lit(v) for v in values]), channel)
 
-    def apply(self, column: str, samples: int):
-        """A flat window's z-scores, computed in double and stored as float."""
+    def apply(self, column: str, samples: int, kind: str = "float"):
+        """A flat window's z-scores, computed in double and stored as ``kind``."""
         m, s = lambda i: self._stat(self.mean, (i / samples).cast("int")), lambda i: self._stat(self.std, (i / samples).cast("int"))
-        return F.transform(column, lambda x, i: ((x.cast("double") - m(i)) / s(i)).cast("float"))
+        return F.transform(column, lambda x, i: ((x.cast("double") - m(i)) / s(i)).cast(kind))
 
-    def inverse(self, column: str, samples: int):
+    def inverse(self, column: str, samples: int, kind: str = "float"):
         m, s = lambda i: self._stat(self.mean, (i / samples).cast("int")), lambda i: self._stat(self.std, (i / samples).cast("int"))
-        return F.transform(column, lambda x, i: (x.cast("double") * s(i) + m(i)).cast("float"))
+        return F.transform(column, lambda x, i: (x.cast("double") * s(i) + m(i)).cast(kind))
 
     def to_json(self) -> str:
         """Statistics and training subjects; ``from_json`` restores them."""

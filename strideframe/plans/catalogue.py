@@ -272,15 +272,21 @@ def _(spark, d):
 
 @query("zscore_apply", f"with {EMB}, {FIT} select vec_id, cast(s.channel as int) as channel, cast(t as int) as t, round((x - m) / sd, 6) as z from s join f using (channel)")
 def _(spark, d):
-    stats = F.broadcast(standardize.fit(samples(spark, d).where("fold <> 0")))
-    return rounded(samples(spark, d).join(stats, "channel").select("vec_id", "channel", "t", ((F.col("x") - F.col("mean")) / F.col("std")).alias("z")))
+    e = embeddings(spark, d)
+    z = e.select("vec_id", F.posexplode(fitted(e).apply("embedding", T, "double")).alias("i", "z"))
+    return rounded(z.select("vec_id", F.expr(f"i div {T}").cast("int").alias("channel"), (F.col("i") % T).alias("t"), "z"))
+
+
+def fitted(e: DataFrame) -> standardize.Standardizer:
+    return standardize.Standardizer().fit(standardize.explode_channels(e.where("fold <> 0"), "embedding", T, []))
 
 
 @query("zscore_inverse", f"with {EMB}, {FIT} select vec_id, cast(s.channel as int) as channel, round(sum(abs(((x - m) / sd) * sd + m - x)), 6) as off from s join f using (channel) group by 1, 2")
 def _(spark, d):
-    stats = F.broadcast(standardize.fit(samples(spark, d).where("fold <> 0")))
-    z = samples(spark, d).join(stats, "channel").withColumn("back", (F.col("x") - F.col("mean")) / F.col("std") * F.col("std") + F.col("mean"))
-    return rounded(z.groupBy("vec_id", "channel").agg(F.sum(F.abs(F.col("back") - F.col("x"))).alias("off")))
+    e, own = embeddings(spark, d), fitted(embeddings(spark, d))
+    back = e.withColumn("z", own.apply("embedding", T, "double")).withColumn("back", own.inverse("z", T, "double"))
+    off = lambda c: F.aggregate(F.slice(F.zip_with("back", "embedding", lambda a, b: F.abs(a - b)), c * T + 1, T), F.lit(0.0), lambda s, v: s + v)
+    return rounded(back.select("vec_id", F.posexplode(F.array(*[off(c) for c in range(C)])).alias("channel", "off")))
 
 
 @query("zscore_floor", "select 0 as channel, 1e0 as mean, 1e-8 as std")
@@ -760,10 +766,13 @@ def _(spark, d):
 
 @query("manifest_verify")
 def _(spark, d):
+    """All table files against a manifest in which one digest and one size are wrong and one file too many is named."""
     from strideframe.sources import artifacts
 
-    entries = [{"filename": "region.parquet", "role": "dimension", "bytes": 1, "sha256": "0" * 64}, {"filename": "absent.parquet", "role": "dimension", "bytes": 1, "sha256": "0" * 64}]
-    return artifacts.verify(spark, entries, f"{d}/region.parquet")
+    entries = {e["filename"]: e for e in artifacts.describe(spark, f"{d}/*.parquet", "table")}
+    entries["nation.parquet"] |= {"sha256": "0" * 64}
+    entries["region.parquet"] |= {"bytes": 1}
+    return artifacts.verify(spark, [*entries.values(), {"filename": "absent.parquet", "role": "table", "bytes": 1, "sha256": "0" * 64}], f"{d}/*.parquet")
 
 
 @query("stream_windows")
@@ -771,16 +780,18 @@ def _(spark, d):
     import uuid
 
     from strideframe.session import work_dir
-    from strideframe.streaming.windows import stream_windows
 
-    source = table(spark, d, "events")
-    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return streamed(spark, d, "events.parquet", f"{work_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
+def streamed(spark, folder, glob, path):
+    """Windows of all files there are so far; with the same ``path`` a later call goes on from the state of the last."""
+    from strideframe.streaming.windows import run_available, stream_windows
+
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     rows = windows.encode_labels(rows, "event_type", EVENT_LABELS).select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value", "label")
-    out = stream_windows(rows, 2, 1)
-    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    return run_available(stream_windows(rows, 2, 1), path)
 
 
 @query("rf_scenarios")

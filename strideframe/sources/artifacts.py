@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from strideframe.errors import ArtifactError
 
+SCHEMA_VERSION = 1
 ENTRY = T.StructType([T.StructField("filename", T.StringType()), T.StructField("role", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
 
 
@@ -25,6 +26,12 @@ def check_entries(entries: list[dict]) -> list[dict]:
     return [e | {"sha256": e["sha256"].lower()} for e in entries]
 
 
+def describe(spark: SparkSession, root: str, role: str) -> list[dict]:
+    """Manifest entries of the files under ``root``, which are hashed where they are read."""
+    have = spark.read.format("binaryFile").load(root).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(role).alias("role"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return check_entries([r.asDict() for r in have.orderBy("filename").collect()])  # one row a file
+
+
 def verify(spark: SparkSession, entries: list[dict], root: str) -> DataFrame:
     """(filename, role, status): ``ok``, ``missing``, ``size`` or ``sha256``; files are hashed where they are read."""
     want = spark.createDataFrame([tuple(e[f] for f in ENTRY.names) for e in check_entries(entries)], ENTRY)
@@ -33,6 +40,31 @@ def verify(spark: SparkSession, entries: list[dict], root: str) -> DataFrame:
     return want.join(have, "filename", "left").select("filename", "role", status.alias("status"))
 
 
+def write_manifest(spark: SparkSession, entries: list[dict], path: str, *, overwrite: bool = False) -> None:
+    """A version, the entries and an identity of both, as one JSON object; refuses an existing path unless told."""
+    import json
+
+    fields = {"schema_version": SCHEMA_VERSION, "artifacts": check_entries(entries)}
+    line = json.dumps(fields | {"identity": identity(fields)}, sort_keys=True)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, roles: set[str] | None = None) -> list[dict]:
+    """Entries of a manifest of this version whose identity holds; with ``roles``, every entry has one of them."""
+    import json
+
+    try:
+        fields = json.loads(spark.read.text(path, wholetext=True).where("value <> ''").first()[0])
+    except (ValueError, TypeError) as broken:
+        raise ArtifactError("not a manifest") from broken
+    own = {k: fields.get(k) for k in ("schema_version", "artifacts")} if isinstance(fields, dict) else {}
+    if own.get("schema_version") != SCHEMA_VERSION or not isinstance(own["artifacts"], list) or fields.get("identity") != identity(own):
+        raise ArtifactError("another version, or the identity doesn't hold")
+    if roles is not None and (other := {e.get("role") for e in own["artifacts"]} - roles):
+        raise ArtifactError(f"unknown roles: {sorted(map(str, other))}")
+    return check_entries(own["artifacts"])
+
+
 def require_verified(spark: SparkSession, entries: list[dict], root: str) -> None:
     bad = [(r.filename, r.status) for r in verify(spark, entries, root).where("status <> 'ok'").collect()]  # one row a manifest entry
     if bad:

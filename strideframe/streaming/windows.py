@@ -43,3 +43,10 @@ def stream_windows(rows: DataFrame, length: int, hop: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["subject", "run", "widx", "label", "len", "mean_value"])
 
     return rows.groupBy("subject").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(out: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what its source holds by now into ``path``; state and progress stay in ``path-state`` for the next call."""
+    q = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(path)

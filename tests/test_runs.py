@@ -11,8 +11,10 @@ from strideframe import schema as S
 from strideframe.errors import ArtifactError, DuplicateWindowError, SchemaError, SplitError
 from strideframe.functions import latent
 from strideframe.operators import evaluate, privacy, windows
-from strideframe.plans import folds, preparation
-from strideframe.sources import arrays, sinks
+from strideframe.plans import catalogue, folds, preparation
+from strideframe.sources import artifacts, arrays, sinks
+
+SF = "/root/testdata/sf0.001"
 
 
 def recording(path, labels, seed):
@@ -179,3 +181,40 @@ def test_reports(spark, tmp_path):
         sinks.markdown(df.withColumn("signals", F.array(F.lit(1))))
     with pytest.raises(SchemaError):
         sinks.markdown(df, most=1)
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / "d" / name).write_bytes(name.encode())
+    entries = artifacts.describe(spark, str(tmp_path / "d"), "part")
+    assert [(e["filename"], e["bytes"], e["sha256"]) for e in entries] == [(n, 5, hashlib.sha256(n.encode()).hexdigest()) for n in ("a.bin", "b.bin")]
+    artifacts.write_manifest(spark, entries, str(tmp_path / "m"))
+    assert artifacts.read_manifest(spark, str(tmp_path / "m"), {"part"}) == entries
+    artifacts.require_verified(spark, entries, str(tmp_path / "d"))
+    with pytest.raises(ArtifactError):
+        artifacts.read_manifest(spark, str(tmp_path / "m"), {"other"})
+    (tmp_path / "d" / "b.bin").write_bytes(b"c.bin")
+    assert {r.filename: r.status for r in artifacts.verify(spark, entries, str(tmp_path / "d")).collect()} == {"a.bin": "ok", "b.bin": "sha256"}
+    (tmp_path / "x").write_text('{"schema_version": 1, "artifacts": []}')
+    with pytest.raises(ArtifactError):
+        artifacts.read_manifest(spark, str(tmp_path / "x"))
+
+
+def test_every_status_of_a_manifest(spark):
+    got = {r.filename: r.status for r in catalogue.QUERIES["manifest_verify"](spark, SF).collect()}
+    assert (got["nation.parquet"], got["region.parquet"], got["absent.parquet"], got["events.parquet"]) == ("sha256", "size", "missing", "ok")
+
+
+def test_stream_goes_on_from_its_state(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas().sort_values(["ts", "event_id"])
+    folder, path, half = tmp_path / "in", str(tmp_path / "out"), len(events) // 2
+    folder.mkdir()
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    for k, part in enumerate((events[:half], events[half:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        got = catalogue.streamed(spark, str(folder), "*.parquet", path)
+        if k == 0:
+            assert got.count() > 0
+    want = {(r.user_id, r.run, r.widx): (r.label, round(r.mean_value, 6)) for r in catalogue.QUERIES["windows_strict"](spark, SF).collect()}
+    assert {(r.subject, r.run, r.widx): (r.label, round(r.mean_value, 6)) for r in got.collect()} == want and got.count() == len(want)
