@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import audio, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, quality_rules, substring_dedup, url_filter
+from strideframe.llm import audio, byte_bpe, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, quality_rules, substring_dedup, token_alignment, url_filter, vector_codes
+from strideframe.llm.common import settle
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -19,10 +20,10 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"), keep=("label",))
+    rows = settle(rows.select("vec_id", "label", vector_codes.code_text(F.col("codes")).alias("code"), "error"), "codes")
+    out = vector_codes.with_group_error(rows, "label")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    out = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(byte_bpe.decoded(F.col("ids"), ranks)).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -79,8 +102,35 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
+
+def _lloyd_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Each round: the nearest entry by (distance, index), then the floored means, from all assignments anew."""
+    near = """ a{t} as materialized (select x.r, x.part, x.x, min(cast(list_dot_product(x.x, x.x) - 2 * list_dot_product(x.x, c.c) + list_dot_product(c.c, c.c) as bigint) * {e} + c.entry) as m
+        from x join c{t} c using (part) group by x.r, x.part, x.x),
+"""
+    mean = """ u{t} as (select part, m % {e} as entry, i, floor(sum(x[i]) / count(*)) as y from a{t}, unnest(range(1, len(x) + 1)) as g(i) group by all),
+ n{t} as (select part, entry, list(y order by i) as c from u{t} group by all),
+ c{s} as materialized (select c.part, c.entry, coalesce(n.c, c.c) as c from c{t} c left join n{t} n using (part, entry)),
+"""
+    steps = "".join(near.format(t=t, e=entries) + (mean.format(t=t, s=t + 1, e=entries) if t < rounds else "") for t in range(rounds + 1))
+    return rf"""
+with k as materialized (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda z: floor({1024} * cast(z as double))) as v from embeddings
+       where embedding is not null and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0),
+ x as materialized (select r, p.part, v[p.part * len(v) // {parts} + 1 : (p.part + 1) * len(v) // {parts}] as x from k, unnest(range({parts})) as p(part)),
+ f as (select r, row_number() over (order by vec_id nulls last, v) - 1 as entry from k qualify entry < {entries}),
+ c0 as materialized (select x.part, f.entry, x.x as c from x join f using (r)),
+{steps} e as (select r, cast(sum(m // {entries}) as bigint) as error, string_agg(lpad(lower(to_hex(m % {entries})), 2, '0'), '' order by part) as code from a{rounds} group by r),
+ b as (select sha256(string_agg(cast(cast(y as bigint) as varchar), ',' order by part, entry, i)) as codebooks_sha256 from (select part, entry, unnest(c) as y, generate_subscripts(c, 1) as i from c{rounds})),
+ l as (select label, cast(sum(error) as bigint) as label_error from e join k using (r) group by label)
+select k.vec_id, e.code, e.error, l.label_error, b.codebooks_sha256 from k join e using (r) join l on k.label is not distinct from l.label cross join b"""
+
+
+
 ORACLE_SQL = {
     "op4_jaccard_join": r"""
 with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -142,4 +192,5 @@ with p as (select page_id, translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)'
        from q left join r on (q.host = r.h or suffix(q.host, '.' || r.h)) and starts_with(q.path, r.s)),
  b as (select page_id, host, path, max_by(struct_pack(rule := rule, v := v), coalesce(n, -1)) as x from m group by page_id, host, path)
 select page_id, host, path, x.rule as rule, coalesce(x.v, 'allow') as verdict from b""",
+    "op11_vector_codes": _lloyd_sql(),
 }
