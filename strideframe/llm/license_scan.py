@@ -94,6 +94,13 @@ class LicenseScanner:
         self.automaton = SuffixAutomaton(self.sequences)
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
         self.shortest = min([min_match, *(len(x) for x in self.sequences if x)])  # a shorter run of known words matches nothing
+        sizes = [len(x) for x in self.sequences]
+        self.places = [sorted((k, stop) for k, stop in places if sizes[k] >= min_match) for places in self.automaton.where]
+        self.whole: list[tuple[int, ...]] = [()] * len(self.places)  # templates of fewer words that a state's longest string ends with
+        for state in sorted(range(1, len(self.places)), key=self.automaton.size.__getitem__):
+            own = tuple(k for k, stop in self.automaton.where[state] if stop == sizes[k] < min_match and self.automaton.size[self.automaton.link[state]] < stop <= self.automaton.size[state])
+            self.whole[state] = self.whole[self.automaton.link[state]] + own
+        self.automaton.where = []
 
     def base(self, ws: list[bytes]) -> list[tuple[int, str]]:
         found = []
@@ -108,50 +115,64 @@ class LicenseScanner:
                     found.append((at, label))
         return found
 
-    def spans(self, ws: list[bytes]) -> list[tuple[str, int, int, int, float]]:
-        """Chains of long matches, in template order with small gaps, that cover enough of a template."""
-        get = self.vocabulary.get
-        known = [(i, t) for i, w in enumerate(ws) if (t := get(w)) is not None]
-        chains: dict[int, list[list[int]]] = {}  # template: [first word, end word, template end, covered]
-        run: list[tuple[int, int]] = []
-
-        def walk():
-            held = list(self.automaton.statistics([t for _, t in run]))
-            for j, (length, state) in enumerate(held):
-                if j + 1 < len(held) and held[j + 1][0] == length + 1:
-                    continue  # not yet maximal
-                end = run[j][0] + 1
-                for k, stop in self.automaton.where[state]:
-                    size = len(self.sequences[k])
-                    if length < min(self.min_match, size):
-                        continue
-                    begin = stop - length
-                    mine = chains.setdefault(k, [])
-                    best = None
-                    for c in reversed(mine):
-                        if end - length - c[1] > self.max_gap + size:
-                            break
-                        if c[2] <= begin and 0 <= end - length - c[1] <= self.max_gap and (best is None or c[3] > best[3]):
-                            best = c
-                    if best is not None:
-                        best[1], best[2], best[3] = end, stop, best[3] + length
-                    else:
-                        mine.append([end - length, end, stop, length])
-
-        for item in known:
-            if run and item[0] != run[-1][0] + 1:
-                if len(run) >= self.shortest:
-                    walk()
+    def matches(self, ws: list[bytes]):
+        """(end word, length, template, template end): at each place of a template the longest match of ``min_match`` words or more that doesn't go on, and each shorter template as a whole."""
+        get, link, size = self.vocabulary.get, self.automaton.link, self.automaton.size
+        run: list[int] = []
+
+        def walk(last: int):
+            if len(run) < self.shortest:
+                return
+            for j, (length, state) in enumerate(self.automaton.statistics(run)):
+                end, after = last - len(run) + j + 1, run[j + 1] if j + 1 < len(run) else -1
+                for k in self.whole[state]:
+                    if (n := len(self.sequences[k])) <= length:
+                        yield end, n, k, n
+                seen: set[tuple[int, int]] = set()
+                while length >= self.min_match:  # the state's places, then those of ever shorter matches
+                    for place in self.places[state]:
+                        if place not in seen:
+                            seen.add(place)
+                            k, stop = place
+                            if stop == len(self.sequences[k]) or self.sequences[k][stop] != after:
+                                yield end, length, k, stop
+                    state = link[state]
+                    length = size[state]
+
+        for i, w in enumerate(ws):
+            if (t := get(w)) is not None:
+                run.append(t)
+            elif run:
+                yield from walk(i)
                 run.clear()
-            run.append(item)
-        if len(run) >= self.shortest:
-            walk()
+        if run:
+            yield from walk(len(ws))
+
+    def spans(self, ws: list[bytes]) -> list[tuple[str, int, int, int, float]]:
+        """Of each template the chains of matches, in template order with gaps of ``max_gap`` words at most, that cover enough of it.
+
+        A match goes on the chain that covers most of those it can follow (then
+        the latest); it may also be followed in several ways, so no choice is
+        lost.  Of chains that overlap in the text, the one that covers most
+        stays, then the shortest, then the first.
+        """
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # template: (first word, end word, template end, covered) of each match's best chain
+        near: dict[int, list[tuple[int, int, int, int]]] = {}  # those that a later match can still follow: ends only grow
+        for end, length, k, stop in self.matches(ws):
+            at, begin = end - length, stop - length
+            mine = near[k] = [c for c in near.get(k, ()) if c[1] + self.max_gap + len(self.sequences[k]) >= end]
+            before = max((c for c in mine if 0 <= at - c[1] <= self.max_gap and c[2] <= begin), key=lambda c: (c[3], c[1], c[0]), default=None)
+            own = (before[0], end, stop, before[3] + length) if before else (at, end, stop, length)
+            mine.append(own)
+            if own[3] >= self.min_cover * len(self.sequences[k]):
+                chains.setdefault(k, []).append(own)
         out = []
         for k, mine in chains.items():
-            size = len(self.sequences[k])
-            for first, end, _, covered in mine:
-                if covered >= self.min_cover * size:
-                    out.append((self.labels[k], k, first, end, min(1.0, covered / size)))
+            taken: list[tuple[int, int]] = []
+            for first, end, _, covered in sorted(mine, key=lambda c: (-c[3], c[1] - c[0], c[0])):
+                if all(end <= a or b <= first for a, b in taken):
+                    taken.append((first, end))
+                    out.append((self.labels[k], k, first, end, min(1.0, covered / len(self.sequences[k]))))
         return sorted(out, key=lambda x: (x[2], x[3], x[1]))
 
 
@@ -173,13 +194,12 @@ def scan_licenses(
     places and ``base_labels``.  The templates, given by the caller, form one
     suffix automaton of at most twice their words, which is broadcast; each
     text streams through it, the longest matches that can't be extended (``min_match`` words, or a whole
-    shorter template) are chained, and a chain that covers ``min_cover`` of a
+    shorter template) are chained (``LicenseScanner.spans``), and a chain that covers ``min_cover`` of a
     template is a span.  ``labels`` are the base labels and the spans' labels;
     ``score`` is 1 with a base label, else the best coverage, else 0.
 
-    Chains of different templates may overlap, and each is a span; of chains
-    of one template that a match could go on with, the one that covers most
-    takes it, then the latest.  Null and empty texts have no words; repeated
+    Chains of different templates may overlap, and each is a span; spans of
+    one template don't.  Null and empty texts have no words; repeated
     rows give equal rows; texts of any length are scanned whole; other columns
     aren't read; an empty table gives an empty result.  No shuffle.
     """
