@@ -78,7 +78,7 @@ def window_starts(tokens: np.ndarray, natural: np.ndarray, begins: np.ndarray, e
 
 
 class Units:
-    """Paragraph units of several texts: windows of ``window`` words, and whole lines of that many words or more.
+    """Paragraph units of several texts: windows of ``window`` words, and whole lines and paragraphs (up to a blank line) of that many words or more.
 
     Of unit i, ``text[i]`` is its text's number, ``first[i]`` and ``size[i]``
     say which words, ``keys[i, band]`` are the band keys and ``prints[i]``
@@ -103,7 +103,12 @@ class Units:
         cuts = np.unique(np.concatenate([breaks, begins, [len(h)]]))
         line, size = cuts[:-1], np.diff(cuts)
         whole = size >= window
-        lines, size_of_lines = line[whole], size[whole]
+        gaps = np.diff(np.searchsorted(np.flatnonzero(b == 10), words.starts), prepend=0)
+        blocks = np.unique(np.concatenate([np.flatnonzero(gaps > 1), begins, [len(h)]])) if len(h) else np.zeros(1, np.int64)
+        block, size_of_blocks = blocks[:-1], np.diff(blocks)
+        broken = np.searchsorted(cuts, blocks[1:]) - np.searchsorted(cuts, block, "right") > 0  # of several lines
+        several = (size_of_blocks >= window) & broken
+        lines, size_of_lines = np.concatenate([line[whole], block[several]]), np.concatenate([size[whole], size_of_blocks[several]])
         self.at = np.concatenate([at, lines])
         self.size = np.concatenate([np.full(len(at), window), size_of_lines])
         owner = np.searchsorted(ends, self.at, "right")
@@ -112,7 +117,7 @@ class Units:
         own = self.prints[: len(at)]
         for j in [*range(0, self.wide - 1, k), self.wide - 1] if len(at) else []:
             own[:] = mix64(own ^ self.tokens[at + j], 7)
-        self.prints[len(at) :] = mix64(sequence_hashes(h, line, size)[whole], 8)
+        self.prints[len(at) :] = mix64(np.concatenate([sequence_hashes(h, line, size)[whole], sequence_hashes(h, block, size_of_blocks)[several]]), 8)
         edges = np.stack([lines, lines + size_of_lines - k + 1], axis=1).ravel()
         self.keys = np.zeros((len(self.at), bands), np.uint64)
         self.firsts: list[np.ndarray] = []  # of each band, the hashes whose least its first row is
@@ -123,7 +128,7 @@ class Units:
                     self.firsts.append(m)
                 least = np.concatenate([slide_min(m, self.wide)[at], np.minimum.reduceat(np.append(m, _TOP), edges)[::2] if len(lines) else m[:0]])
                 self.keys[:, band] = mix64(self.keys[:, band] ^ least, band + 1)
-            self.keys[len(at) :, band] = mix64(self.keys[len(at) :, band], 70)  # lines meet lines
+            self.keys[len(at) :, band] = mix64(self.keys[len(at) :, band], 70)  # lines and paragraphs meet each other
         need = -(-2 * percent * self.wide // (100 + percent))
         self.lost = self.wide - need  # shingles that two windows of the similarity may each have apart
 
@@ -204,7 +209,7 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     """Places of clusters that reach two texts: row, doc_id, first, size, cluster, keep_doc_id, keep_row; and of equal texts all but the one that stays.
 
     A text is known by a hash of it (``row``); equal texts are worked on once,
-    under the least id.  Units (lines and windows) whose band keys meet in
+    under the least id.  Units (lines, paragraphs and windows) whose band keys meet in
     another text are looked at further: those of equal words are one class,
     others are linked by the exact Jaccard similarity of their shingles, and
     links are closed to components.  In a component that reaches two texts,
@@ -375,8 +380,8 @@ def find_repeats(
 ) -> DataFrame:
     """Spans of words to remove: doc_id, first_word, end_word, n_words, cluster, keep_doc_id, n_rows, but_one, text_key.
 
-    Units are the lines of at least ``window`` words, and windows of
-    ``window`` words from each line and sentence on and from places chosen by
+    Units are the lines and the paragraphs (up to a blank line) of at least
+    ``window`` words, however they are wrapped, and windows of ``window`` words from each line and sentence on and from places chosen by
     content in long sentences, so that any passage of ``window + SPREAD - 1``
     words has one wherever it stands.  MinHash
     bands are tuned so that units of ``percent`` similarity of their

@@ -193,6 +193,36 @@ def test_similar_windows_meet_wherever_they_stand():
         assert set(v.prints[v.text == 0]) & set(v.prints[v.text == 1])
 
 
+def test_paragraphs_repeat_however_they_are_wrapped(spark):
+    """End to end: of wrapped, shifted and edited paragraphs of 0.8 similarity to an earlier one, at least 0.9 are removed whole, and no other words are."""
+    g = random.Random(14)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(6))
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, copies = [], []  # of copies: document, first word, end word, whether similar
+    originals = [[word() for _ in range(g.randint(45, 90))] for _ in range(72)]
+    for i in range(0, 72, 3):
+        rows.append((i, "\n\n".join(wrap(w, 12) for w in originals[i : i + 3]), "en", "s"))
+    for i, original in enumerate(originals):
+        w = list(original)
+        for _ in range(g.randint(0, 3)):
+            at = g.randrange(len(w))
+            w[at : at + 1] = g.choice(([word()], [word(), w[at]], []))
+        before, behind = ([word() for _ in range(g.randint(0, 40))] for _ in range(2))
+        text = g.choice(("\n\n", "\n \t\n", "\r\n\r\n")).join(wrap(x, g.choice((7, 12, 500))) for x in (before, w, behind) if x)
+        rows.append((100 + i, text, "en", "s"))
+        a, b = shingles(original), shingles(w)
+        copies.append((100 + i, len(before), len(before) + len(w), 100 * len(a & b) >= 80 * len(a | b)))
+    gone = defaultdict(set)
+    for r in substring_dedup.find_repeats(frame(spark, rows)).collect():
+        gone[r.doc_id] |= set(range(r.first_word, r.end_word))
+    similar = [c for c in copies if c[3]]
+    whole = sum(set(range(a, b)) <= gone[d] for d, a, b, _ in similar)
+    print(f"{whole} of {len(similar)} similar paragraphs removed whole")
+    assert len(similar) >= 40 and whole >= 0.9 * len(similar)
+    assert not any(gone[i] for i in range(72)) and all(gone[d] <= set(range(a - 2, b + 2)) for d, a, b, _ in copies)  # a window of the similarity may begin or end two words outside
+
+
 def test_rows_of_one_id_and_repeated_rows_keep_their_words(spark):
     g = random.Random(13)
     t, u, v, w = (" ".join(sentences(g, n)) for n in (80, 80, 60, 50))
