@@ -54,8 +54,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing will read again: all that came of them is settled itself or was brought to an end.
 
-    The driver also collects its garbage, as Spark deletes the shuffle files of
-    finished jobs only then.
+    The driver also collects its garbage, as Spark deletes only then the shuffle
+    files that no plan refers to any more; those of what can still be computed
+    again stay.
     """
     for table in tables:
         spark = table.sparkSession

@@ -51,6 +51,7 @@ def mix_sources(
     source_col: str = "source",
     max_broadcast_sources: int = 100_000,
     payload: list[str] | None = None,
+    scratch: list[DataFrame] | None = None,
 ) -> DataFrame:
     """One row per document: id, size (words), source_size, target, copies and taken.
 
@@ -65,7 +66,10 @@ def mix_sources(
     Null text has size 0, null sources form one source (last), repeated rows
     and equal keys are taken together, an empty table gives an empty result.
     Targets keep to ``max_epochs`` times a source's size, and no document is
-    taken more often.  Columns in ``payload`` are passed on, others ignored.
+    taken more often.  Texts of any length are counted whole; null ids have one
+    key.  Columns in ``payload`` are passed on, others ignored.  Tables that
+    the result still reads are added to ``scratch``, for a caller that settles
+    it and discards them.
     """
     keep = payload or []
     rows = docs.select(
@@ -79,6 +83,7 @@ def mix_sources(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("_k", whole).withColumn("_left", F.when(F.col("source_size") > 0, F.col("target") - F.col("_k") * F.col("source_size")).otherwise(0.0))
     plan = settle(plan.withColumn("_prefix", F.lit(0).cast("long")), "mixplan")
+    tables = [rows, plan]
     for level in range(1, levels + 1):
         shift = KEY_BITS - _BITS * level
         p = fit_for_broadcast(plan.where("_left > 0").select(F.col("source").alias("_s"), F.col("_left").alias("_want"), F.col("_prefix").alias("_at")), max_broadcast_sources)
@@ -93,6 +98,9 @@ def mix_sources(
             (F.coalesce("_b", F.shiftleft("_prefix", _BITS)) + (F.coalesce(F.col("_over") < F.col("_rest"), F.lit(False)).cast("long") if level == levels else F.lit(0))).alias("_prefix"),
         )
         plan = settle(plan, "mixplan")
+        tables.append(plan)
+    if scratch is not None:
+        scratch += tables
     under = F.shiftright("_key", KEY_BITS - _BITS * levels) < F.col("_prefix")
     plan = fit_for_broadcast(plan.withColumnRenamed("source", "_s"), max_broadcast_sources)
     copies = (F.col("_k") + under.cast("long")).alias("copies")

@@ -60,6 +60,7 @@ def quality_rules(
     max_broadcast_rows: int = 1_000_000,
     payload: list[str] | None = None,
     left_col: str | None = None,
+    scratch: list[DataFrame] | None = None,
 ) -> DataFrame:
     """One row per document with its figures and ``kept``.
 
@@ -78,6 +79,9 @@ def quality_rules(
 
     ``left_col`` names a column for the text without the removed lines, each
     with one line end; a text without such lines, and a null one, is unchanged.
+    Texts of any length are judged whole; null ids pass.  Tables that the
+    result still reads are added to ``scratch``, for a caller that settles it
+    and discards them.
     """
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
     keep = payload or []
@@ -114,6 +118,8 @@ def quality_rules(
     hit = lines.join(fit_for_broadcast(heavy, max_broadcast_lines), (F.col("l.h") == F.col("_h")) & F.col("_host").eqNullSafe(F.col("_hh")), "left_semi")
     places = [F.collect_list("i").alias("_at")] if left_col else []
     gone = settle(hit.groupBy(F.col("_row").alias("_r")).agg(F.sum("l.w").alias("_gone"), *places), "gone")
+    if scratch is not None:
+        scratch += [rows, heavy, gone]
     if not left_col:
         gone = fit_for_broadcast(gone, max_broadcast_rows)
     elif gone.select(F.explode("_at")).limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:

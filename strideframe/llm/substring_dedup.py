@@ -425,20 +425,22 @@ def _cut_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return texts.combine(spans, cut_words)
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, max_broadcast_spans: int = 200_000) -> DataFrame:
+def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, max_broadcast_spans: int = 200_000, scratch: list[DataFrame] | None = None) -> DataFrame:
     """``docs`` with the spans of ``find_repeats`` cut out of their texts; with ``drop_emptied``, without the rows that lose all their words.
 
     Rows are met by id and text, so rows that share an id keep their own
     words; of equal rows with one id all but one are emptied.  Null and empty
     texts, untouched texts and all other columns, whatever their names, pass
     unchanged.  A span table of more than ``max_broadcast_spans`` spans is
-    shuffled to the rows.  An empty table of either kind is fine.
+    shuffled to the rows.  An empty table of either kind is fine.  Tables that
+    the result still reads are added to ``scratch``.
     """
     cut = F.struct("first_word", "end_word")
     own = spans.groupBy(F.col(id_col).cast("long").alias("id"), F.col("text_key").alias("key")).agg(
         F.collect_list(F.when(~F.col("but_one"), cut)).alias("cuts"), F.max(F.when(F.col("but_one"), F.col("end_word"))).alias("whole")
     )
     own = settle(own.withColumn("n", F.size("cuts")), "spans")
+    left_over = [own]
     if (own.agg(F.sum("n")).first()[0] or 0) <= max_broadcast_spans:
         own = fit_for_broadcast(own, max_broadcast_spans)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"))
@@ -448,8 +450,11 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
         equal = settle(met.where("whole is not null").withColumn("at", F.monotonically_increasing_id()), "equal")
         stays = settle(equal.groupBy("id", "key").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("stays")), "stays")
         all_of = F.array(F.struct(F.lit(0).cast("bigint").alias("first_word"), F.col("whole").alias("end_word")))
+        left_over += [equal, stays]
         equal = equal.join(fit_for_broadcast(stays, max_broadcast_spans), "at", "left").withColumn("cuts", F.when(F.col("stays"), F.col("cuts")).otherwise(all_of))
         met = met.where("whole is null").union(equal.select("d", "id", "key", "cuts", "whole"))
+    if scratch is not None:
+        scratch += left_over
     hit, before = F.size("cuts") > 0, F.col("d").getField(text_col)
     cutter = F.pandas_udf(_cut_all, "string").asNondeterministic()  # so that it runs once a row
     met = met.withColumn("left", F.when(hit, cutter(F.when(hit, before), F.col("cuts"))).otherwise(before))

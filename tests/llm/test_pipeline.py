@@ -54,3 +54,18 @@ def test_stages_on_hard_rows(spark):
     assert got["substring dedup"] == got["n-gram jaccard join"]
     assert sum(got["mixing"].values()) and set(got["mixing"]) <= set(hard)
     assert P.packing_stage(spark, docs, "").select("doc_id").distinct().count() == 8
+
+
+def test_run_keeps_only_the_last_stages_input(spark, tmp_path):
+    from pathlib import Path
+
+    from strideframe.llm.common import shared_dir
+    from tests_corpus import rows  # noqa: PLC0415
+
+    spark.createDataFrame(rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    pieces = P.run(spark, str(tmp_path))
+    left = [p.name for p in set(folder.iterdir()) - before]
+    assert len(left) == 1 and left[0].startswith("mixing-")
+    assert pieces.count() > 0
