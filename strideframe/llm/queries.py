@@ -86,9 +86,9 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    out = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    out = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decode=True)
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(byte_bpe.decoded(F.col("ids"), ranks)).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 QUERIES = {

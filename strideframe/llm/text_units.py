@@ -1,23 +1,26 @@
-"""Texts as numbers of their distinct units, chunk by chunk: the part that byte-level coding and tokenizer alignment share.
+"""Texts as numbers of their units: the part that byte-level coding and tokenizer alignment share.
 
-A unit is white space and the run of other characters behind it.  A chunk is
-some neighbouring texts of about ``CHUNK`` bytes (one text at least) with a
-dictionary of their units, so what a chunk needs of the corpus is one row for
-each of its distinct entries, and both sides of that join have a bounded size.
+Units are stretches of a text that no token of these tokenizers crosses, so
+that a task works on each distinct one once.  They are mostly a space and what
+stands up to the next one; where white space stands together in other ways,
+a text is cut only where white space follows another character.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from itertools import islice
 
 import numpy as np
 
 from strideframe.llm.common import text_blocks
 
-CHUNK = 8 << 20  # bytes of text
+CHUNK = 4 << 20  # bytes of text that are worked on together
+MOST_UNITS = 1 << 18  # from which on a task begins to number them anew
 # The characters of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+_BEGINS, _ENDS, _EMPTY = 1, 2, 4
 
 
 def unit_pattern(no_cut: str = "") -> re.Pattern[str]:
@@ -26,6 +29,57 @@ def unit_pattern(no_cut: str = "") -> re.Pattern[str]:
     return re.compile(f"{s}*+(?:{n}++(?:{u}{s}*+)?+)++|{s}++")
 
 
+class Numbers(dict):
+    """Numbers keys in order of appearance."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
+class Units(Numbers):
+    """Units by number: a string is a unit without the space that it begins with, a tuple of one string is a unit as it is."""
+
+    def __init__(self):
+        self.edges = np.zeros(0, np.uint8)
+
+    def texts(self, first: int) -> list[str]:
+        """The units from number ``first`` on."""
+        return [" " + k if type(k) is str else k[0] for k in islice(self, first, None)]
+
+    def marked(self) -> np.ndarray:
+        """Of each unit: whether what follows its space begins or ends with white space, or is nothing."""
+        new = [k if type(k) is str else k[0] for k in islice(self, len(self.edges), None)]
+        more = [_BEGINS * (k[0] in WHITE) + _ENDS * (k[-1] in WHITE) if k else _EMPTY for k in new]
+        self.edges = np.concatenate([self.edges, np.array(more, np.uint8)])
+        return self.edges
+
+
+def numbered(texts: list[str], units: Units, pattern: re.Pattern[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's units as numbers, one text after another, and how many each has; ``spaced`` puts a space before each text that isn't empty.
+
+    A text is cut before each space.  Where spaces stand together or at an end,
+    or white space stands on both sides of one, it is cut by ``pattern``
+    instead, as a tokenizer may take white space that stands together as one.
+    """
+    number, parts = units.__getitem__, []
+    for text in texts:
+        pieces = text.split(" ") if text else []
+        parts.append(np.array(list(map(number, pieces)) if spaced or not pieces else [number((pieces[0],)), *map(number, pieces[1:])], np.int32))
+    sizes = np.array([len(p) for p in parts], np.int64)
+    seq = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    edges = units.marked()[seq]
+    beside = np.zeros(len(seq), bool)
+    beside[1:] = (edges[1:] & _BEGINS > 0) & (edges[:-1] & _ENDS > 0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    beside[first] = False
+    odd = np.flatnonzero(sums_by((edges & _EMPTY > 0) | beside, sizes))
+    for i in odd.tolist():
+        parts[i] = np.array([number((u,)) for u in pattern.findall(f" {texts[i]}" if spaced else texts[i])], np.int32)
+        sizes[i] = len(parts[i])
+    return (np.concatenate(parts) if len(odd) else seq), sizes
+
+
 def chunks(batches, most_bytes: int = CHUNK):
     """(chunk id, ids as an Arrow array, texts) of Arrow batches of ids and texts; the id is random, so the rows made of a chunk are stored before they are read twice."""
     for batch in batches:
@@ -33,17 +87,6 @@ def chunks(batches, most_bytes: int = CHUNK):
             yield uuid.uuid4().int >> 65, batch.column(0).slice(at, len(raws)), [x.decode() for x in raws]
 
 
-def numbered(texts: list[str], pattern: re.Pattern[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct units in order of appearance; each text's units as numbers, one text after another; and how many each has."""
-    number: dict[str, int] = {}
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        units = pattern.findall(text)
-        sizes[i] = len(units)
-        parts.append(np.fromiter((number.setdefault(u, len(number)) for u in units), np.int32, len(units)))
-    return list(number), np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes
-
-
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the stretches [start, start + size), one after another."""
     ends = np.cumsum(sizes)

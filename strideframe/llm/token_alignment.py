@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import functools
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import settle
-from strideframe.llm.text_units import WHITE, chunks, lists, numbered, ragged, sums_by, unit_pattern
+from strideframe.llm.text_units import MOST_UNITS, WHITE, Numbers, Units, chunks, lists, numbered, ragged, sums_by, unit_pattern
 
-MEMO = 1 << 18  # units that a task remembers
 _BLANK = "▁"
 
 
@@ -22,22 +22,32 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each token's bytes start, how many they are, and all bytes."""
+    size = np.array([len(t) for t in tokens], np.int64)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(tokens), np.uint8)
+
+
 class Pair:
     """Both tokenizers, on units that neither's tokens cross."""
 
     def __init__(self, a_path: str, b_path: str):
+        import os
+
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         letters = _byte_letters()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
+        a_bytes = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.blank = self.b.piece_to_id(_BLANK)
+        self.a_table, self.b_table = _table([a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]), _table(b_bytes)
         words = [p for i, p in enumerate(pieces) if len(p) > 1 and not self.b.is_byte(i)]
         if any(_BLANK in p.lstrip(_BLANK) for p in words):
             raise ValueError("the second tokenizer's pieces go on over spaces; texts can't be cut there")
@@ -49,31 +59,60 @@ class Pair:
         ids = self.b.encode([u[1:] if s else u for u, s in zip(units, spaced, strict=True)], num_threads=1)
         return [[self.blank] if u == " " else x if s else x[1:] for u, s, x in zip(units, spaced, ids, strict=True)]
 
-    def groups(self, units: list[str]) -> list[tuple[int, int, tuple[str, ...]] | None]:
-        """Of each unit: its tokens by either tokenizer and its groups ``a1,a2|b1``; None where its bytes are not those of its tokens."""
-        a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
-        b = self.b_ids(units)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        out = []
-        for unit, x, y in zip(units, a, b, strict=True):
-            raw = unit.encode()
-            p, q = [a_bytes[i] for i in x], [b_bytes[i] for i in y]
-            if b"".join(p) != raw or b"".join(q) != raw:
-                out.append(None)
-                continue
-            found, i, j, k, m, at, to = [], 0, 0, 0, 0, 0, 0  # tokens taken, tokens of groups made, and bytes taken
-            while k < len(p):
-                if at <= to:
-                    at += len(p[k])
-                    k += 1
-                while to < at:
-                    to += len(q[m])
-                    m += 1
-                if at == to:
-                    found.append(f"{','.join(map(str, x[i:k]))}|{','.join(map(str, y[j:m]))}")
-                    i, j = k, m
-            out.append((len(x), len(y), tuple(found)))
-        return out
+    def encode(self, units: list[str]):
+        """(ids, number by unit) of A and of B, and whether the bytes of both are the unit's."""
+        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        sides, raws = [], [u.encode() for u in units]
+        size, raw = np.fromiter(map(len, raws), np.int64, len(raws)), np.frombuffer(b"".join(raws), np.uint8)
+        fine = np.ones(len(units), bool)
+        for ids, (start, length, data) in ((a, self.a_table), (self.b_ids(units), self.b_table)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            held = sums_by(length[flat], n)
+            own = data[ragged(start[flat], length[flat])]
+            same = held == size
+            fine &= same
+            both = [x[np.repeat(same, m)] for x, m in ((raw, size), (own, held))]
+            fine[same] &= sums_by(both[0] == both[1], size[same]) == size[same]
+            sides.append((flat, n))
+        return *sides, fine
+
+
+class Groups:
+    """Units by number (``units``), with the groups of each: ``a1,a2|b1`` by number (``keys``)."""
+
+    def __init__(self, both: Pair):
+        self.both, self.units, self.keys = both, Units(), Numbers()
+        self.n_a = self.n_b = self.n_groups = self.first = self.flat = np.zeros(0, np.int64)
+        self.fine = np.zeros(0, bool)
+
+    def catch_up(self) -> None:
+        """Encode the units that have come since the last time."""
+        new = self.units.texts(len(self.fine))
+        for lo in range(0, len(new), 8192):
+            self._add(new[lo : lo + 8192])
+
+    def _add(self, units: list[str]) -> None:
+        (a, n_a), (b, n_b), fine = self.both.encode(units)
+        a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
+        n_a, n_b = np.where(fine, n_a, 0), np.where(fine, n_b, 0)
+        ends = [np.cumsum(length[ids]) for ids, (_, length, _) in ((a, self.both.a_table), (b, self.both.b_table))]  # both count the bytes of the same units
+        common = np.intersect1d(*ends, assume_unique=True)
+        upto = [np.searchsorted(x, common, "right") for x in ends]
+        size = [np.diff(x, prepend=0) for x in upto]
+        number = np.zeros(len(common), np.int64)
+        single = (size[0] == 1) & (size[1] == 1)
+        code, at = np.unique(a[upto[0][single] - 1] << 32 | b[upto[1][single] - 1], return_inverse=True)
+        number[single] = np.array([self.keys[f"{x >> 32}|{x & 0xFFFFFFFF}"] for x in code.tolist()], np.int64)[at]
+        many = np.flatnonzero(~single)
+        left, right = a.tolist(), b.tolist()
+        text = lambda ids, n, stop: ",".join(map(str, ids[stop - n : stop]))
+        number[many] = [self.keys[f"{text(left, n, i)}|{text(right, m, j)}"] for n, i, m, j in zip(size[0][many].tolist(), upto[0][many].tolist(), size[1][many].tolist(), upto[1][many].tolist(), strict=True)]
+        unit_ends = np.cumsum(n_a)
+        n_groups = np.searchsorted(upto[0], unit_ends, "right") - np.searchsorted(upto[0], unit_ends - n_a, "right")
+        first = len(self.flat) + np.cumsum(n_groups) - n_groups
+        for name, more in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("first", first), ("flat", number), ("fine", fine)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
 
 
 @functools.cache
@@ -144,38 +183,29 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, *, id_col: str =
         import pyarrow as pa
 
         kinds = {n: pa.int64() for n in names} | {"seq": pa.list_(pa.int32()), "entry": pa.int32(), "group": pa.string()}
-        both, memo = _pair(a_path, b_path), {}
+        known = Groups(_pair(a_path, b_path))
 
         def batch_of(n: int, chunk: int, columns: dict):
             own = columns | {"chunk": pa.array(np.full(n, chunk, np.int64))}
             return pa.record_batch([pa.array(own[c], kinds[c]) if isinstance(own.get(c), list | np.ndarray) else own.get(c, pa.nulls(n, kinds[c])) for c in names], names=names)
 
         for chunk, ids, texts in chunks(batches):
-            units, seq, sizes = numbered([" " + t if t else "" for t in texts], both.pattern)
-            new = [u for u in units if u not in memo]
-            fresh = dict(zip(new, both.groups(new), strict=True))
-            number: dict[str, int] = {}
-            n_a, n_b, n_g = (np.zeros(len(units), np.int64) for _ in range(3))
-            of_unit, good = [], np.ones(len(units), bool)
-            for k, u in enumerate(units):
-                if (x := fresh[u] if u in fresh else memo[u]) is None:
-                    good[k] = False
-                else:
-                    n_a[k], n_b[k], n_g[k] = x[0], x[1], len(x[2])
-                    of_unit += [number.setdefault(g, len(number)) for g in x[2]]
-            if len(memo) < MEMO:
-                memo |= fresh
-            of_unit, first = np.array(of_unit, np.int32), np.cumsum(n_g) - n_g
-            fine = sums_by(~good[seq], sizes) == 0
+            if len(known.fine) > MOST_UNITS:
+                known = Groups(known.both)
+            seq, sizes = numbered(texts, known.units, known.both.pattern, spaced=True)
+            known.catch_up()
+            fine = sums_by(~known.fine[seq], sizes) == 0
             seq, sizes = seq[np.repeat(fine, sizes)], np.where(fine, sizes, 0)
-            groups, n_groups = of_unit[ragged(first[seq], n_g[seq])], sums_by(n_g[seq], sizes)
-            yield batch_of(len(texts), chunk, {"id": ids, "n_a": sums_by(n_a[seq], sizes), "n_b": sums_by(n_b[seq], sizes), "seq": lists(groups, n_groups)})
-            held = np.unique(np.repeat(np.arange(len(texts)), n_groups) * max(1, len(number)) + groups)
-            text, group = held // max(1, len(number)), held % max(1, len(number))
-            n_docs = np.bincount(group, minlength=len(number))
-            keys, used = list(number), np.flatnonzero(n_docs)
-            yield batch_of(len(used), chunk, {"entry": used.astype(np.int32), "group": [keys[g] for g in used.tolist()], "n_docs": n_docs[used]})
-            pair, surplus = overcounted(keys, text, group)
+            groups, n_groups = known.flat[ragged(known.first[seq], known.n_groups[seq])], sums_by(known.n_groups[seq], sizes)
+            yield batch_of(len(texts), chunk, {"id": ids, "n_a": sums_by(known.n_a[seq], sizes), "n_b": sums_by(known.n_b[seq], sizes), "seq": lists(groups.astype(np.int32), n_groups)})
+            keys = list(known.keys)
+            held = np.unique(np.repeat(np.arange(len(texts)), n_groups) * max(1, len(keys)) + groups)
+            text, group = held // max(1, len(keys)), held % max(1, len(keys))
+            n_docs = np.bincount(group, minlength=len(keys))
+            used = np.flatnonzero(n_docs)
+            own = [keys[g] for g in used.tolist()]
+            yield batch_of(len(used), chunk, {"entry": used.astype(np.int32), "group": own, "n_docs": n_docs[used]})
+            pair, surplus = overcounted(own, text, np.searchsorted(used, group))
             yield batch_of(len(pair), chunk, {"pair": pair, "n_docs": -surplus})
 
     table = settle(rows.mapInArrow(chunked, _CHUNKED), "groups")

@@ -121,18 +121,22 @@ def small_chunks(monkeypatch):
         monkeypatch.setattr(module, "chunks", lambda batches: text_units.chunks(batches, 3000))
 
 
-def test_byte_bpe_equals_the_library(spark, texts, small_chunks):
+@pytest.mark.parametrize("frequent", [0, 5, 1 << 18])
+def test_byte_bpe_equals_the_library(spark, texts, small_chunks, frequent):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    out = byte_bpe.encode_texts(frame(spark, texts), RANKS, public_tokenizers.PATTERN)
-    got = Counter((r.doc_id, tuple(r.ids), bytes(r.back)) for r in out.withColumn("back", byte_bpe.decoded(F.col("ids"), RANKS)).collect())
+    out = byte_bpe.encode_texts(frame(spark, texts), RANKS, public_tokenizers.PATTERN, frequent=frequent, decode=True)
+    assert out.where(~F.col("decoded").eqNullSafe(byte_bpe.decoded(F.col("ids"), RANKS))).count() == 0
+    got = Counter((r.doc_id, tuple(r.ids), bytes(r.back)) for r in out.withColumnRenamed("decoded", "back").collect())
     assert got == Counter((d, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for d, t in texts)
     assert byte_bpe.encode_texts(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_merge_replay_of_any_vocabulary(seed):
+@pytest.mark.parametrize("long_word", [1 << 10, 12])
+def test_merge_replay_of_any_vocabulary(seed, long_word, monkeypatch):
     """Tokens in no order of making, so that merges make pairs of lower rank than their own."""
+    monkeypatch.setattr(byte_bpe, "LONG_WORD", long_word)
     g = random.Random(seed)
     long = set()
     while len(long) < 50:
@@ -166,6 +170,29 @@ def test_units_join_to_the_text():
             assert cuts - {len(text)} == {i for i in range(1, len(text)) if text[i] in WHITE and text[i] not in no_cut and text[i - 1] not in WHITE}
 
 
+@pytest.mark.parametrize("spaced", [False, True])
+def test_numbers_stand_for_the_text(spaced):
+    """Cuts are at spaces, or where white space follows another character; never inside white space that a tokenizer may take as one."""
+    from strideframe.llm.text_units import WHITE, Units, numbered, unit_pattern
+
+    g = random.Random(8)
+    texts = ["".join(g.choice("ab \n\r\u3000 ab") for _ in range(g.randint(0, 12))) for _ in range(2000)]
+    units = Units()
+    seq, sizes = numbered(texts[:1000], units, unit_pattern("\r"), spaced)
+    more = numbered(texts[1000:], units, unit_pattern("\r"), spaced)
+    seq, sizes = np.concatenate([seq, more[0]]), np.concatenate([sizes, more[1]])
+    of, at = units.texts(0), 0
+    for text, n in zip(texts, sizes.tolist(), strict=True):
+        whole = f" {text}" if spaced and text else text
+        own = [of[k] for k in seq[at : at + n]]
+        at += n
+        assert "".join(own) == whole and all(own)
+        for cut in list(accumulate(map(len, own)))[:-1]:
+            before, behind = whole[cut - 1], whole[cut : cut + 2]
+            assert behind[0] in WHITE and (before not in WHITE or (behind[0] == " " and len(behind) > 1 and behind[1] not in WHITE and before != " "))
+            assert behind[0] != "\r" or before in WHITE
+
+
 def brute_alignment(rows):
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
