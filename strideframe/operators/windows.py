@@ -1,4 +1,4 @@
-"""Label runs and fixed-length windows over them, as window functions and one range join.
+"""Label runs and fixed-length windows over them, as window functions.
 
 ``compat`` drops excluded rows before runs are cut, so equal stretches around
 them merge; ``strict`` lets an excluded row end the run.  Runs follow row order
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.errors import WindowError
+from strideframe.session import small, stored
 
 
 def encode_labels(rows: DataFrame, raw: str, mapping: dict, label: str = "label", excluded: int | None = None) -> DataFrame:
@@ -44,6 +45,65 @@ def label_runs(rows: DataFrame, subject: list[str], order: list[str], label: str
     return rows.withColumns({"pos": (F.row_number().over(by_run.orderBy(*order)) - 1).cast("long"), "run_len": F.count("*").over(by_run)})
 
 
+def range_parts(rows: DataFrame, subject: list[str], order: list[str], part: str = "part", parts: int | None = None) -> DataFrame:
+    """``rows`` dealt by ranges of (subject, order) and stored, with the range's number: a subject of any size is many parts of about equal size.
+
+    The numbers are stored with the rows, as another run of the same shuffle
+    may draw other bounds.
+    """
+    keys = [*subject, *order]
+    dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    return stored(dealt.withColumn(part, F.spark_partition_id()), "parts")
+
+
+def label_runs_by_parts(rows: DataFrame, subject: list[str], order: list[str], label: str, mode: str, part: str) -> DataFrame:
+    """``label_runs`` where no task sees more of a subject than one part, by a prefix scan over the parts.
+
+    Within a subject, rows of a lower ``part`` come before those of a higher
+    one (``range_parts``, or the blocks of a recording's file).  Each part
+    numbers its own runs and gives its first and last label and how many rows
+    its outer runs have; a window over these summaries, some rows a part,
+    says which runs go on from part to part, where numbers begin, and how long
+    the outer runs are in all; a join by part applies it.
+    """
+    if mode not in ("compat", "strict"):
+        raise WindowError(f"unknown run mode {mode!r}")
+    if mode == "compat":
+        rows = rows.where(F.col(label).isNotNull())
+    keys = [*subject, part]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    change = (F.row_number().over(w) > 1) & ~F.col(label).eqNullSafe(F.lag(label).over(w))
+    own = rows.withColumn("_change", change.cast("long"))
+    own = own.withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_change")
+    by_run = Window.partitionBy(*keys, "_run")
+    own = own.withColumns({"_pos": (F.row_number().over(by_run.orderBy(*order)) - 1).cast("long"), "_len": F.count("*").over(by_run)})
+    own = stored(own, "own-runs")
+
+    value = F.struct(F.col(label).alias("x"))
+    ends = own.groupBy(*keys).agg(
+        F.min_by(value, "_run").alias("_first"), F.max_by(value, "_run").alias("_last"), F.max("_run").alias("_runs"), F.min_by("_len", "_run").alias("_head"), F.max_by("_len", "_run").alias("_tail")
+    )
+    along = Window.partitionBy(*subject).orderBy(part)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_on", ((F.row_number().over(along) > 1) & (F.lag("_last.x").over(along).eqNullSafe(F.col("_first.x")))).cast("long"))
+    ends = ends.withColumn("_base", 1 + F.coalesce(F.sum(F.col("_runs") + 1).over(before), F.lit(0)) - F.sum("_on").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = lambda tail, n: F.struct(F.lit(tail).alias("tail"), (F.col("_base") + (F.col("_runs") if tail else 0)).alias("run"), n.alias("n"))
+    pieces = F.filter(F.array(piece(False, F.col("_head")), piece(True, F.when(F.col("_runs") > 0, F.col("_tail")))), lambda x: x["n"].isNotNull())
+    outer = ends.select(*keys, "_base", "_runs", F.explode(pieces).alias("p")).select(*keys, "_base", "_runs", "p.*")
+    same = Window.partitionBy(*subject, "run")
+    outer = outer.withColumns({"_all": F.sum("n").over(same), "_had": F.coalesce(F.sum("n").over(same.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    of = lambda tail, c: F.max(F.when(F.col("tail") == F.lit(tail), F.col(c)))
+    carry = outer.groupBy(*keys).agg(F.max("_base").alias("_base"), F.max("_runs").alias("_runs"), of(False, "_all").alias("_head_all"), of(False, "_had").alias("_had"), of(True, "_all").alias("_tail_all"))
+    carry = stored(carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_base", "_runs", "_head_all", "_had", "_tail_all"), "carries")
+
+    met = own.join(small(carry), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).where(F.col(label).isNotNull())
+    first, last = F.col("_run") == 0, F.col("_run") == F.col("_runs")
+    return met.select(
+        *[F.col(f"`{c}`") for c in rows.columns if c != part], (F.col("_base") + F.col("_run")).alias("run"), (F.col("_pos") + F.when(first, F.col("_had")).otherwise(0)).alias("pos"),
+        F.when(first, F.col("_head_all")).when(last, F.col("_tail_all")).otherwise(F.col("_len")).alias("run_len"),
+    )
+
+
 def run_table(runs: DataFrame, subject: list[str], label: str) -> DataFrame:
     return runs.groupBy(*subject, "run").agg(F.max(label).alias(label), F.count("*").alias("n_rows"))
 

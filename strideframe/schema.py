@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,18 @@ def require(df: DataFrame, rules: dict, error=SchemaError) -> DataFrame:
     return df
 
 
+def watched(df: DataFrame, rules: dict) -> tuple[DataFrame, Observation]:
+    """``df`` with an observation that counts the rows that break each rule in whatever pass reads it next."""
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]), seen
+
+
+def require_seen(seen: Observation, error=SchemaError) -> None:
+    """Raises with the counts of ``watched``; to be called after the pass."""
+    if bad := {name: n for name, n in seen.get.items() if n}:
+        raise error(f"rows that break a rule: {bad}")
+
+
 def require_columns(df: DataFrame, expected: T.StructType, error=SchemaError) -> DataFrame:
     got, want = [(f.name, f.dataType) for f in df.schema], [(f.name, f.dataType) for f in expected]
     if got != want:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,3 +30,15 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "file://" + tempfile.mkdtemp(prefix="strideframe-")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to ``work_dir`` and read back: computed once, and the same to all that read it, also when executors are lost."""
+    path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A broadcast of a table that is stored already, if its counted rows are within the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
