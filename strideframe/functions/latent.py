@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,28 @@ def euler_step(z: Column, v: Column, steps: int) -> Column:
     return F.zip_with(z, v, lambda a, b: a.cast("double") - b.cast("double") / steps)
 
 
+def euler_states(start: Column, field: Callable[[Column, Column], Column], steps: int, every: int | None = None) -> Column:
+    """Array of (step, t, state) along dz/dt = field(z, t), from t = 1 back to 0 in ``steps`` equal steps.
+
+    ``field`` makes a column (an array as long as the state) of the state and
+    the time, so each step depends on the one before; the fold stays within
+    the row.  The start, every ``every``-th state (all by default) and the
+    last one are kept.
+    """
+    if steps < 1 or (every is not None and every < 1):
+        raise ValueError("steps and every are at least 1")
+    time = lambda k: F.greatest(F.lit(0.0), 1.0 - k.cast("double") * F.lit(1.0 / steps))
+    first = F.array(F.transform(start, lambda x: x.cast("double")))
+
+    def step(states: Column, k: Column) -> Column:
+        now = F.element_at(states, -1)
+        return F.concat(states, F.array(euler_step(now, field(now, time(k)), steps)))
+
+    states = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), first, step)
+    kept = F.array(*[F.lit(k) for k in sorted({0, steps, *range(every or 1, steps + 1, every or 1)})])
+    return F.transform(kept, lambda k: F.struct(k.alias("step"), time(k).alias("t"), F.get(states, k).alias("state")))
+
+
 def euler_trajectory(df: DataFrame, z: str, v: str, steps: int, every: int) -> DataFrame:
     """``step`` and ``state`` of a fixed velocity: the start, every so many steps, and the last."""
     kept = sorted({0, steps, *range(every, steps + 1, every)})

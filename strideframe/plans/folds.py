@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,30 +44,49 @@ def completed(spark: SparkSession, root: str, fold, plan: str) -> bool:
     return len(found) == 1 and found[0]["plan"] == plan and (found[0]["n_rows"], found[0]["checksum"]) == checksum(spark.read.parquet(f"{root}/results/{fold}"))
 
 
-def run_folds(spark: SparkSession, run_fold: Callable[[object], DataFrame], folds: Iterable, root: str, settings: dict, *, resume: bool = True, dry_run: bool = False) -> DataFrame:
+def run_folds(
+    spark: SparkSession, run_fold: Callable[[object], DataFrame], folds: Iterable, root: str, settings: dict, *, resume: bool = True, dry_run: bool = False, parallel: int = 1, stop_on_failure: bool = False
+) -> DataFrame:
     """(fold, status, error) of every fold; results go to ``root/results/<fold>``, manifests to ``root/manifests/<fold>``.
 
     ``settings`` (JSON) identify the plan: other settings run all folds again.
     With ``resume``, folds that are done are skipped; without it, an existing
-    one is an error.  A fold that fails leaves the others running and no
-    manifest.  ``dry_run`` only says what would be done.
+    one is an error.  ``parallel`` folds submit their jobs at a time, so that
+    the tail of one fills with tasks of the next.  A fold that fails leaves the
+    others running and no manifest; with ``stop_on_failure`` the jobs of the
+    others are cancelled by their tag, and what hasn't ended is ``cancelled``.
+    ``dry_run`` only says what would be done.
     """
-    plan, states = identity(settings), []
-    for fold in folds:
-        done = completed(spark, root, fold, plan)
-        if done and not resume:
-            raise ArtifactError(f"fold {fold} is there already")
-        if done or dry_run:
-            states.append((str(fold), "skipped" if done else "planned", None))
-            continue
+    plan, folds = identity(settings), list(folds)
+    done = {fold: completed(spark, root, fold, plan) for fold in folds}
+    if not resume and any(done.values()):
+        raise ArtifactError(f"folds are there already: {[f for f in folds if done[f]]}")
+    tag, stop = f"folds-{uuid.uuid4().hex}", threading.Event()
+
+    @inheritable_thread_target(spark)
+    def run(fold) -> tuple[str, str, str | None]:
+        if stop.is_set():
+            return str(fold), "cancelled", None
+        spark.sparkContext.addJobTag(tag)
         try:
             run_fold(fold).write.mode("overwrite").parquet(f"{root}/results/{fold}")
             n, digest = checksum(spark.read.parquet(f"{root}/results/{fold}"))
             spark.createDataFrame([(str(fold), plan, n, digest)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{fold}")
-            states.append((str(fold), "ran", None))
         except Exception as failure:  # noqa: BLE001 - recorded, and the caller decides
-            states.append((str(fold), "failed", f"{type(failure).__name__}: {failure}"[:500]))
-    return spark.createDataFrame(states, "fold string, status string, error string")
+            if stop.is_set():
+                return str(fold), "cancelled", None
+            if stop_on_failure:
+                stop.set()
+                spark.sparkContext.cancelJobsWithTag(tag)
+            return str(fold), "failed", f"{type(failure).__name__}: {failure}"[:500]
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+        return str(fold), "ran", None
+
+    states = {fold: (str(fold), "skipped" if done[fold] else "planned", None) for fold in folds if done[fold] or dry_run}
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        running = {fold: pool.submit(run, fold) for fold in folds if fold not in states}
+    return spark.createDataFrame([states[f] if f in states else running[f].result() for f in folds], "fold string, status string, error string")
 
 
 def fold_results(spark: SparkSession, folds: Iterable, root: str, settings: dict) -> DataFrame:
