@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import discard, settle
-from strideframe.llm.text_units import MOST_UNITS, Numbers, Units, chunks, lists, numbered, ragged, sums_by, unit_pattern
+from strideframe.llm.text_units import Numbers, Units, chunks, lists, numbered, ragged, sums_by, unit_pattern
 
 BLOCK = 1 << 20  # bytes of distinct units whose merges are replayed together
+MOST_UNITS = 3 << 17  # from which on a task begins to number them anew
 LONG_WORD = 1 << 10  # bytes from which on a word is merged by itself
 
 
@@ -215,7 +216,7 @@ class UnitIds:
 def frequent_words(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, most: int) -> DataFrame:
     """(word, ids) of at most ``most`` words that no token is, of 32 characters at most: those over the least frequency that keeps the bound.
 
-    Tasks count words over what they have met and leave out those met once;
+    Tasks count the words of units that they have met more than once;
     frequencies only choose where a word is worked on, not its ids.
     """
     unit = unit_pattern()
@@ -230,9 +231,10 @@ def frequent_words(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
         def words():
             count: dict[str, int] = {}
             for u, n in zip(units.texts(0), times.tolist(), strict=True):
-                for w in _matches(u, match):
-                    count[w] = count.get(w, 0) + n
-            found = [(w, n) for w, n in count.items() if n > 1 and len(w) <= 32 and w.encode() not in ranks]
+                if n > 1:
+                    for w in _matches(u, match):
+                        count[w] = count.get(w, 0) + n
+            found = [(w, n) for w, n in count.items() if len(w) <= 32 and w.encode() not in ranks]
             return pa.record_batch([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
         for _, _, texts in chunks(batches):

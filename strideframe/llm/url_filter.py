@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +88,8 @@ def filter_urls(
     checked against ``max_trie_rules``, and a longer list is split into tries
     of that size, applied one after the other.  Null urls and urls without
     ``://`` have an empty host and path and take ``default`` with a null rule;
-    so does any url that no rule fits.  Repeated rows are judged alike, other
+    so does any url that no rule fits.  Null ids pass, urls of any length are
+    judged whole, of equally long rules block wins.  Repeated rows are judged alike, other
     columns are not read, an empty table gives an empty result.
     """
     spark = pages.sparkSession
@@ -96,9 +100,7 @@ def filter_urls(
     def judge(part):
         held = spark.sparkContext.broadcast(UrlTrie(part))
 
-        def run(batches):
-            import pandas as pd
-
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             trie = held.value
             for urls in batches:
                 out = []
@@ -108,8 +110,7 @@ def filter_urls(
                     out.append((host, path, rule, verdict))
                 yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
 
-        run.__annotations__ = {}
-        return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
+        return F.pandas_udf(run, kind)
 
     judged = rows.select("_id", *[judge(p)(F.col("_url")).alias(f"_j{i}") for i, p in enumerate(parts)])
     best = F.col("_j0")

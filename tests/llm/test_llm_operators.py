@@ -571,6 +571,14 @@ def test_url_filter(spark):
     assert trie.find("c.a.b", "/x/yz/1") == ("block", "a.b/x/y") and trie.find("a.b", "/x/q") == ("allow", "a.b/x/") and trie.find("b", "/x/y") is None
 
 
+def test_url_filter_of_no_rows_and_odd_rows(spark):
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).count() == 0
+    long = "http://www.example.com/en/" + "x/" * 50_000
+    rows = [(None, long), (None, long), (1, None), (1, ""), (2, "no scheme")]
+    got = url_filter.filter_urls(spark.createDataFrame([(*r, "h", "v") for r in rows], "page_id bigint, url string, host string, verdict string"), URL_RULES)
+    assert Counter((r.page_id, len(r.path), r.rule, r.verdict) for r in got.collect()) == {(None, 100_004, "www.example.com/en/", "allow"): 2, (1, 0, None, "allow"): 2, (2, 0, None, "allow"): 1}
+
+
 @pytest.mark.parametrize("call", [
     lambda d: jaccard_join.jaccard_components(d), lambda d: substring_dedup.find_repeats(d), lambda d: packing.pack_documents(d, tokenizer_path()), lambda d: audio.audio_features(d), lambda d: license_scan.scan_licenses(d),
 ])
