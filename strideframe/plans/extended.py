@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from strideframe.functions import latent
 from strideframe.operators import windows
 from strideframe.plans import loso
-from strideframe.plans.catalogue import EV, embeddings, events, query, rounded
+from strideframe.plans.catalogue import EV, EVENT_LABELS, embeddings, events, query, rounded
 from strideframe.session import small, stored, work_dir
+from strideframe.streaming import ordered
+from strideframe.streaming.windows import run_available
 
 # All events as one recording: runs over every part of it.
 ONE = f"""{EV}, l as (select *, row_number() over w as rn, lag(label) over w as before from ev window w as (order by ts, event_id)),
@@ -60,3 +62,21 @@ def _(spark, d):
     real, made = e.where("not synthetic"), e.where("synthetic")
     _, summary = loso.run_loso(real, root, subject="subject", label="label", flat="embedding", key="vec_id", classes=10, synthetic=made, trees=10)
     return rounded(summary)
+
+
+@query("stream_ordered_windows", """with ev as (select *, case event_type when 'click' then 0 when 'view' then 1 when 'purchase' then 2 when 'signup' then 3 end as label from events
+  where epoch_us(ts) <= (select epoch_ms(max(ts)) * 1000 from events)),
+ l as (select *, row_number() over w as rn, lag(label) over w as before from ev window w as (partition by user_id order by ts, event_id)),
+ r as (select *, cast(sum(case when rn > 1 and before is not distinct from label then 0 else 1 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as bigint) as run from l),
+ p as (select *, count(*) over (partition by user_id, run) as n, row_number() over (partition by user_id, run order by ts, event_id) - 1 as pos from r where label is not null),
+ w as (select user_id, run, unnest(range(0, n - 2 + 1)) as widx from (select distinct user_id, run, n from p where n >= 2))
+select w.user_id as subject, 'window' as kind, w.run, cast(w.widx as bigint) as widx, max(p.label) as label, count(*) as len, round(avg(p.value), 6) as mean_value
+from w join p on p.user_id = w.user_id and p.run = w.run and p.pos >= w.widx and p.pos < w.widx + 2 group by w.user_id, w.run, w.widx""")
+def _(spark, d):
+    """All events as a stream that waits for nothing: rows of the watermark's own millisecond still wait when it ends."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = windows.encode_labels(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d), "event_type", EVENT_LABELS)
+    rows = rows.select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value", "label")
+    with ordered.rocksdb(spark):
+        out = run_available(ordered.ordered_windows(rows, 2, 1, "0 seconds"), f"{work_dir(spark)}/ordered-{uuid.uuid4().hex}")
+    return rounded(out.select("subject", "kind", "run", "widx", "label", "len", "mean_value"))
