@@ -65,27 +65,56 @@ class Standardizer:
 
     @classmethod
     def from_json(cls, text: str, held_out: set | None = None) -> Standardizer:
-        """A fitted standardiser; what isn't a population z-score per channel with finite statistics is refused."""
+        """A fitted standardiser of stored statistics, in any of ``SPELLINGS``; all rules that they break are named in one error."""
         try:
-            fields = json.loads(text)
+            stored = json.loads(text)
         except ValueError as broken:
             raise NormalizationError("not JSON") from broken
-        if not isinstance(fields, dict) or fields.get("method") not in ("per_channel_zscore", "zscore"):
-            raise NormalizationError("another method")
-        if fields.get("fit_axes", [0, 2]) != [0, 2] or fields.get("ddof", 0) != 0:
-            raise NormalizationError("other axes or another deviation")
-        mean, std = fields.get("mean"), fields.get("std")
-        for values in (mean, std):
-            if not isinstance(values, list) or len(values) != fields.get("channels") or not values:
-                raise NormalizationError("mean and std have one number a channel")
-            if any(isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) for v in values):
-                raise NormalizationError("mean and std are finite numbers")
-        if min(std) <= 0:
-            raise NormalizationError("deviations are above 0")
-        out = cls(set(fields.get("training_subjects") or ()))
-        apart = (held_out or set()) | set(fields.get("validation_subjects") or ())
-        if out.subjects & (apart | {fields.get("held_out_subject")}):
-            raise NormalizationError("training and held-out subjects overlap")
-        out.mean = [float(v) for v in mean]
-        out.std = [max(float(v), float(fields.get("epsilon", FLOOR))) for v in std]
+        if not isinstance(stored, dict):
+            raise NormalizationError("not an object")
+        found = {name: next((stored[x] for x in spellings if stored.get(x) is not None), DEFAULTS.get(name)) for name, spellings in SPELLINGS.items()}
+        found["apart"] = {*(held_out or ()), *(found["validation"] or ()), found["held_out"]}
+        if broken := [text for text, rule in RULES.items() if not _holds(rule, found)]:
+            raise NormalizationError("; ".join(broken))
+        out = cls(set(found["train"] or ()))
+        out.mean, out.std = list(map(float, found["mean"])), [max(float(v), float(found["floor"])) for v in found["std"]]
         return out
+
+
+# Names of the fields of stored statistics, each in all its spellings, and of the method.
+SPELLINGS = {
+    "method": ("method", "normalization_method"),
+    "axes": ("fit_axes", "axes"),
+    "ddof": ("ddof", "standard_deviation_ddof"),
+    "floor": ("epsilon", "minimum_standard_deviation"),
+    "channels": ("channels", "n_channels"),
+    "mean": ("mean", "mean_"),
+    "std": ("std", "scale", "std_"),
+    "train": ("training_subjects", "fit_subjects"),
+    "validation": ("validation_subjects",),
+    "held_out": ("held_out_subject",),
+}
+METHODS = ("per_channel_zscore", "zscore")
+DEFAULTS = {"axes": [0, 2], "ddof": 0, "floor": FLOOR}
+
+
+def _numbers(values) -> bool:
+    return isinstance(values, list) and all(isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v) for v in values)
+
+
+def _holds(rule, found: dict) -> bool:
+    """A rule that can't be asked of these values doesn't hold."""
+    try:
+        return bool(rule(found))
+    except (TypeError, ValueError):
+        return False
+
+
+RULES = {
+    "not a z-score by channel": lambda f: f["method"] in METHODS and list(f["axes"]) == DEFAULTS["axes"],
+    "not the population deviation": lambda f: int(f["ddof"]) == 0,
+    "no positive floor": lambda f: 0 < f["floor"] < math.inf,
+    "mean and std aren't finite numbers, one a channel": lambda f: _numbers(f["mean"]) and _numbers(f["std"]) and 0 < len(f["mean"]) == len(f["std"]) == f["channels"],
+    "deviations are above 0": lambda f: min(f["std"]) > 0,
+    "training and held-out subjects overlap": lambda f: not {*(f["train"] or ())} & f["apart"],
+}

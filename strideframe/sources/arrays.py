@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.errors import ArtifactError
+from strideframe.sources.artifacts import describe
 
 BATCH = 1024  # rows
 # Names of a cache's identity fields.
@@ -86,27 +87,22 @@ def find_manifest(spark: SparkSession, path: str) -> str:
 
 
 def check_manifest(spark: SparkSession, path: str, manifest: str, **asked) -> dict:
-    """The manifest, when its identity is whole and the one asked for, and the file has its checksum."""
+    """The manifest, when its identity is whole and the one asked for and the file is the one it means; all breaches are named in one error."""
     if set(asked) != set(ASKED):
         raise ArtifactError(f"ask for {ASKED}")
     try:
-        fields = json.loads(spark.read.text(manifest, wholetext=True).first()[0].removeprefix("﻿"))
-    except ValueError as broken:
-        raise ArtifactError("the manifest isn't JSON") from broken
-    own = fields.get("identity") if isinstance(fields, dict) else None
-    if not isinstance(own, dict) or set(IDENTITY) - set(own):
-        raise ArtifactError("the identity isn't whole")
-    if wrong := {k: own[k] for k in ASKED if own[k] != asked[k]}:
-        raise ArtifactError(f"another identity: {wrong}")
-    if blank := [k for k in IDENTITY if k not in ASKED and not (isinstance(own[k], str) and own[k].strip())]:
-        raise ArtifactError(f"empty: {blank}")
-    if fields.get("array_filename") not in (None, path.rsplit("/", 1)[1]):
-        raise ArtifactError("the manifest names another file")
-    want = fields.get("array_sha256", fields.get("cache_sha256"))
-    if not isinstance(want, str) or len(want) != 64:
-        raise ArtifactError("the manifest has no checksum")
-    if spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0] != want.lower():
-        raise ArtifactError("the checksum differs")
+        fields = json.loads(spark.read.text(manifest, wholetext=True).first()[0].removeprefix("\ufeff"))
+        own = dict(fields["identity"])
+    except (ValueError, TypeError, KeyError) as broken:
+        raise ArtifactError("not a manifest with an identity") from broken
+    (file,) = describe(spark, path, "cache")  # hashed where it is read
+    name_said = fields.get("array_filename") or file["filename"]
+    digest = str(fields.get("array_sha256") or fields.get("cache_sha256")).lower()
+    rules = {name: (lambda v, name=name: v == asked[name]) for name in ASKED} | {name: (lambda v: isinstance(v, str) and v.strip() != "") for name in IDENTITY if name not in ASKED}
+    broken = [f"{name}: {own.get(name)!r}" for name, rule in rules.items() if name not in own or not rule(own.get(name))]
+    broken += [f"file name: {name_said!r}"] * (name_said != file["filename"]) + [f"checksum: {digest}"] * (digest != file["sha256"])
+    if broken:
+        raise ArtifactError(f"the manifest doesn't hold: {', '.join(broken)}")
     return fields
 
 

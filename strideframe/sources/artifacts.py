@@ -50,7 +50,7 @@ def write_manifest(spark: SparkSession, entries: list[dict], path: str, *, overw
 
 
 def read_manifest(spark: SparkSession, path: str, roles: set[str] | None = None) -> list[dict]:
-    """Entries of a manifest of this version whose identity holds; with ``roles``, every entry has one of them."""
+    """Entries of a manifest of this version; an identity that it carries must hold, other fields are let be; with ``roles``, every entry has one of them."""
     import json
 
     try:
@@ -58,8 +58,10 @@ def read_manifest(spark: SparkSession, path: str, roles: set[str] | None = None)
     except (ValueError, TypeError) as broken:
         raise ArtifactError("not a manifest") from broken
     own = {k: fields.get(k) for k in ("schema_version", "artifacts")} if isinstance(fields, dict) else {}
-    if own.get("schema_version") != SCHEMA_VERSION or not isinstance(own["artifacts"], list) or fields.get("identity") != identity(own):
-        raise ArtifactError("another version, or the identity doesn't hold")
+    if own.get("schema_version") != SCHEMA_VERSION or not isinstance(own["artifacts"], list) or not own["artifacts"]:
+        raise ArtifactError("another version, or no artifacts")
+    if not all(isinstance(e, dict) for e in own["artifacts"]) or ("identity" in fields and fields["identity"] != identity(own)):
+        raise ArtifactError("entries aren't objects, or the identity doesn't hold")
     if roles is not None and (other := {e.get("role") for e in own["artifacts"]} - roles):
         raise ArtifactError(f"unknown roles: {sorted(map(str, other))}")
     return check_entries(own["artifacts"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,34 @@ def payload_paths(kind: T.DataType, at: str = "") -> list[str]:
     return out
 
 
-def write_report(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
-    """JSON lines; refuses sample payloads, NaN and, unless told, an existing path."""
+def require_report(df: DataFrame) -> None:
+    """What no report may carry: sample payloads, and NaN in any number, nested ones too."""
     if found := payload_paths(df.schema):
         raise SchemaError(f"a report may not carry {found}")
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if numbers and df.where(F.greatest(*[F.isnan(c).cast("int") for c in numbers], F.lit(0)) == 1).limit(1).count():
+    if (broken := [has_nan(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if may_have_nan(f.dataType)]) and not df.where(F.coalesce(*[F.when(b, True) for b in broken])).isEmpty():
         raise SchemaError("a report may not hold NaN")
+
+
+def may_have_nan(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(may_have_nan(f.dataType) for f in kind)
+    inner = getattr(kind, "elementType", getattr(kind, "valueType", None))
+    return isinstance(kind, T.DoubleType | T.FloatType) or (inner is not None and may_have_nan(inner))
+
+
+def has_nan(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.coalesce(*[F.when(has_nan(column[f.name], f.dataType), True) for f in kind if may_have_nan(f.dataType)], F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        return F.exists(column, lambda x: has_nan(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.exists(F.map_values(column), lambda x: has_nan(x, kind.valueType))
+    return F.isnan(column)
+
+
+def write_report(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
+    """JSON lines; refuses sample payloads, NaN and, unless told, an existing path."""
+    require_report(df)
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
@@ -50,15 +71,13 @@ def write_trajectories(df: DataFrame, path: str, *, overwrite: bool = False) ->
 
 def write_table_report(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
     """A flat report as CSV with a header; the same refusals as ``write_report``."""
-    if found := payload_paths(df.schema):
-        raise SchemaError(f"a report may not carry {found}")
+    require_report(df)
     df.write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small report as a Markdown table; one of more than ``most`` rows is refused."""
-    if found := payload_paths(df.schema):
-        raise SchemaError(f"a report may not carry {found}")
+    require_report(df)
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise SchemaError(f"over {most} rows are no report to read")

@@ -94,6 +94,14 @@ def test_standardiser_is_restored(spark):
     for change in ({"method": "minmax"}, {"fit_axes": [0]}, {"ddof": 1}, {"mean": [1.0]}, {"std": [0.0, 1.0]}, {"std": [1.0, float("nan")]}, {"channels": 3}, {"held_out_subject": 2}, {"validation_subjects": [1]}):
         with pytest.raises(NormalizationError):
             Standardizer.from_json(json.dumps(fields | change))
+    other = {"normalization_method": "zscore", "axes": [0, 2], "standard_deviation_ddof": 0, "n_channels": 2, "mean_": [1, 2.5], "scale": [1e-12, 3], "minimum_standard_deviation": 1e-6, "fit_subjects": [4], "held_out_subject": None}
+    again = Standardizer.from_json(json.dumps(other))
+    assert (again.mean, again.std, again.subjects) == ([1.0, 2.5], [1e-6, 3.0], {4})
+    with pytest.raises(NormalizationError, match="population.*overlap"):  # all that is wrong at once
+        Standardizer.from_json(json.dumps(other | {"standard_deviation_ddof": 1, "validation_subjects": [4]}))
+    for change in ({"axes": None, "fit_axes": 3}, {"minimum_standard_deviation": "x"}, {"mean_": "ab"}, {"scale": [True, 1.0]}, {"n_channels": 0, "mean_": [], "scale": []}):
+        with pytest.raises(NormalizationError):
+            Standardizer.from_json(json.dumps(other | change))
     with pytest.raises(NormalizationError):
         Standardizer.from_json(first.to_json(), held_out={2})
     with pytest.raises(NormalizationError):

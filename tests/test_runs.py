@@ -218,3 +218,31 @@ def test_stream_goes_on_from_its_state(spark, tmp_path):
             assert got.count() > 0
     want = {(r.user_id, r.run, r.widx): (r.label, round(r.mean_value, 6)) for r in catalogue.QUERIES["windows_strict"](spark, SF).collect()}
     assert {(r.subject, r.run, r.widx): (r.label, round(r.mean_value, 6)) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_reports_refuse_nan_everywhere(spark, tmp_path):
+    nan = float("nan")
+    fine = spark.createDataFrame([(1, 0.5, [0.5], {"a": 0.5}), (2, None, None, None)], "n int, f double, l array<double>, m map<string,float>")
+    for i, row in enumerate([(1, nan, [0.5], {"a": 0.5}), (1, 0.5, [0.5, nan], None), (1, None, None, {"a": nan})]):
+        bad = fine.unionByName(spark.createDataFrame([row], fine.schema))
+        with pytest.raises(SchemaError, match="NaN"):
+            sinks.write_report(bad, str(tmp_path / f"r{i}"))
+        with pytest.raises(SchemaError, match="NaN"):
+            sinks.markdown(bad)
+    with pytest.raises(SchemaError, match="NaN"):
+        sinks.write_table_report(spark.createDataFrame([(nan,)], "f double"), str(tmp_path / "t"))
+    with pytest.raises(SchemaError, match="NaN"):
+        sinks.write_report(fine.select(F.struct(F.lit(nan).alias("x")).alias("s")), str(tmp_path / "s"))
+    sinks.write_report(fine, str(tmp_path / "fine"))
+    assert sinks.markdown(fine.select("n", "f")).splitlines()[2:] == ["| 1 | 0.5 |", "| 2 |  |"]
+
+
+def test_manifests_without_an_identity(spark, tmp_path):
+    """As others ship them: a version, artifacts with digests of upper case, and fields of their own."""
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "release": "x", "artifacts": [{"filename": "a.pt", "role": "model", "bytes": 3, "sha256": "AB" * 32, "url": "u"}]}))
+    got = artifacts.read_manifest(spark, str(tmp_path / "m.json"))
+    assert [(e["filename"], e["sha256"]) for e in got] == [("a.pt", "ab" * 32)]
+    for bad in ({"schema_version": 2, "artifacts": [{}]}, {"schema_version": 1, "artifacts": []}, {"schema_version": 1, "artifacts": ["a"]}, {"schema_version": 1, "artifacts": [{"filename": "../a", "role": "m", "bytes": 1, "sha256": "0" * 64}]}, []):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(ArtifactError):
+            artifacts.read_manifest(spark, str(tmp_path / "bad.json"))
