@@ -80,3 +80,12 @@ def _(spark, d):
     with ordered.rocksdb(spark):
         out = run_available(ordered.ordered_windows(rows, 2, 1, "0 seconds"), f"{work_dir(spark)}/ordered-{uuid.uuid4().hex}")
     return rounded(out.select("subject", "kind", "run", "widx", "label", "len", "mean_value"))
+
+
+@query("loso_exact_forest")
+def _(spark, d):
+    """As ``loso_scenarios``, with exact trees without a greatest depth."""
+    e = embeddings(spark, d).withColumn("subject", F.col("vec_id") % 4)
+    root = f"{work_dir(spark)}/loso-{uuid.uuid4().hex}"
+    _, summary = loso.run_loso(e.where("not synthetic"), root, subject="subject", label="label", flat="embedding", key="vec_id", classes=10, synthetic=e.where("synthetic"), exact=True, trees=10)
+    return rounded(summary)
