@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.draws import normal, uniform
 from strideframe.schema import require
+from strideframe.session import small, stored
 
 
 def interpolate(z0: Column, z1: Column, t: Column) -> Column:
@@ -81,9 +82,15 @@ def segments_needed(target: int, native: int, overlap: int) -> int:
 
 
 def overlap_add(segments: DataFrame, group: list[str], seg: str, values: str, native: int, overlap: int, target: int | None = None) -> DataFrame:
-    """(group, at, value): linear cross-fades, normalised by the weights, cut at ``target`` (None: whole)."""
+    """(group, at, value): linear cross-fades, normalised by the weights, cut at ``target`` (None: whole).
+
+    A group's last segment comes from an aggregate, and the sums are by group
+    and place, so a group of most rows is spread over all tasks.
+    """
     hop = native - overlap
-    s = segments.select(*group, F.col(seg).alias("_s"), F.max(seg).over(_all(group)).alias("_last"), F.posexplode(values).alias("_p", "v"))
+    last = segments.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.max(seg).alias("_last"))
+    met = segments.join(small(stored(last, "last-segments")), [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+    s = met.select(*group, F.col(seg).alias("_s"), "_last", F.posexplode(values).alias("_p", "v"))
     up = F.when((F.col("_s") > 0) & (F.col("_p") < overlap), F.col("_p") / F.lit(float(overlap))).otherwise(1.0)
     down = F.when((F.col("_s") < F.col("_last")) & (F.col("_p") >= hop), 1 - (F.col("_p") - hop) / F.lit(float(overlap))).otherwise(1.0)
     s = s.select(*group, (F.col("_s") * hop + F.col("_p")).alias("at"), "v", (up * down).alias("w"))
@@ -129,12 +136,6 @@ def website_trajectories(native: DataFrame, subject: str, activity: str, *, plac
     return joined.groupBy(*group).agg(F.transform(ordered, lambda x: x["v"]).alias("signal")).select(subject, activity, "step", time.alias("flow_time"), "channel", "signal")
 
 
-def _all(group):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*group)
-
-
 def class_parameters(latents: DataFrame, label: str, column: str) -> DataFrame:
     """(label, pos, mean, std) of flat latents; a small constant is added to the population deviation."""
     return latents.select(label, F.posexplode(column).alias("pos", "v")).groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"), (F.stddev_pop(F.col("v").cast("double")) + 1e-6).alias("std"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.errors import SplitError
 from strideframe.functions.draws import order_key
+from strideframe.operators.windows import row_numbers
 
 
 def loso_folds(subjects: DataFrame, subject: str) -> DataFrame:
@@ -21,8 +22,7 @@ def loso_folds(subjects: DataFrame, subject: str) -> DataFrame:
 
 def loso_fold_numbers(subjects: DataFrame, subject: str) -> DataFrame:
     """(subject, fold): the fold that holds the subject out, and so the whole design in one row a subject."""
-    numbered = Window.partitionBy(F.lit(1)).orderBy(subject)
-    return subjects.select(subject).where(F.col(subject).isNotNull()).distinct().withColumn("fold", F.row_number().over(numbered) - 1)
+    return row_numbers(subjects.select(subject).where(F.col(subject).isNotNull()).distinct(), [], [subject], "fold")
 
 
 def draw_subjects(pool: list, held_out, fraction: float = 0.2, seed: int = 42) -> dict:

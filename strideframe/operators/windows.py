@@ -56,6 +56,17 @@ def range_parts(rows: DataFrame, subject: list[str], order: list[str], part: str
     return stored(dealt.withColumn(part, F.spark_partition_id()), "parts")
 
 
+def row_numbers(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number in their group, from 0, by range parts: a group of any size (or the whole table, without ``group``) is many tasks."""
+    dealt = range_parts(rows, group, order, "_part")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"))  # a row a part and group
+    shift = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_had"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1)
+    same = [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
+    return own.join(small(stored(shift, "row-counts")), same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_own") + F.col("_had")).alias(name))
+
+
 def label_runs_by_parts(rows: DataFrame, subject: list[str], order: list[str], label: str, mode: str, part: str) -> DataFrame:
     """``label_runs`` where no task sees more of a subject than one part, by a prefix scan over the parts.
 

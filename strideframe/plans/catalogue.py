@@ -200,7 +200,7 @@ def _(spark, d):
     return splits.loso_folds(table(spark, d, "events"), "user_id")
 
 
-@query("loso_fold_numbers")
+@query("loso_fold_numbers", "select user_id, row_number() over (order by user_id) - 1 as fold from (select distinct user_id from events where user_id is not null)")
 def _(spark, d):
     return splits.loso_fold_numbers(table(spark, d, "events"), "user_id")
 
@@ -679,9 +679,7 @@ def _(spark, d):
 
 
 def segments(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "embeddings").withColumn("sg", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    return windows.row_numbers(table(spark, d, "embeddings"), ["label"], ["vec_id"], "sg")
 
 
 def faded(s, target):
