@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strideframe.errors import SplitError
 from strideframe.functions.draws import order_key
 from strideframe.operators.windows import row_numbers
+from strideframe.session import small, stored
 
 
 def loso_folds(subjects: DataFrame, subject: str) -> DataFrame:
@@ -115,15 +116,44 @@ def draw_per_class(labels: np.ndarray, cap: int, g: np.random.Generator) -> np.n
     return np.concatenate(kept) if kept else np.zeros(0, int)
 
 
-def scenario_populations(real: DataFrame, synthetic: DataFrame, label: str, order: str, *, scarce: int, synthetic_cap: int = 0) -> DataFrame:
+def draw_rows_per_class(rows: DataFrame, label: str, key: str, cap: int, seed: int = 42) -> DataFrame:
+    """At most ``cap`` rows of each class, drawn by seed and key; equal in every layout, retry and order of rows.
+
+    A class is neither sorted nor gathered, whatever the cap: counts by class
+    and leading bits of the drawn order, added up in the tasks, find the cell
+    in which a class's part ends, and only that cell is ranked.  ``key`` tells
+    rows apart (rows of one key come or go together, so the last one may bring
+    a class over its cap); null labels are a class; ``cap`` of 0 or less keeps
+    all rows, and so does a class of no more than the cap.
+    """
+    if cap <= 0:
+        return rows
+    place = F.struct(order_key(seed, F.col(key)).alias("at"), F.col(key).alias("key"))
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(label).alias("class"), place.alias("place"))
+    keyed = keyed.withColumn("cell", F.shiftright("place.at", 48))
+    cells = keyed.groupBy("class", "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("cell")) - F.col("n")
+    ends = cells.withColumn("before", before).where((F.col("before") < cap) & (F.col("before") + F.col("n") >= cap))
+    ends = small(stored(ends.select(F.col("class").alias("c"), F.col("cell").alias("end"), (F.lit(cap) - F.col("before")).alias("rest")), "draw-ends"))  # a row a class
+    last = keyed.join(ends, F.col("class").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("end")))
+    last = last.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("place"))).where("rank = rest").select("c", F.col("place").alias("last"))
+    out = keyed.join(small(stored(last, "draw-lasts")), F.col("class").eqNullSafe(F.col("c")), "left")
+    return out.where(F.col("last").isNull() | (F.col("place") <= F.col("last"))).select(*[F.col(f"row.`{c}`") for c in rows.columns])
+
+
+def scenario_populations(real: DataFrame, synthetic: DataFrame, label: str, order: str, *, scarce: int, synthetic_cap: int = 0, seed: int | None = None) -> DataFrame:
     """Union of the scenarios trtr, scarce, tstr and tstr_scarce with ``scenario`` and ``origin``.
 
-    The per-class caps keep the first rows by ``order`` (a drawn order key, or
-    any stable one), as a ranked filter; nothing is collected.
+    The per-class caps keep the first rows by ``order``, as a ranked filter
+    (which Spark applies in each task before the shuffle, up to caps of 1000);
+    with ``seed`` they are drawn by it and ``order`` (``draw_rows_per_class``).
+    Nothing is collected.
     """
     top = Window.partitionBy(label).orderBy(order)
-    few = real.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= scarce).drop("_r")
-    syn = synthetic if synthetic_cap <= 0 else synthetic.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= synthetic_cap).drop("_r")
+    first = lambda df, cap: df.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= cap).drop("_r")
+    cut = first if seed is None else lambda df, cap: draw_rows_per_class(df, label, order, cap, seed)
+    few = cut(real, scarce)
+    syn = synthetic if synthetic_cap <= 0 else cut(synthetic, synthetic_cap)
     mark = lambda df, name, origin: df.withColumns({"scenario": F.lit(name), "origin": F.lit(origin)})
     out = mark(real, "trtr", "real").unionByName(mark(few, "scarce", "real")).unionByName(mark(syn, "tstr", "synthetic"))
     return out.unionByName(mark(syn, "tstr_scarce", "synthetic")).unionByName(mark(few, "tstr_scarce", "real"))

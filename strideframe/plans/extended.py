@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strideframe.functions import latent
-from strideframe.operators import windows
+from strideframe.operators import splits, windows
 from strideframe.plans import loso
 from strideframe.plans.catalogue import EV, EVENT_LABELS, embeddings, events, query, rounded
 from strideframe.session import small, stored, work_dir
@@ -89,3 +89,20 @@ def _(spark, d):
     root = f"{work_dir(spark)}/loso-{uuid.uuid4().hex}"
     _, summary = loso.run_loso(e.where("not synthetic"), root, subject="subject", label="label", flat="embedding", key="vec_id", classes=10, synthetic=e.where("synthetic"), exact=True, trees=10)
     return rounded(summary)
+
+
+@query("class_draws", "select vec_id, label from (select vec_id, label, row_number() over (partition by label order by substring(md5('42/' || vec_id), 1, 15), vec_id) as rn from embeddings) where rn <= 7")
+def _(spark, d):
+    return splits.draw_rows_per_class(embeddings(spark, d).select("vec_id", "label"), "label", "vec_id", 7)
+
+
+@query("scenario_draws", """with e as (select vec_id, label, vec_id % 3 = 0 as synthetic from embeddings),
+ r as (select *, row_number() over (partition by synthetic, label order by substring(md5('1/' || vec_id), 1, 15), vec_id) as rn from e),
+ p as (select 'trtr' as scenario, 'real' as origin, vec_id, label from r where not synthetic union all select 'scarce', 'real', vec_id, label from r where not synthetic and rn <= 2
+  union all select 'tstr', 'synthetic', vec_id, label from r where synthetic and rn <= 5 union all select 'tstr_scarce', 'synthetic', vec_id, label from r where synthetic and rn <= 5
+  union all select 'tstr_scarce', 'real', vec_id, label from r where not synthetic and rn <= 2)
+select scenario, origin, label, count(*) as n, cast(sum(vec_id) as bigint) as ids from p group by 1, 2, 3""")
+def _(spark, d):
+    e = embeddings(spark, d)
+    drawn = splits.scenario_populations(e.where("not synthetic").select("vec_id", "label"), e.where("synthetic").select("vec_id", "label"), "label", "vec_id", scarce=2, synthetic_cap=5, seed=1)
+    return drawn.groupBy("scenario", "origin", "label").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))

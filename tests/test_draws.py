@@ -128,3 +128,20 @@ def test_two_spellings_of_a_size():
 
 def test_ten_class_names():
     assert class_id("lying", CSV_CLASSES) == 9 and class_id(3, CSV_CLASSES) == 3
+
+
+@pytest.mark.parametrize("cap", [1, 7, 100, 5000])
+def test_drawn_caps_equal_the_ranked_filter(spark, cap):
+    """One class has most rows; null labels, classes under the cap, and columns of any name."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from strideframe.functions.draws import order_key
+    from strideframe.operators.splits import draw_rows_per_class
+
+    df = spark.range(6000).select("id", F.when(F.col("id") % 10 < 7, 1).when(F.col("id") % 10 == 7, 2).when(F.col("id") < 60, 3).alias("label"), F.lit(1).alias("cell"), F.lit("x").alias("last")).repartition(5)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(order_key(9, F.col("id")), "id"))
+    want = df.withColumn("r", rank).where(F.col("r") <= cap).drop("r")
+    got = draw_rows_per_class(df, "label", "id", cap, 9)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert draw_rows_per_class(df, "label", "id", 0).count() == 6000 and draw_rows_per_class(df.limit(0), "label", "id", cap).count() == 0
