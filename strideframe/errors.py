@@ -31,3 +31,7 @@ class ArtifactError(ValueError):
 
 class NotFittedError(RuntimeError):
     """Statistics are used before they are fitted."""
+
+
+class SettingsError(ValueError):
+    """Settings are unknown, of another kind, or out of their range."""
