@@ -246,3 +246,19 @@ def test_manifests_without_an_identity(spark, tmp_path):
         (tmp_path / "bad.json").write_text(json.dumps(bad))
         with pytest.raises(ArtifactError):
             artifacts.read_manifest(spark, str(tmp_path / "bad.json"))
+
+
+def test_manifests_of_tables_that_are_folders(spark, tmp_path):
+    from strideframe.plans import catalogue
+
+    root = tmp_path / "tables"
+    for t, parts in (("nation", 2), ("region", 1), ("documents", 3), ("labels", 3)):
+        (root / f"{t}.parquet").mkdir(parents=True)
+        for i in range(parts):
+            (root / f"{t}.parquet" / f"part-{i}.parquet").write_bytes(f"{t} {i}".encode())
+    (root / "part.parquet").write_bytes(b"alone")
+    got = {r.filename: r.status for r in catalogue.QUERIES["manifest_verify"](spark, str(root)).collect()}
+    assert len(got) == 11 and {n: s for n, s in got.items() if s != "ok"} == {"nation.parquet/part-0.parquet": "sha256", "region.parquet/part-0.parquet": "size", "region.parquet/absent.parquet": "missing"}
+    assert got["documents.parquet/part-2.parquet"] == got["labels.parquet/part-2.parquet"] == got["part.parquet"] == "ok"
+    with pytest.raises(ArtifactError, match="repeat"):
+        artifacts.describe(spark, f"{root}/*.parquet", "table")  # one manifest has one folder
