@@ -18,6 +18,7 @@ SMALL = 6  # sets under one token that are compared outright
 MIDDLE = 64  # sets under one token whose last pairs a join makes; larger ones are compared in blocks
 SIGN_WORDS = 32  # 64-bit words of a parity signature
 BLOCK = 1024  # queries, and members, that meet in one group
+MOST_ENDS = 1_000_000  # ids of sets, broadcast at most
 MOST_HUBS = 200_000  # broadcast at most
 
 
@@ -239,12 +240,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(a, "a").join(b, "b").where((F.col("na") + F.col("nb") - apart) >= 2 * _least_overlap(percent, F.col("na"), F.col("nb"))).select("a", "b")
     near = settle(near, "near")
+    ends = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    sets = sets.join(fit_for_broadcast(ends, MOST_ENDS), "node", "left_semi")  # only these sets are shuffled whole
     a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
     b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
     both = near.join(a, "a").join(b, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
     both = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
     links = settle(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
-    discard(near)
+    discard(near, ends)
     return links
 
 

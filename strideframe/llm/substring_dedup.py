@@ -291,8 +291,9 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     here = F.array(F.lit(0))  # units have no more prefixes to meet in
     sets = texts.mapInArrow(sets_of, _SETS).dropDuplicates(["node"]).join(nodes.drop("holder"), "node").select("node", "n", "tokens", "p1", here.alias("p2"), here.alias("p3"), "sign")
     sets = settle(sets, "sets")
+    discard(meets, entries, nodes)
     labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent)
-    discard(meets, entries, nodes, sets)
+    discard(sets)
 
     stamps = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text).alias("row"), F.xxhash64(F.lit(1), text).alias("check"))
     stamps = settle(stamps.where(text.rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "row", "check").agg(F.count("*").alias("times")), "stamps")
