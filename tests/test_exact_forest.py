@@ -89,3 +89,14 @@ def test_scenarios_with_exact_forests(spark):
     df = spark.createDataFrame([(i, i % 3, (g.normal(size=4) * 0.1 + i % 3).tolist()) for i in range(60)], "id long, y int, x array<double>")
     got = evaluate.evaluate_scenarios(df.where("id < 24"), df.where("id >= 24 and id < 36"), df.where("id >= 36"), "y", "x", "id", 3, exact=True, trees=3).collect()
     assert [r.scenario for r in got] == list(evaluate.SCENARIOS) and all(r.accuracy == 1.0 for r in got if r.scenario != "scarce")
+
+
+@pytest.mark.parametrize("equal_keys", [False, True])
+def test_predictions_without_the_driver_equal_the_forests(spark, monkeypatch, equal_keys):
+    g = np.random.default_rng(5)
+    df = spark.createDataFrame([(i // 2 if equal_keys else i, int(g.integers(0, 3)), g.normal(size=6).tolist()) for i in range(120)], "id long, y int, x array<float>").repartition(5)
+    forest = exact_forest.fit_exact_forest(df, "y", "x", 3, key="id", trees=7)
+    monkeypatch.setattr(exact_forest, "fit_exact_forest", None)  # the windows and trees stay with the tasks
+    test = spark.createDataFrame([(i, g.normal(size=6).tolist()) for i in range(50)], "n long, x array<float>")
+    got = exact_forest.predict_exact_forest(df, test, "y", "x", 3, key="id", trees=7).collect()
+    assert len(got) == 50 and [r.pred for r in got] == forest.predict(np.array([r.x for r in got])).tolist()
