@@ -233,18 +233,29 @@ def _least_overlap(percent: int, x, y):
     return F.ceil((x + y) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs``, settled: signatures bound the overlap, the other orders' prefixes must meet, then the sets are intersected."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(a, "a").join(b, "b").where((F.col("na") + F.col("nb") - apart) >= 2 * _least_overlap(percent, F.col("na"), F.col("nb"))).select("a", "b")
-    near = settle(near, "near")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, whole: DataFrame | None = None) -> DataFrame:
+    """Links among ``pairs``, settled: signatures bound the overlap, the other orders' prefixes must meet, then the sets are intersected.
+
+    Longer signatures (``wide``, empty for small sets) are compared too, where ``sets`` has them.  ``whole``: see ``link_entries``.
+    """
+    signs = [c for c in ("sign", "wide") if c in sets.columns]
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}_a") for c in signs])
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}_b") for c in signs])
+    apart = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.col("na") + F.col("nb") - 2 * _least_overlap(percent, F.col("na"), F.col("nb"))  # tokens that only one of the two has
+    near = pairs.join(a, "a").join(b, "b").where(apart("sign") <= most)
+    if "wide" in signs:
+        near = near.where((F.size("wide_a") != F.size("wide_b")) | (apart("wide") <= most))
+    near = settle(near.select("a", "b"), "near")
     ends = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    sets = sets.join(fit_for_broadcast(ends, MOST_ENDS), "node", "left_semi")  # only these sets are shuffled whole
-    a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-    b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
-    both = near.join(a, "a").join(b, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+    sets = (sets if whole is None else whole.select("node", "tokens")).join(fit_for_broadcast(ends, MOST_ENDS), "node", "left_semi")  # only these sets are shuffled whole
+    sets = sets if whole is None else sets.dropDuplicates(["node"])
+    others = [c for c in ("p2", "p3") if c in sets.columns]
+    a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), *[F.col(c).alias(f"{c}_a") for c in others])
+    b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), *[F.col(c).alias(f"{c}_b") for c in others])
+    both = near.join(a, "a").join(b, "b")
+    for c in others:
+        both = both.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
     both = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
     links = settle(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
     discard(near, ends)
@@ -265,13 +276,14 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     by_label = entries.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = by_label.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("labels"))
+    wide = [c for c in ("wide",) if c in sets.columns]
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     main = main.where("labels > 1").select("token", "main", blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("most")).alias("query_blocks"))
-    rows = entries.join(main, "token").join(sets.select("node", "p1", "sign"), "node")
+    rows = entries.join(main, "token").join(sets.select("node", "p1", "sign", *wide), "node")
     rows = settle(rows, "cross")
     dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["node", "label", "n", "p1", "sign", "main"]
+    own = ["node", "label", "n", "p1", "sign", "main", *wide]
     held = rows.select("token", dealt(1, "blocks").alias("block"), every("query_blocks").alias("query_block"), F.lit(False).alias("query"), *own)
     query = rows.where("label <> main").select("token", every("blocks").alias("block"), dealt(2, "query_blocks").alias("query_block"), F.lit(True).alias("query"), *own)
 
@@ -286,24 +298,36 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             signs = np.stack(m["sign"].to_numpy()).view(np.uint64)
             firsts = [set(p.tolist()) for p in m["p1"]]
             main = m["main"].iloc[0]
-            for node, label, n, p1, sign in zip(q["node"], q["label"], q["n"], q["p1"], q["sign"], strict=True):
+            large, of_queries = (m["wide"], q["wide"]) if wide else ([()] * len(m), [()] * len(q))
+            has = np.array([len(x) > 0 for x in large])
+            larger = np.zeros((len(m), max(map(len, large))), np.uint64)
+            if has.any():
+                larger[has] = np.stack([x for x in large if len(x)]).view(np.uint64)
+            for node, label, n, p1, sign, more in zip(q["node"], q["label"], q["n"], q["p1"], q["sign"], of_queries, strict=True):
                 ok = (labels != label) & ((labels == main) | (nodes > node)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                 at = np.flatnonzero(ok)
                 apart = np.bitwise_count(signs[at] ^ np.asarray(sign).view(np.uint64)).sum(axis=1)
-                need = np.ceil((sizes[at] + n) * percent / (100.0 + percent) - 1e-9)
+                most = sizes[at] + n - 2 * np.ceil((sizes[at] + n) * percent / (100.0 + percent) - 1e-9)
+                at, most = at[apart <= most], most[apart <= most]
+                if len(more) and len(at):
+                    apart = np.bitwise_count(larger[at] ^ np.asarray(more).view(np.uint64)).sum(axis=1)
+                    at = at[~has[at] | (apart <= most)]
                 mine = set(p1.tolist())
-                out += [(node, nodes[i]) for i in at[sizes[at] + n - apart >= 2 * need] if min(mine & firsts[i]) == token]
+                out += [(node, nodes[i]) for i in at if min(mine & firsts[i]) == token]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return held.union(query).groupBy("token", "query_block", "block").applyInPandas(compare, "a bigint, b bigint")
 
 
-def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds: int = 3) -> DataFrame:
+def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds: int = 3, whole: DataFrame | None = None) -> DataFrame:
     """(node, component) of the links among sets that meet under a token; least nodes are left out.
 
     ``entries`` (node, n, token; each once) says where sets meet.  ``sets``
-    (node, tokens, p1: the tokens it has entries for, p2 and p3: which must
-    meet too, sign) should be a settled table.
+    (node, tokens, p1: the tokens it has entries for, sign, and if given p2
+    and p3: which must meet too) is a settled table.  ``whole`` (node, tokens)
+    is another one with the tokens, where ``sets`` has none; a node may come
+    several times.  Both are discarded; after the first round only the sets
+    that may still meet others are kept.
     """
     entries = entries.join(entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "token")
     entries = settle(entries, "entries")
@@ -330,7 +354,7 @@ def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds:
             pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _comparable(percent, "x", "y")).select("a", "b")
             pairs = pairs.union(_cross_pairs(large, sets, percent))
         pairs = settle(pairs.distinct(), "pairs")
-        links = _verified(pairs, sets, percent)
+        links = _verified(pairs, sets, percent, whole)
         before, labels = labels, merged_labels(labels, links)
         discard(pairs, links, *([before] if before is not None else []))
         if turn < hub_rounds:
@@ -342,7 +366,14 @@ def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds:
             spent = [many]
             if many.isEmpty():
                 break
-    discard(*spent)
+            if turn == 0:
+                rest = settle(many.select("node").distinct(), "rest")
+                held = fit_for_broadcast(rest, MOST_ENDS)
+                large = None if whole is None else settle(whole.select("node", "tokens").join(held, "node", "left_semi"), "whole")
+                less = settle(sets.join(held, "node", "left_semi"), "sets")
+                discard(rest, sets, *([] if whole is None else [whole]))
+                sets, whole = less, large
+    discard(*spent, sets, *([] if whole is None else [whole]))
     return labels
 
 
@@ -395,7 +426,6 @@ def jaccard_components(
     sets = settle(sets.join(groups.drop("least"), ["d1", "d2"]).drop("d1", "d2"), "sets")
 
     labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent, hub_rounds)
-    discard(sets)
     if scratch is not None:
         scratch += [documents, groups, labels]
     named = groups.join(labels, "node", "left").select("d1", "d2", "least", F.coalesce("component", "node").alias("label"))

@@ -14,6 +14,8 @@ from strideframe.llm.common import WordHashes, discard, fit_for_broadcast, mix64
 from strideframe.llm.jaccard_join import bloom_of, link_entries, paired
 
 SIGN_WORDS = 4
+WIDE_WORDS = 32  # of a second signature, which sets of more than WIDE_FROM shingles have
+WIDE_FROM = 64
 SPREAD = 16  # of so many neighbouring words, a window starts at one
 MEMO = 200_000  # texts and units that a task remembers to have sent on
 MOST_ROWS = 1_000_000  # of narrow rows, broadcast at most
@@ -77,6 +79,14 @@ def window_starts(tokens: np.ndarray, natural: np.ndarray, begins: np.ndarray, e
     return at[at <= last[at]]
 
 
+def parities(tokens: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """Parity signatures of ``words`` words each of sets that follow one another (``jaccard_join.parity_signature``)."""
+    cells = 64 * words
+    cell = (mix64(tokens, 99) >> np.uint64(40)).astype(np.int64) % cells + np.repeat(np.arange(len(sizes)) * cells, sizes)
+    odd = np.bincount(cell, minlength=len(sizes) * cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Units:
     """Paragraph units of several texts: windows of ``window`` words, and whole lines and paragraphs (up to a blank line) of that many words or more.
 
@@ -98,6 +108,7 @@ class Units:
         stop = np.isin(b[words.stops - 1], [33, 46, 63])  # . ! ?
         natural[1:-1] = stop[:-1] & ~stop[1:]
         natural[breaks] = True
+        natural[begins] = True  # whatever text comes before
         at = window_starts(self.tokens, natural, begins, ends, window)
         self.wide, self.windows = window - k + 1, len(at)
         cuts = np.unique(np.concatenate([breaks, begins, [len(h)]]))
@@ -174,14 +185,16 @@ class Units:
         return np.concatenate(unit), mix64(np.concatenate(token), 9)
 
     def shingle_sets(self, at: np.ndarray):
-        """Sizes, tokens one after another, and parity signatures of the shingle sets of the units ``at``."""
-        each = [np.unique(self.tokens[first : first + size - self.k + 1]) for first, size in zip(self.at[at].tolist(), self.size[at].tolist(), strict=True)]
-        sizes = np.array([len(x) for x in each], np.int64)
-        tokens = np.concatenate(each)
-        cells = 64 * SIGN_WORDS
-        cell = (mix64(tokens, 99) >> np.uint64(40)).astype(np.int64) % cells + np.repeat(np.arange(len(at)) * cells, sizes)
-        odd = np.bincount(cell, minlength=len(at) * cells) & 1
-        return sizes, tokens, np.packbits(odd.astype(np.uint8)).view(np.int64)
+        """Sizes, tokens one after another, and parity signatures of the shingle sets of the units ``at`` (ascending): of all, and wider ones of those of more than ``WIDE_FROM``."""
+        w = int(np.searchsorted(at, self.windows))
+        grid = np.sort(self.tokens[self.at[at[:w]][:, None] + np.arange(self.wide)], axis=1)
+        new = np.ones(grid.shape, bool)
+        new[:, 1:] = grid[:, 1:] != grid[:, :-1]
+        each = [np.unique(self.tokens[first : first + size - self.k + 1]) for first, size in zip(self.at[at[w:]].tolist(), self.size[at[w:]].tolist(), strict=True)]
+        sizes = np.concatenate([new.sum(axis=1), np.array([len(x) for x in each], np.int64)])
+        tokens = np.concatenate([grid[new], *each])
+        large = sizes > WIDE_FROM
+        return sizes, tokens, parities(tokens, sizes, SIGN_WORDS), parities(tokens[np.repeat(large, sizes)], sizes[large], WIDE_WORDS)
 
 
 def _text_key(text: Column) -> Column:
@@ -201,8 +214,8 @@ def _lists(values, sizes, kind):
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
 
 
-_FOUND = "row bigint, n bigint, first array<int>, size array<int>, print array<bigint>, node bigint, token bigint"
-_SETS = "node bigint, n bigint, tokens array<bigint>, sign array<bigint>"
+_FOUND = "row bigint, n bigint, first array<int>, size array<int>, print array<bigint>, node array<bigint>, token array<bigint>"
+_SETS = "node bigint, n bigint, tokens array<bigint>, sign array<bigint>, wide array<bigint>"
 
 
 def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, recall: float, max_bands: int, id_col: str, text_col: str, scratch: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +265,7 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     def found_in(batches):
         import pyarrow as pa
 
-        small, seen = pa.list_(pa.int32()), set()
+        seen = set()
         names = [x.split(" ")[0] for x in _FOUND.split(", ")]
         for ids, u in each(batches):
             hit = bloom.value.among(u.keys.ravel()).reshape(u.keys.shape)
@@ -260,21 +273,25 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
             order = np.argsort(u.text[at], kind="stable")
             per = np.bincount(u.text[at], minlength=len(ids))
             lists = [_lists(x[at][order], per, kind) for x, kind in ((u.first.astype(np.int32), pa.int32()), (u.size.astype(np.int32), pa.int32()), (u.prints.view(np.int64), pa.int64()))]
-            yield pa.record_batch([_long(ids), _long(u.words), *lists, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names=names)
             prints = u.prints[at]
             _, one = np.unique(prints, return_index=True)
             one = np.array([i for i in one.tolist() if prints[i] not in seen], np.int64)
             if len(seen) < MEMO:
                 seen.update(prints[one])
             unit, token = u.meetings(at[one], hit[at[one]])
-            none = [pa.nulls(len(unit), kind) for kind in (small, small, pa.list_(pa.int64()))]
-            yield pa.record_batch([_long(ids[u.text[unit]]), pa.nulls(len(unit), pa.int64()), *none, _long(u.prints[unit]), _long(token)], names=names)
-
-    found = settle(texts.mapInArrow(found_in, _FOUND), "found")
-    entries = found.where("node is not null").select("token", "node", "row")
+            order = np.argsort(u.text[unit], kind="stable")
+            per = np.bincount(u.text[unit], minlength=len(ids))
+            met = [_lists(x[order].view(np.int64), per, pa.int64()) for x in (u.prints[unit], token)]
+            yield pa.record_batch([_long(ids), _long(u.words), *lists, *met], names=names)
+
+    both = settle(texts.mapInArrow(found_in, _FOUND), "found")
+    found = settle(both.drop("node", "token"), "found")
+    entries = both.select("row", F.explode(F.arrays_zip("token", "node")).alias("e")).select("e.token", "e.node", "row")
     meets = settle(entries.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "meets")
     entries = settle(entries.join(fit_for_broadcast(meets, MOST_ROWS), "token"), "entries")
+    discard(both, meets)
     nodes = settle(entries.groupBy("node").agg(F.min("row").alias("holder"), F.collect_set("token").alias("p1")), "nodes")
+    discard(entries)
     holders, pairs = spark.sparkContext.broadcast(bloom_of(nodes, "holder")), spark.sparkContext.broadcast(bloom_of(nodes, "node", with_="holder"))
 
     def sets_of(batches):
@@ -285,20 +302,19 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
             at = np.flatnonzero(pairs.value.among(paired(u.prints, ids[u.text])))
             for lo in range(0, len(at), 4096):
                 own = at[lo : lo + 4096]
-                sizes, tokens, signs = u.shingle_sets(own)
-                yield pa.record_batch([_long(u.prints[own]), _long(sizes), _lists(tokens.view(np.int64), sizes, pa.int64()), _lists(signs, np.full(len(own), SIGN_WORDS), pa.int64())], names=["node", "n", "tokens", "sign"])
+                sizes, tokens, signs, wide = u.shingle_sets(own)
+                lists = [_lists(x, per, pa.int64()) for x, per in ((tokens.view(np.int64), sizes), (signs, np.full(len(own), SIGN_WORDS)), (wide, WIDE_WORDS * (sizes > WIDE_FROM)))]
+                yield pa.record_batch([_long(u.prints[own]), _long(sizes), *lists], names=["node", "n", "tokens", "sign", "wide"])
 
-    here = F.array(F.lit(0))  # units have no more prefixes to meet in
-    sets = texts.mapInArrow(sets_of, _SETS).dropDuplicates(["node"]).join(nodes.drop("holder"), "node").select("node", "n", "tokens", "p1", here.alias("p2"), here.alias("p3"), "sign")
-    sets = settle(sets, "sets")
-    discard(meets, entries, nodes)
-    labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent)
-    discard(sets)
+    whole = settle(texts.mapInArrow(sets_of, _SETS), "whole")  # with its tokens a set is shuffled only when a pair needs it
+    sets = settle(whole.drop("tokens").dropDuplicates(["node"]).join(nodes.drop("holder"), "node"), "sets")
+    discard(nodes)
+    labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent, whole=whole)
 
     stamps = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text).alias("row"), F.xxhash64(F.lit(1), text).alias("check"))
     stamps = settle(stamps.where(text.rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "row", "check").agg(F.count("*").alias("times")), "stamps")
     of_text = settle(stamps.groupBy("row", "check").agg(F.min("doc_id").alias("least"), F.sum("times").alias("times")), "texts")
-    whole = found.where("node is null").dropDuplicates(["row"]).join(of_text.groupBy("row").agg(F.min("least").alias("doc_id")), "row")
+    whole = found.dropDuplicates(["row"]).join(of_text.groupBy("row").agg(F.min("least").alias("doc_id")), "row")
     places = whole.where(F.size("first") > 0).select("row", "doc_id", F.explode(F.arrays_zip("first", "size", "print")).alias("u")).select("row", "doc_id", "u.first", "u.size", "u.print")
     places = settle(places, "places")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place")
@@ -310,7 +326,7 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     held = places.join(fit_for_broadcast(kept, MOST_ROWS // 4), "print")
     held = settle(held.select("row", "doc_id", "first", "size", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.row").alias("keep_row")), "clusters")
 
-    twice = settle(of_text.where("times > 1").join(found.where("node is null").select("row", "n").dropDuplicates(["row"]), "row"), "twice")
+    twice = settle(of_text.where("times > 1").join(found.select("row", "n").dropDuplicates(["row"]), "row"), "twice")
     copies = stamps.join(fit_for_broadcast(twice.drop("times"), MOST_ROWS // 4), ["row", "check"])
     discard(labels, places, prints, kept, found, of_text)
     if scratch is not None:
