@@ -111,6 +111,18 @@ def bloom_of(tokens: DataFrame, column: str, with_: str | None = None, bits_each
     return out
 
 
+def let_through(rows: DataFrame, column: str, bloom) -> DataFrame:
+    """The rows whose key in ``column`` is in a broadcast table: what is to be met is filtered where it lies, before it is shuffled."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.value.among(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _sets(batch, k: int):
     """(position, digest, sorted distinct shingles) of each text of a batch."""
     import xxhash

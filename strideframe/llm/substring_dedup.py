@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import WordHashes, discard, fit_for_broadcast, mix64, sequence_hashes, settle, shingles, text_blocks
-from strideframe.llm.jaccard_join import bloom_of, link_entries, paired
+from strideframe.llm.jaccard_join import bloom_of, let_through, link_entries, paired
 
 SIGN_WORDS = 4
 WIDE_WORDS = 32  # of a second signature, which sets of more than WIDE_FROM shingles have
 WIDE_FROM = 64
 SPREAD = 16  # of so many neighbouring words, a window starts at one
 MEMO = 200_000  # texts and units that a task remembers to have sent on
-MOST_ROWS = 1_000_000  # of narrow rows, broadcast at most
+MOST_ROWS = 1_000_000  # of narrow rows; a quarter of it is broadcast at most
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -288,10 +288,9 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     found = settle(both.drop("node", "token"), "found")
     entries = both.select("row", F.explode(F.arrays_zip("token", "node")).alias("e")).select("e.token", "e.node", "row")
     meets = settle(entries.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "meets")
-    entries = settle(entries.join(fit_for_broadcast(meets, MOST_ROWS), "token"), "entries")
-    discard(both, meets)
+    entries = let_through(entries, "token", spark.sparkContext.broadcast(bloom_of(meets, "token")))  # a token too much meets nothing later
     nodes = settle(entries.groupBy("node").agg(F.min("row").alias("holder"), F.collect_set("token").alias("p1")), "nodes")
-    discard(entries)
+    discard(both, meets)
     holders, pairs = spark.sparkContext.broadcast(bloom_of(nodes, "holder")), spark.sparkContext.broadcast(bloom_of(nodes, "node", with_="holder"))
 
     def sets_of(batches):
@@ -323,7 +322,8 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     prints = settle(prints, "prints")
     clusters = prints.groupBy("cluster").agg(F.min("keep").alias("keep"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("cluster", "keep")
     kept = settle(prints.drop("keep").join(clusters, "cluster").select("print", "cluster", "keep"), "kept")
-    held = places.join(fit_for_broadcast(kept, MOST_ROWS // 4), "print")
+    near = fit_for_broadcast(kept, MOST_ROWS // 4)
+    held = (let_through(places, "print", spark.sparkContext.broadcast(bloom_of(kept, "print"))) if near is kept else places).join(near, "print")
     held = settle(held.select("row", "doc_id", "first", "size", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.row").alias("keep_row")), "clusters")
 
     twice = settle(of_text.where("times > 1").join(found.select("row", "n").dropDuplicates(["row"]), "row"), "twice")
