@@ -20,6 +20,7 @@ SIGN_WORDS = 32  # 64-bit words of a parity signature
 BLOCK = 1024  # queries, and members, that meet in one group
 MOST_ENDS = 1_000_000  # ids of sets, broadcast at most
 MOST_HUBS = 200_000  # broadcast at most
+FEW_PAIRS = 1_000_000  # so many left of all tokens together are made without further hubs
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -259,6 +260,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, whole: DataFrame
     if "wide" in signs:
         near = near.where((F.size("wide_a") != F.size("wide_b")) | (apart("wide") <= most))
     near = settle(near.select("a", "b"), "near")
+    if near.isEmpty():
+        return near
     ends = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     sets = (sets if whole is None else whole.select("node", "tokens")).join(fit_for_broadcast(ends, MOST_ENDS), "node", "left_semi")  # only these sets are shuffled whole
     sets = sets if whole is None else sets.dropDuplicates(["node"])
@@ -348,7 +351,8 @@ def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds:
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & _comparable(percent, "x", "y")).select("a", "b")
     many = entries.where(F.col("size") > SMALL).select("token", "node", "n", F.col("node").alias("label"))
     labels, spent = None, [entries]
-    for turn in range(hub_rounds + 1):
+    turn = 0
+    while turn <= hub_rounds:
         if turn < hub_rounds:
             hub = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "label"))
             hubs = many.groupBy("token").agg(F.array(hub(2 * turn), hub(2 * turn + 1)).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -366,17 +370,21 @@ def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds:
             pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _comparable(percent, "x", "y")).select("a", "b")
             pairs = pairs.union(_cross_pairs(large, sets, percent))
         pairs = settle(pairs.distinct(), "pairs")
-        links = _verified(pairs, sets, percent, whole)
-        before, labels = labels, merged_labels(labels, links)
-        discard(pairs, links, *([before] if before is not None else []))
-        if turn < hub_rounds:
+        links = pairs if pairs.isEmpty() else _verified(pairs, sets, percent, whole)
+        new = labels is None or not (links is pairs or links.isEmpty())
+        if new:
+            before, labels = labels, merged_labels(labels, links)
+            discard(*([before] if before is not None else []))
+        discard(pairs, *([links] if links is not pairs else []))
+        if turn < hub_rounds and new:
             many = many.drop("label").join(labels.select("node", F.col("component").alias("label")), "node", "left")
             many = many.select("token", "node", "n", F.coalesce("label", "node").alias("label"))
             left = many.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
             many = settle(many.join(left, "token"), "entries")
             discard(*spent)
             spent = [many]
-            if many.isEmpty():
+            squares = many.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+            if squares is None:
                 break
             if turn == 0:
                 rest = settle(many.select("node").distinct(), "rest")
@@ -385,6 +393,9 @@ def link_entries(entries: DataFrame, sets: DataFrame, percent: int, hub_rounds:
                 less = settle(sets.join(held, "node", "left_semi"), "sets")
                 discard(rest, sets, *([] if whole is None else [whole]))
                 sets, whole = less, large
+            if squares <= FEW_PAIRS:
+                turn = hub_rounds - 1
+        turn += 1
     discard(*spent, sets, *([] if whole is None else [whole]))
     return labels
 
@@ -411,7 +422,7 @@ def jaccard_components(
     break ties by different hashes.  Few
     sets under a token are compared outright.  Many are first compared with
     one hub a round, and what links with it shares its label; after
-    ``hub_rounds`` rounds, pairs of still different labels are compared, in
+    ``hub_rounds`` rounds, or when few are left, pairs of still different labels are compared, in
     blocks where they are many, so no group's pairs are all made and no link between components
     is lost.  Every pair passes the signature bound and the prefixes of the
     second and third order before its sets are intersected.
@@ -436,6 +447,8 @@ def jaccard_components(
     discard(shared)
     sets = _candidate_sets(texts, shingle_words, percent, classes, bloom).dropDuplicates(["d1", "d2"])
     sets = settle(sets.join(groups.drop("least"), ["d1", "d2"]).drop("d1", "d2"), "sets")
+    classes.destroy()
+    bloom.destroy()
 
     labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent, hub_rounds)
     if scratch is not None:

@@ -285,11 +285,14 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
             yield pa.record_batch([_long(ids), _long(u.words), *lists, *met], names=names)
 
     both = settle(texts.mapInArrow(found_in, _FOUND), "found")
+    bloom.destroy()  # here and below: else the driver holds all the tables of this call at once
     found = settle(both.drop("node", "token"), "found")
     entries = both.select("row", F.explode(F.arrays_zip("token", "node")).alias("e")).select("e.token", "e.node", "row")
     meets = settle(entries.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "meets")
-    entries = let_through(entries, "token", spark.sparkContext.broadcast(bloom_of(meets, "token")))  # a token too much meets nothing later
+    met = spark.sparkContext.broadcast(bloom_of(meets, "token"))
+    entries = let_through(entries, "token", met)  # a token too much meets nothing later
     nodes = settle(entries.groupBy("node").agg(F.min("row").alias("holder"), F.collect_set("token").alias("p1")), "nodes")
+    met.destroy()
     discard(both, meets)
     holders, pairs = spark.sparkContext.broadcast(bloom_of(nodes, "holder")), spark.sparkContext.broadcast(bloom_of(nodes, "node", with_="holder"))
 
@@ -306,6 +309,8 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
                 yield pa.record_batch([_long(u.prints[own]), _long(sizes), *lists], names=["node", "n", "tokens", "sign", "wide"])
 
     whole = settle(texts.mapInArrow(sets_of, _SETS), "whole")  # with its tokens a set is shuffled only when a pair needs it
+    holders.destroy()
+    pairs.destroy()
     sets = settle(whole.drop("tokens").dropDuplicates(["node"]).join(nodes.drop("holder"), "node"), "sets")
     discard(nodes)
     labels = link_entries(sets.select("node", "n", F.explode("p1").alias("token")), sets, percent, whole=whole)
@@ -323,8 +328,11 @@ def _clustered(docs: DataFrame, shingle_words: int, percent: int, window: int, r
     clusters = prints.groupBy("cluster").agg(F.min("keep").alias("keep"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("cluster", "keep")
     kept = settle(prints.drop("keep").join(clusters, "cluster").select("print", "cluster", "keep"), "kept")
     near = fit_for_broadcast(kept, MOST_ROWS // 4)
-    held = (let_through(places, "print", spark.sparkContext.broadcast(bloom_of(kept, "print"))) if near is kept else places).join(near, "print")
+    wanted = spark.sparkContext.broadcast(bloom_of(kept, "print")) if near is kept else None
+    held = (let_through(places, "print", wanted) if wanted else places).join(near, "print")
     held = settle(held.select("row", "doc_id", "first", "size", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.row").alias("keep_row")), "clusters")
+    if wanted:
+        wanted.destroy()
 
     twice = settle(of_text.where("times > 1").join(found.select("row", "n").dropDuplicates(["row"]), "row"), "twice")
     copies = stamps.join(fit_for_broadcast(twice.drop("times"), MOST_ROWS // 4), ["row", "check"])
